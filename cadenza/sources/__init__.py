@@ -4,11 +4,12 @@ from cadenza.sources.writers import (
     rows_as_json,
     write_csv,
     write_features,
+    write_jsonl,
     write_metrics,
     write_predictions_json,
 )
 
 __all__ = [
     "jsonl_to_csv", "read_csv", "read_features", "read_jsonl", "rows_as_json", "write_csv",
-    "write_features", "write_metrics", "write_predictions_json",
+    "write_features", "write_jsonl", "write_metrics", "write_predictions_json",
 ]

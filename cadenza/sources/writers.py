@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import VectorUDT
+
+# Text formats would otherwise cut timestamps to milliseconds.
+TIMESTAMP_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).csv(path)
+    df.write.mode("overwrite").option("header", True).option("timestampNTZFormat", TIMESTAMP_FORMAT).csv(path)
+
+
+def write_jsonl(df: DataFrame, path: str) -> None:
+    df.write.mode("overwrite").option("timestampNTZFormat", TIMESTAMP_FORMAT).json(path)
 
 
 def write_features(features: DataFrame, path: str, format: str = "parquet", files_per_week: int = 1) -> None:
@@ -52,7 +59,7 @@ def without_vectors(df: DataFrame) -> DataFrame:
 
 
 def write_predictions_json(scored: DataFrame, path: str) -> None:
-    without_vectors(scored).write.mode("overwrite").json(path)
+    write_jsonl(without_vectors(scored), path)
 
 
 def write_metrics(metrics: DataFrame, path: str) -> None:
