@@ -64,14 +64,12 @@ def ndcg_at_k(
     scores of a week hold its k best rows, so only those leave each task:
     a week is never gathered in one place, however many tracks it has.
     """
-    def entry(which: str, score: str) -> Column:
-        return F.struct(
-            F.lit(which).alias("list"),
-            F.col(score).cast("double").alias("score"),
-            F.col(label).cast("double").alias("gain"),
-        )
-
-    lists = scored.select("week", F.inline(F.array(entry("dcg", prediction), entry("ideal", label))))
+    lists = scored.select(
+        "week",
+        F.col(label).cast("double").alias("gain"),
+        F.col(prediction).cast("double").alias("dcg"),
+        F.col(label).cast("double").alias("ideal"),
+    ).unpivot(["week", "gain"], ["dcg", "ideal"], "list", "score")
     groups = lists.groupBy("week", "list", "score").agg(
         F.count(F.lit(1)).alias("n"), F.avg("gain").alias("gain")
     )

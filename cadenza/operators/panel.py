@@ -183,8 +183,8 @@ def dense_panel(
 
     Returns track_id, week, the given track columns, and the columns named in
     `measures`: {new: (measure, rows back)}, where a measure is one of
-    play_count, like_count, skip_count, playtime_ratio.  Cells without events
-    are 0; rows before the first week are null.
+    play_count, like_count, skip_count, playtime_ratio, listenability.  Cells
+    without events are 0; rows before the first week are null.
     """
     tasks = int(sessions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     needed = list(dict.fromkeys([*columns, "duration_ms"]))
@@ -197,20 +197,22 @@ def dense_panel(
         ))).alias("_cells"))
     )
 
-    def with_ratio(_, cell):
+    def measured(_, cell):
         ratio = mean_ratio(
             cell["play_count"], cell["skipped_plays"], cell["skipped_ms"], F.col("duration_ms")
         )
+        heard = F.coalesce(F.when(cell["play_count"] > 0, ratio), F.lit(0.0))
         return F.struct(
             *[cell[c].cast("double").alias(c) for c in ("play_count", "like_count", "skip_count")],
-            F.when(cell["play_count"] > 0, ratio).alias("playtime_ratio"),
+            heard.alias("playtime_ratio"),
+            fn.listenability(cell["play_count"], heard, cell["like_count"]).alias("listenability"),
         )
 
     catalogue = unique_tracks(tracks, needed)
     depths = sorted({k for _, k in measures.values()})
     rows = (
         catalogue.join(cells, "track_id", "left")
-        .withColumn("_cells", F.transform_values("_cells", with_ratio))
+        .withColumn("_cells", F.transform_values("_cells", measured))
         .withColumn("_weeks", observed_weeks(sessions, calendar, future).scalar())
         .select("track_id", *columns, "_cells", "_weeks", F.posexplode("_weeks").alias("_pos", "week"))
         .select("track_id", "week", *columns, "_pos", *[

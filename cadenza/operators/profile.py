@@ -71,16 +71,16 @@ def histogram(df: DataFrame, columns: list[str] | None = None, bins: int = 50) -
     Only non-empty bins are returned.  A constant column has one bin, 0.
     """
     columns = columns or numeric_columns(df)
-    long = df.select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias("attr"), F.col(c).cast("double").alias("value")) for c in columns
-    ]))).filter(F.col("value").isNotNull())
+    values = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    long = values.unpivot([], columns, "attr", "value").filter(F.col("value").isNotNull())
     # One row per column of the table.
     ranges = long.groupBy("attr").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
     width = (F.col("hi") - F.col("lo")) / F.lit(float(bins))
-    bin_no = F.least(F.floor(F.try_divide(F.col("value") - F.col("lo"), width)), F.lit(bins - 1))
+    place = F.floor(F.try_divide(F.col("value") - F.col("lo"), width))
+    bin_no = F.when(place.isNotNull(), F.least(place, F.lit(bins - 1))).otherwise(0)
     return (
         long.join(F.broadcast(ranges), "attr")
-        .groupBy("attr", F.coalesce(bin_no, F.lit(0)).cast("int").alias("bin"), "lo", "hi")
+        .groupBy("attr", bin_no.cast("int").alias("bin"), "lo", "hi")
         .agg(F.count(F.lit(1)).alias("n"))
         .select("attr", "bin", (F.col("lo") + F.col("bin") * width).alias("bin_start"), "n")
     )

@@ -7,11 +7,11 @@ from datetime import date
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.functions import listenability
 from cadenza.functions.calendar import DEFAULT_ANCHOR
 from cadenza.operators.correlation import correlations, merge_moments, pair_moments
 from cadenza.operators.panel import dense_panel, drop_weeks, fill_zero, with_release_year, with_week
 from cadenza.schemas import TRACK_ATTRIBUTES
+from cadenza.session import materialized
 
 # Fixed value: weeks up to this one have incomplete lags and are the warm-up.
 WARM_UP = 4
@@ -30,27 +30,14 @@ def listenability_panel(
     weeks included.  Lags before the first week are null.
     """
     log = with_week(drop_weeks(sessions, partial_weeks or [], anchor), anchor)
-    back = {
-        f"{m}_{k}": (m, k) for m in ("play_count", "playtime_ratio", "like_count") for k in range(4)
-    }
-    panel = dense_panel(log, with_release_year(tracks), attributes, back)
+    panel = dense_panel(log, with_release_year(tracks), attributes, {
+        **{m: (m, 0) for m in ("play_count", "like_count", "playtime_ratio", "listenability")},
+        **{f"lag_{k}": ("listenability", k) for k in (1, 2, 3)},
+    })
     active = (
         sessions.select("track_id").filter(F.col("track_id").isNotNull()).distinct().withColumn("active", F.lit(True))
     )
-    return panel.join(active, "track_id", "left").select(
-        "track_id",
-        "week",
-        F.col("play_count_0").alias("play_count"),
-        F.col("like_count_0").alias("like_count"),
-        F.col("playtime_ratio_0").alias("playtime_ratio"),
-        listenability("play_count_0", "playtime_ratio_0", "like_count_0").alias("listenability"),
-        *[
-            listenability(f"play_count_{k}", f"playtime_ratio_{k}", f"like_count_{k}").alias(f"lag_{k}")
-            for k in (1, 2, 3)
-        ],
-        *attributes,
-        F.coalesce("active", F.lit(False)).alias("active"),
-    )
+    return panel.join(active, "track_id", "left").withColumn("active", F.coalesce("active", F.lit(False)))
 
 
 def listenability_totals(panel: DataFrame, attributes: list[str]) -> DataFrame:
@@ -67,9 +54,11 @@ def correlation_report(panel: DataFrame, attributes: list[str] | None = None) ->
     Variants: all, warm (warm-up weeks removed), active, active_warm,
     totals, totals_active, with_week, with_parts.  Nulls are 0 except in
     with_parts, which is pairwise-complete.  The weekly row sets are unions
-    of disjoint strata, so one pass over the panel serves all of them.
+    of disjoint strata, so one pass over the panel serves all of them.  The
+    panel is written once for its three passes: the log is not read again.
     """
     attributes = attributes or TRACK_ATTRIBUTES
+    panel = materialized(panel, "listenability-panel")
     measures = ["listenability", "lag_1", "lag_2", "lag_3", *attributes]
     filled = fill_zero(panel)
     strata = pair_moments(

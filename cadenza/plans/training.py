@@ -32,7 +32,8 @@ def train_and_evaluate(
     With `output` the predictions, model and metrics are written below it.
     """
     bounds = {"train_up_to": train_up_to, "test": test_weeks}
-    parts = time_split(features, **{name: v for name, v in bounds.items() if v is not None})
+    # No validation weeks here: they must not take any of the test weeks.
+    parts = time_split(features, validation=[], **{name: v for name, v in bounds.items() if v is not None})
     model = train_model(parts.filter("split = 'train'").drop("split"))
     scored = score_batch(model, parts.filter("split = 'test'").drop("split"))
     if output:

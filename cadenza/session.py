@@ -58,3 +58,10 @@ def checkpointed(df):
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
     return df.checkpoint()
+
+
+def materialized(df, name: str):
+    """Write a table that several passes read, and read it back by column."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

@@ -167,7 +167,8 @@ def missing_by_event_type(spark, d):
 
 def histogram_sql(source: str, columns: list[str], bins: int) -> str:
     long = " UNION ALL ".join(f"SELECT '{c}' AS attr, CAST({c} AS DOUBLE) AS value FROM {source} WHERE {c} IS NOT NULL" for c in columns)
-    bin_no = f"CAST(coalesce(least(floor((value - lo) / nullif((hi - lo) / CAST({bins} AS DOUBLE), 0)), {bins - 1}), 0) AS INT)"
+    place = f"floor((value - lo) / ((hi - lo) / CAST({bins} AS DOUBLE)))"
+    bin_no = f"CAST(CASE WHEN hi > lo THEN least({place}, {bins - 1}) ELSE 0 END AS INT)"
     return f"""long_form AS ({long}),
     ranged AS (SELECT *, min(value) OVER (PARTITION BY attr) AS lo, max(value) OVER (PARTITION BY attr) AS hi FROM long_form),
     binned AS (SELECT *, {bin_no} AS bin FROM ranged)

@@ -1,0 +1,40 @@
+import sys
+from datetime import datetime
+from pathlib import Path
+
+import pytest
+
+ROOT = Path(__file__).resolve().parent.parent
+sys.path.insert(0, str(ROOT))
+
+from cadenza.session import build_session  # noqa: E402
+
+LOG = "event_id long, timestamp timestamp_ntz, user_id long, track_id string, event_type string"
+
+
+@pytest.fixture(scope="session")
+def spark(tmp_path_factory):
+    session = build_session("tests", "local[4]", **{
+        "spark.sql.shuffle.partitions": "4",
+        "spark.ui.enabled": "false",
+        "spark.checkpoint.dir": str(tmp_path_factory.mktemp("checkpoints")),
+    })
+    session.sparkContext.setLogLevel("ERROR")
+    yield session
+    session.stop()
+
+
+@pytest.fixture(scope="session")
+def make_log(spark):
+    """A log from (time, user, track, event) tuples; event ids follow the order."""
+    def make(rows):
+        data = [
+            (i, datetime.fromisoformat(t) if isinstance(t, str) else t, user, track, event)
+            for i, (t, user, track, event) in enumerate(rows)
+        ]
+        return spark.createDataFrame(data, LOG)
+    return make
+
+
+def rows(df, *order):
+    return [tuple(r) for r in (df.orderBy(*order) if order else df).collect()]

@@ -1,0 +1,65 @@
+from datetime import datetime
+
+import pytest
+from conftest import rows
+from pyspark.sql import functions as F
+
+from cadenza import sources
+from cadenza.schemas import ARTISTS, FEATURES, SESSIONS, TRACKS, USERS
+
+
+def test_jsonl_keys_in_any_order(spark, tmp_path):
+    path = tmp_path / "tracks.jsonl"
+    path.write_text('{"id": "a", "name": "One", "key": 3, "tempo": 120}\n{"tempo": 99.5, "name": "Two, too", "id": "b"}\n')
+    df = sources.read_jsonl(spark, str(path), TRACKS)
+    assert rows(df.select("id", "name", "key", "tempo"), "id") == [("a", "One", 3, 120.0), ("b", "Two, too", None, 99.5)]
+
+
+def test_broken_lines_raise_or_pass(spark, tmp_path):
+    path = tmp_path / "artists.jsonl"
+    path.write_text('{"id": "a", "genres": ["pop"]}\nnot json\n')
+    with pytest.raises(Exception, match="MALFORMED"):
+        sources.read_jsonl(spark, str(path), ARTISTS).collect()
+    assert sources.read_jsonl(spark, str(path), ARTISTS, mode="DROPMALFORMED").count() == 1
+
+
+def test_users_carry_no_personal_data(spark, tmp_path):
+    path = tmp_path / "users.jsonl"
+    path.write_text('{"id": 1, "name": "N", "city": "C", "favourite_genres": ["a", "b"]}\n')
+    assert sources.read_jsonl(spark, str(path), USERS).columns == ["id", "favourite_genres"]
+
+
+def test_conversion_keeps_the_first_record_and_places_by_name(spark, tmp_path):
+    source, target = tmp_path / "s.jsonl", str(tmp_path / "s.csv")
+    source.write_text('{"b": 1, "a": "x"}\n{"a": "y, z", "b": 2}\n{"b": 3}\n')
+    assert sources.jsonl_to_csv(spark, str(source), target) == ["b", "a"]
+    back = spark.read.option("header", True).csv(target)
+    assert back.columns == ["b", "a"]
+    assert rows(back, "b") == [("1", "x"), ("2", "y, z"), ("3", None)]
+
+
+def test_sessions_round_trip_keeps_microseconds(spark, tmp_path):
+    data = [(datetime(2021, 1, 4, 1, 2, 3, 456789), 1, "a", "play"), (datetime(2021, 1, 4), 2, None, None)]
+    df = spark.createDataFrame(data, SESSIONS)
+    sources.write_csv(df, str(tmp_path / "csv"))
+    sources.write_jsonl(df, str(tmp_path / "json"))
+    assert rows(sources.read_csv(spark, str(tmp_path / "csv"), SESSIONS), "user_id") == data
+    assert rows(sources.read_jsonl(spark, str(tmp_path / "json"), SESSIONS), "user_id") == data
+
+
+def test_features_by_week_prune_folders(spark, tmp_path):
+    data = [(f"t{i}", w, *[float(i)] * 8, 1, 1999, 10, 0.1, 0.2, 0.3, float(i)) for i in range(6) for w in (2, 3)]
+    df = spark.createDataFrame(data, FEATURES)
+    for format in ("csv", "parquet"):
+        path = str(tmp_path / format)
+        sources.write_features(df, path, format=format, files_per_week=2)
+        back = sources.read_features(spark, path, format=format)
+        assert back.columns == FEATURES.fieldNames()
+        assert rows(back, "track_id", "week") == sorted(data, key=lambda r: (r[0], r[1]))
+    one = sources.read_features(spark, str(tmp_path / "parquet")).filter(F.col("week") == 3)
+    assert "PartitionFilters: [isnotnull(week" in one._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rows_as_json(spark):
+    df = spark.createDataFrame([("a", 1)], "id string, n int")
+    assert sources.rows_as_json(df).first()["value"] == '{"id":"a","n":1}'
