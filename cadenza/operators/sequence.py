@@ -1,10 +1,11 @@
 """What follows an event: next_event, playtime_ratio, play_skip_pairs.
 
 Events are ordered within (week, track, user).  One such group may be huge
-(an anonymous user id, a bot), so it is cut into hour slots that Spark can
-sort on different tasks; the last event of a slot is then matched with the
-first event of the group's next slot, of which there are at most 168 a week.
-The result is the same as one window over the whole group.
+(an anonymous user id, a bot), so it is cut into ten-minute slots that Spark
+can sort on different tasks; the last event of a slot is then matched with the
+first event of the group's next slot, of which there are at most 1008 a week.
+A play and the skip that ends it mostly share a slot.  The result is the same
+as one window over the whole group.
 """
 
 from __future__ import annotations
@@ -18,8 +19,9 @@ from cadenza import functions as fn
 GROUP = ["week", "track_id", "user_id"]
 
 
-def hour_slot(ts: str = "timestamp") -> Column:
-    return F.unix_date(F.to_date(ts)) * 24 + F.hour(ts)
+def time_slot(ts: str = "timestamp") -> Column:
+    """Number of the ten minutes a time lies in; never decreases with time."""
+    return F.unix_date(F.to_date(ts)) * 144 + F.hour(ts) * 6 + F.floor(F.minute(ts) / 10)
 
 
 def event_order(sessions: DataFrame) -> list[str]:
@@ -47,7 +49,7 @@ def next_event(sessions: DataFrame) -> DataFrame:
         keyed = keyed & F.col(key).isNotNull()
 
     in_slot = W.partitionBy(*GROUP, "_slot").orderBy(*event_order(sessions))
-    slotted = events.filter(keyed).withColumn("_slot", hour_slot())
+    slotted = events.filter(keyed).withColumn("_slot", time_slot())
     rows = slotted.withColumns({
         "_next": F.lead(F.struct("timestamp", "event_type")).over(in_slot),
         "_place": F.row_number().over(in_slot),
@@ -101,7 +103,7 @@ def play_skip_pairs(sessions: DataFrame) -> DataFrame:
         without_likes(sessions)
         .dropna(subset=GROUP)
         .select(*GROUP, *event_order(sessions), is_play.alias("_is_play"), is_skip.alias("_is_skip"))
-        .withColumn("_slot", hour_slot())
+        .withColumn("_slot", time_slot())
         .withColumns({
             "_next_ts": F.lead("timestamp").over(in_slot),
             "_next_skip": F.lead("_is_skip").over(in_slot),

@@ -30,14 +30,13 @@ def listenability_panel(
     weeks included.  Lags before the first week are null.
     """
     log = with_week(drop_weeks(sessions, partial_weeks or [], anchor), anchor)
-    panel = dense_panel(log, with_release_year(tracks), attributes, {
+    played = sessions.select("track_id").filter(F.col("track_id").isNotNull()).distinct()
+    # Marked on the catalogue, before it is expanded to weeks.
+    marked = with_release_year(tracks).join(played.withColumn("active", F.lit(True)), "track_id", "left")
+    return dense_panel(log, marked.fillna(False, ["active"]), [*attributes, "active"], {
         **{m: (m, 0) for m in ("play_count", "like_count", "playtime_ratio", "listenability")},
         **{f"lag_{k}": ("listenability", k) for k in (1, 2, 3)},
     })
-    active = (
-        sessions.select("track_id").filter(F.col("track_id").isNotNull()).distinct().withColumn("active", F.lit(True))
-    )
-    return panel.join(active, "track_id", "left").withColumn("active", F.coalesce("active", F.lit(False)))
 
 
 def listenability_totals(panel: DataFrame, attributes: list[str]) -> DataFrame:

@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 from cadenza.functions.calendar import DEFAULT_ANCHOR, week_number
 from cadenza.models.pipeline import score_batch
+from cadenza.operators.ranking import BROADCAST_ROWS
 from cadenza.schemas import PREDICTION
+from cadenza.session import checkpointed
 
 # Accepted model names and the first week a list is made for.
 # (With week 1 dropped as incomplete, all five lags exist from week 7 on.)
@@ -59,15 +61,19 @@ def toplist(
     """rank, track_id, name and predicted plays of a week's n best tracks.
 
     `predictor` is a fitted model or a function that adds the prediction
-    column.  The catalogue is first reduced to the listed tracks by a semi
-    join, so it is never shuffled for the sake of a short list.
+    column.  The week is scored once and its n best rows are kept; a semi
+    join then reduces the catalogue to the listed tracks, so it is not
+    shuffled for the sake of a short list.
     """
     score = (lambda df: score_batch(predictor, df)) if isinstance(predictor, PipelineModel) else predictor
     scored = score(features.filter(F.col("week") == week))
-    best = top_n(scored.select("track_id", PREDICTION), PREDICTION, n)
+    best = checkpointed(top_n(scored.select("track_id", PREDICTION), PREDICTION, n))
+    listed = best.select("track_id")
+    if n <= BROADCAST_ROWS:
+        listed = F.broadcast(listed)
     names = (
         tracks.select("track_id", "name")
-        .join(best.select("track_id"), "track_id", "left_semi")
+        .join(listed, "track_id", "left_semi")
         .groupBy("track_id")
         .agg(F.min("name").alias("name"))
     )
