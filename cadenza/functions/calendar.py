@@ -50,7 +50,11 @@ def sunday_week(ts: Column | str) -> Column:
 
 
 def elapsed_ms(start: Column | str, end: Column | str) -> Column:
-    """Milliseconds from start to end, to the microsecond."""
+    """Milliseconds from start to end, to the microsecond.
+
+    The session time zone should be UTC, as build_session sets it: in a zone
+    with summer time Spark counts the hour that such a night lacks.
+    """
     return F.timestamp_diff("MICROSECOND", as_column(start), as_column(end)) / F.lit(1000.0)
 
 

@@ -29,8 +29,9 @@ def drop_weeks(sessions: DataFrame, weeks: list[int], anchor: date = DEFAULT_ANC
     The condition is on the raw timestamp, so it reaches the file scan.
     """
     for week in weeks:
+        # As text: a Python datetime would be read in the driver's own time zone.
         begin, end = (
-            F.lit(fn.week_start(w, anchor)).cast("timestamp_ntz") for w in (week, week + 1)
+            F.lit(fn.week_start(w, anchor).isoformat(" ")).cast("timestamp_ntz") for w in (week, week + 1)
         )
         sessions = sessions.filter((F.col("timestamp") < begin) | (F.col("timestamp") >= end))
     return sessions

@@ -59,6 +59,7 @@ MODEL_INPUTS = [
 LABEL = "play_count"
 PREDICTION = "predicted_play_count"
 
+# The catalogue's attributes that studies and histograms cover.
 TRACK_ATTRIBUTES = [
     "popularity", "duration_ms", "explicit", "danceability", "energy", "key",
     "loudness", "speechiness", "acousticness", "instrumentalness", "liveness",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cadenza.schemas import FEATURES
@@ -22,4 +23,6 @@ def read_features(spark: SparkSession, path: str, format: str = "parquet") -> Da
     """A feature table written by write_features."""
     if format == "csv":
         return read_csv(spark, path, FEATURES)
-    return spark.read.parquet(path).select(*FEATURES.fieldNames())
+    # Folder names carry no type; the cast does not hinder folder pruning.
+    table = spark.read.parquet(path).withColumn("week", F.col("week").cast("bigint"))
+    return table.select(*FEATURES.fieldNames())

@@ -144,8 +144,8 @@ def _det(columns: list[list[str]]) -> str:
     return f"({a} * ({f} * {j} - {g} * {i}) - {e} * ({b} * {j} - {c} * {i}) + {h} * ({b} * {g} - {c} * {f}))"
 
 
-def ols_sql() -> str:
-    """Three-regressor least squares by Cramer's rule on the covariances."""
+def ols_ctes() -> str:
+    """Three-regressor least squares by Cramer's rule on the covariances: b0 to b2 and b."""
     names = {f"c{i}{j}": _COV[LAGS[i], LAGS[j]] for i in range(3) for j in range(3)}
     names.update({f"y{i}": _COV[LAGS[i], "play_count"] for i in range(3)})
     means = ", ".join(f"avg({c}) AS m_{c}" for c in (*LAGS, "play_count"))
@@ -156,20 +156,67 @@ def ols_sql() -> str:
     )
     return f"""{fv.FEATURES_L}, train AS (SELECT * FROM features WHERE week > 4 AND week <= 42),
     moments AS (SELECT {', '.join(f'{e} AS {n}' for n, e in names.items())}, {means} FROM train),
-    slopes AS (SELECT *, {slopes} FROM moments)
-    SELECT 'intercept' AS term, {q6('m_play_count - b0 * m_lag_1 - b1 * m_lag_2 - b2 * m_lag_3')} AS value FROM slopes
-    UNION ALL SELECT 'lag_1', {q6('b0')} FROM slopes UNION ALL SELECT 'lag_2', {q6('b1')} FROM slopes
-    UNION ALL SELECT 'lag_3', {q6('b2')} FROM slopes"""
+    slopes AS (SELECT *, {slopes} FROM moments),
+    ols AS (SELECT b0, b1, b2, m_play_count - b0 * m_lag_1 - b1 * m_lag_2 - b2 * m_lag_3 AS b FROM slopes)"""
 
 
-@check("ols_lags", ols_sql())
+OLS_SCORED = f"""{ols_ctes()}, scored AS (SELECT f.*, b + b0 * lag_1 + b1 * lag_2 + b2 * lag_3 AS predicted_play_count
+    FROM features f, ols WHERE week IN (126, 157))"""
+OLS_PREDICTIONS = f"{OLS_SCORED} SELECT track_id, week, play_count, {q6('predicted_play_count')} AS predicted_play_count FROM scored"
+
+
+def fit_ols(rows: DataFrame):
+    return models.train_ols(rows.filter((F.col("week") > 4) & (F.col("week") <= 42)), LAGS)
+
+
+@check("ols_lags", f"""{ols_ctes()} SELECT 'intercept' AS term, {q6('b')} AS value FROM ols
+    UNION ALL SELECT 'lag_1', {q6('b0')} FROM ols UNION ALL SELECT 'lag_2', {q6('b1')} FROM ols
+    UNION ALL SELECT 'lag_3', {q6('b2')} FROM ols""")
 def ols_lags(spark, d):
-    train = fv.feature_table(spark, d).filter((F.col("week") > 4) & (F.col("week") <= 42))
-    model = models.train_ols(train, LAGS).stages[-1]
+    model = fit_ols(fv.feature_table(spark, d)).stages[-1]
     terms = list(zip(["intercept", *LAGS], [model.intercept, *map(float, model.coefficients)]))
     return spark.createDataFrame(terms, "term string, value double").withColumn("value", r6("value"))
 
 
+@check("score_ols", OLS_PREDICTIONS)
+def score_ols(spark, d):
+    return predictions(models.score_batch(fit_ols(fv.feature_table(spark, d)), split(spark, d, "test")))
+
+
+@check("save_load_ols", OLS_PREDICTIONS)
+def save_load_ols(spark, d):
+    path = scratch_path(spark, "model")
+    models.save_model(fit_ols(fv.feature_table(spark, d)), path)
+    return predictions(models.score_batch(models.load_model(path), split(spark, d, "test")))
+
+
+@check("train_and_evaluate_ols", f"""{OLS_SCORED}, {METRICS}, {ndcg_sql(20)} SELECT * FROM metrics
+    UNION ALL SELECT 'ndcg@20', {q6('avg(ndcg)')} FROM ndcg""")
+def train_and_evaluate_ols(spark, d):
+    path = scratch_path(spark, "ols")
+    _, metrics = train_and_evaluate(fv.feature_table(spark, d), fit_ols, output=path)
+    return metrics.withColumn("value", r6("value"))
+
+
+@check("sink_predictions_ols", OLS_PREDICTIONS)
+def sink_predictions_ols(spark, d):
+    path = scratch_path(spark, "ols")
+    train_and_evaluate(fv.feature_table(spark, d), fit_ols, output=path)
+    written = spark.read.schema("track_id bigint, week bigint, play_count double, predicted_play_count double")
+    return predictions(written.json(f"{path}/predictions"))
+
+
+@check("toplist_ols", f"""{OLS_SCORED}, best AS (SELECT track_id, predicted_play_count FROM scored WHERE week = 126
+        ORDER BY predicted_play_count DESC, track_id LIMIT 50)
+    SELECT CAST(row_number() OVER (ORDER BY predicted_play_count DESC, b.track_id) AS BIGINT) AS rank, b.track_id, name,
+        {q6('predicted_play_count')} AS predicted_play_count
+    FROM best b LEFT JOIN tracks t ON b.track_id = t.track_id""")
+def toplist_ols(spark, d):
+    features = fv.feature_table(spark, d)
+    top = toplist(features, v.tracks(spark, d), 126, 50, fit_ols(features))
+    return top.withColumn(PREDICTION, r6(PREDICTION))
+
+
 @check("ols_single_lag", f"""{fv.FEATURES_L} SELECT {q6('regr_slope(play_count, lag_1)')} AS slope,
     {q6('regr_intercept(play_count, lag_1)')} AS intercept, CAST(regr_count(play_count, lag_1) AS BIGINT) AS n
     FROM features WHERE week <= 100""")

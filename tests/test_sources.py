@@ -1,3 +1,4 @@
+import re
 from datetime import datetime
 
 import pytest
@@ -57,7 +58,9 @@ def test_features_by_week_prune_folders(spark, tmp_path):
         assert back.columns == FEATURES.fieldNames()
         assert rows(back, "track_id", "week") == sorted(data, key=lambda r: (r[0], r[1]))
     one = sources.read_features(spark, str(tmp_path / "parquet")).filter(F.col("week") == 3)
-    assert "PartitionFilters: [isnotnull(week" in one._jdf.queryExecution().executedPlan().toString()
+    scan = re.search(r"PartitionFilters: \[(.*?)\], PushedFilters", one._jdf.queryExecution().executedPlan().toString())
+    assert "week" in scan.group(1) and " 3" in scan.group(1)
+    assert all("week=3" in f for f in one.select(F.input_file_name()).distinct().toPandas().iloc[:, 0])
 
 
 def test_rows_as_json(spark):
