@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from cadenza.session import materialized, scratch_path
 
-__all__ = ["documents", "ids_and_texts", "labels", "materialized", "merged_columns", "scratch_path", "ship", "shuffle_tasks"]
+__all__ = ["documents", "held_out", "ids_and_texts", "labelled_sample", "labels", "materialized", "merged_columns", "scratch_path", "ship", "shuffle_tasks"]
 
 _shipped: set[str] = set()
 
@@ -56,3 +56,17 @@ def merged_columns(docs: DataFrame, replaced: dict[str, Column]) -> list[Column]
 
 def shuffle_tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def labelled_sample(labels: DataFrame, label: str, learn_not: Column, sample: int) -> DataFrame:
+    """doc_id and label of the rows that may be learnt from: each id once, with its least label; `sample`
+    at most, those whose ids hash lowest."""
+    rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("double").alias("label"))
+    rows = rows.where(F.col("doc_id").isNotNull() & F.col("label").isNotNull() & ~learn_not)
+    return rows.groupBy("doc_id").agg(F.min("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+
+
+def held_out(modulus: int, remainder: int) -> Column:
+    """Whether crc32 of doc_id as text leaves `remainder`; false for a null id."""
+    rest = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(modulus))
+    return F.coalesce(rest == remainder, F.lit(False))

@@ -8,8 +8,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm import bpe, decontaminate, line_dedup, simhash, token_counts, token_files
-from cadenza.llm.common import documents, scratch_path
+from cadenza.llm import (
+    bpe, decontaminate, line_dedup, neighbours, quality, secrets, simhash, token_counts, token_files, toxicity,
+)
+from cadenza.llm.common import documents, held_out, labels, scratch_path
 from cadenza.llm.pieces import WORD_BPE
 
 
@@ -37,6 +39,14 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.overlaps(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = held_out(5, 0)
+    scores = toxicity.toxicity_scores(documents(spark, sf_dir), labels(spark, sf_dir), out)
+    return scores.select(
+        "doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        "neighbours", "similarities")
+
+
 _DECIMALS = [str(i).encode() for i in range(1 << 16)]
 
 
@@ -55,13 +65,36 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_and_decode(documents(spark, sf_dir), finish=bpe_digests, schema=BPE_DIGESTS)
 
 
+def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0)
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = held_out(3, 1)
+    docs = documents(spark, sf_dir)
+    scores = quality.quality_scores(docs, quality.fit(docs, labels(spark, sf_dir), out))
+    return scores.select(
+        "doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = secrets.KINDS[:3]
+    return secrets.scan(documents(spark, sf_dir)).select(
+        "doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in base],
+        F.sha2(secrets.listed(*base), 256).alias("base_sha256"), secrets.listed(*secrets.KINDS).alias("spans"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_token_files": op2_token_files,
     "op3_line_dedup": op3_line_dedup,
     "op4_token_counts": op4_token_counts,
     "op5_decontamination": op5_decontamination,
+    "op6_toxicity": op6_toxicity,
     "op7_bpe": op7_bpe,
+    "op8_neighbours": op8_neighbours,
+    "op9_quality": op9_quality,
+    "op10_secrets": op10_secrets,
 }
 
 ORACLES = {
