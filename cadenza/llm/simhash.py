@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import ids_and_texts, materialized, merged_columns
+from cadenza.llm.common import ids_and_texts, materialized, merged_columns, shuffle_tasks
 
 SHINGLE = 3
 DISTANCE = 3
@@ -76,59 +76,74 @@ def _spanning(members: np.ndarray) -> list[tuple[int, int]]:
     return links
 
 
-def _bucket_links(members: pd.Series) -> pd.Series:
-    return pd.Series([[{"hi": a, "lo": b} for a, b in _spanning(np.asarray(m, dtype=np.int64))] for m in members])
+def _linked(keys: list[str]):
+    """Links of each bucket; rows arrive sorted by bucket, of which none is large."""
+    def of(fps: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
+        sizes = ends - starts
+        at = starts[sizes == 2]
+        one, two = fps[at], fps[at + 1]
+        near = np.bitwise_count((one ^ two).view(np.uint64)) <= DISTANCE
+        out = list(zip(np.maximum(one, two)[near].tolist(), np.minimum(one, two)[near].tolist()))
+        for a, z in zip(starts[sizes > 2].tolist(), ends[sizes > 2].tolist()):
+            out += _spanning(fps[a:z])
+        return out
 
-
-#: Of a bucket's key at each level: (halves times bits, how the variant of `fp` numbered `v` is found).
-#: The key holds the variant's number above the masked bits.  `k1` >> 37 tells the half taken first,
-#: `k2` >> 20 the quarter taken next.
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for batch in batches:
+            rest = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+            bucket = rest[keys].to_numpy()
+            starts = np.flatnonzero(np.r_[True, (bucket[1:] != bucket[:-1]).any(axis=1)]) if len(bucket) else []
+            if len(starts) > 1:
+                found = of(rest["fp"].to_numpy(), starts[:-1], starts[1:])
+                rest = rest.iloc[starts[-1]:]
+                if found:
+                    yield pd.DataFrame(found, columns=["hi", "lo"])
+        if rest is not None and len(rest):
+            found = of(rest["fp"].to_numpy(), np.array([0]), np.array([len(rest)]))
+            yield pd.DataFrame(found, columns=["hi", "lo"]).astype("int64")
+    return run
+
+
+#: At each level: the bucket's key, the bits of a part, and where part `q` (0 or 1) of the bits not yet
+#: used starts.  A key holds part, wild position and the part's other bits, so its top tells the part.
 _LEVELS = [
-    ("k1", 64, "(v << 32) | ((fp >>> (32 * (v div 32))) & 4294967295L & ~(1L << cast(v % 32 AS INT)))"),
-    ("k2", 32, "(v << 16) | ((fp >>> (32 * (1 - (k1 >>> 37)) + 16 * (v div 16))) & 65535L & ~(1L << cast(v % 16 AS INT)))"),
-    ("k3", 16, "(v << 8) | ((fp >>> (32 * (1 - (k1 >>> 37)) + 16 * (1 - (k2 >>> 20)) + 8 * (v div 8)))"
-               " & 255L & ~(1L << cast(v % 8 AS INT)))"),
+    ("k1", 32, "32 * q"),
+    ("k2", 16, "32 * (1 - (k1 >>> 37)) + 16 * q"),
+    ("k3", 8, "32 * (1 - (k1 >>> 37)) + 16 * (1 - (k2 >>> 20)) + 8 * q"),
 ]
 
 
-def _variant(expression: str) -> str:
-    """Shift distances are ints in SQL."""
-    out, at = [], 0
-    while (i := expression.find(">>> (", at)) >= 0:
-        depth, j = 1, i + 5
-        while depth:
-            depth += {"(": 1, ")": -1}.get(expression[j], 0)
-            j += 1
-        inside = expression[i + 5:j - 1]
-        out.append(expression[at:i] + f">>> cast({_variant(inside)} AS INT)")
-        at = j
-    return "".join(out) + expression[at:]
-
-
 def links(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """Links (hi, lo) that connect the different fingerprints of column `fp` exactly as all pairs
-    at `DISTANCE` or less would."""
-    spanning = F.pandas_udf(_bucket_links, "array<struct<hi: long, lo: long>>")
-    members = fps.select("fp").distinct()
+    at `DISTANCE` or less would.
+
+    How many fingerprints hold a part's value is counted first, two rows a fingerprint.  A bucket
+    unites two such values, so only the buckets of values held by more than half of `bucket` can be
+    large; they go on to the next level.  At the last level no bucket can be.
+    """
+    n = shuffle_tasks(fps.sparkSession)
+    members = fps.select("fp").distinct().repartition(n, "fp")
     found, keys = [], []
-    for level, (key, variants, expression) in enumerate(_LEVELS):
-        keys.append(key)
-        members = members.select(
-            "fp", *keys[:-1], F.explode(F.sequence(F.lit(0), F.lit(variants - 1)).cast("array<long>")).alias("v")
-        ).select("fp", *keys[:-1], F.expr(_variant(expression)).alias(key))
-        sizes = materialized(
-            members.groupBy(*keys).agg(F.count("*").alias("n"), F.min("fp").alias("lo"), F.max("fp").alias("hi"))
-            .where("n > 1"), "buckets")
-        found.append(sizes.where(f"n = 2 AND bit_count(hi ^ lo) <= {DISTANCE}").select("hi", "lo"))
-        last = level == len(_LEVELS) - 1
-        small = sizes.where("n > 2" if last else f"n > 2 AND n <= {bucket}")
-        found.append(
-            members.join(small.select(*keys), keys).groupBy(*keys).agg(F.collect_list("fp").alias("fps"))
-            .select(F.inline(spanning("fps"))))
-        large = sizes.where(f"n > {bucket} AND n > 2").select(*keys)
-        if last or large.isEmpty():
+    for level, (key, width, start) in enumerate(_LEVELS):
+        before, keys = keys, [*keys, key]
+        parts = members.select("fp", *before, F.explode(F.array(F.lit(0), F.lit(1))).alias("q")).select(
+            "fp", *before, "q", F.expr(f"(fp >>> cast({start} AS INT)) & {2**width - 1}L").alias("part"))
+        position = F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("p")
+        variant = F.expr(f"((q * {width} + p) * {2**width}L) | (part & ~(1L << p))").alias(key)
+        variants = parts.select("fp", *before, "q", "part", position).select("fp", *before, variant)
+        large = None
+        if level < len(_LEVELS) - 1:
+            often = parts.groupBy(*before, "q", "part").agg(F.count("*").alias("n")).where(f"2 * n > {bucket}")
+            hot = materialized(often.select(*before, "q", "part", position).select(*before, variant).distinct(), "large")
+            if not hot.isEmpty():
+                large = variants.join(hot, keys, "left_semi")
+                variants = variants.join(hot, keys, "left_anti")
+        near = variants.repartition(n, *keys).sortWithinPartitions(*keys)
+        found.append(near.mapInPandas(_linked(keys), "hi long, lo long"))
+        if large is None:
             break
-        members = materialized(members.join(large, keys), "large-buckets")
+        members = materialized(large, "large-buckets")
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
