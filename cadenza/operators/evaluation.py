@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cadenza.operators.ranking import preceding_total
 from cadenza.schemas import LABEL, PREDICTION
 
 # The published split of the three-year log.  Validation and
@@ -60,9 +60,9 @@ def ndcg_at_k(
 ) -> DataFrame:
     """NDCG@k per week: linear gain, log2 discount, equal scores share their gain.
 
-    Rows are first reduced to one per week and distinct score.  The k best
-    scores of a week hold its k best rows, so only those leave each task:
-    a week is never gathered in one place, however many tracks it has.
+    Rows are first reduced to one per week and distinct score.  What stands
+    ahead of a score is counted over ranges of the sort key, so a week is never
+    gathered in one place, however many tracks it has and whatever k is.
     """
     lists = scored.select(
         "week",
@@ -73,14 +73,12 @@ def ndcg_at_k(
     groups = lists.groupBy("week", "list", "score").agg(
         F.count(F.lit(1)).alias("n"), F.avg("gain").alias("gain")
     )
-    best_first = W.partitionBy("week", "list").orderBy(F.col("score").desc())
-    top = groups.withColumn("place", F.row_number().over(best_first)).filter(F.col("place") <= k)
-    ahead = F.coalesce(F.sum("n").over(best_first.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    placed = preceding_total(groups, ["week", "list"], [F.col("score").desc()], F.col("n"), "ahead")
     last = F.least(F.col("ahead") + F.col("n"), F.lit(k))
     discount = F.aggregate(
         F.sequence(F.col("ahead") + 1, last), F.lit(0.0), lambda acc, i: acc + 1 / F.log2(i + 1)
     )
-    gains = top.withColumn("ahead", ahead).filter(F.col("ahead") < k).withColumn("gain", F.col("gain") * discount)
+    gains = placed.filter(F.col("ahead") < k).withColumn("gain", F.col("gain") * discount)
     by_week = gains.groupBy("week").agg(
         F.sum(F.when(F.col("list") == "dcg", F.col("gain"))).alias("dcg"),
         F.sum(F.when(F.col("list") == "ideal", F.col("gain"))).alias("ideal"),

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from cadenza import functions as fn
 from cadenza.functions.calendar import DEFAULT_ANCHOR
+from cadenza.operators.catalogue import first_row
 from cadenza.operators.sequence import mean_ratio, play_skip_pairs
 
 COUNTED_EVENTS = ["play", "like", "skip"]
@@ -65,23 +66,20 @@ def mean_playtime(sessions: DataFrame, tracks: DataFrame) -> DataFrame:
 
 
 def unique_tracks(tracks: DataFrame, columns: list[str]) -> DataFrame:
-    """One row per non-null track id; of repeated ids the smallest row is kept.
+    """One row per non-null track id; of repeated ids the one that comes first by all its columns
+    in order of name, nulls last, whichever columns are asked for.
 
     Spread by track over a fixed number of tasks: the rows are few, but what
     follows expands each of them to all weeks, and adaptive merging of small
     partitions would leave that to a handful of tasks.
     """
     tasks = int(tracks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    known = (
-        tracks.filter(F.col("track_id").isNotNull())
-        .select("track_id", *columns)
-        .repartition(tasks, "track_id")
-    )
+    known = tracks.filter(F.col("track_id").isNotNull())
     if not columns:
-        return known.distinct()
+        return known.select("track_id").repartition(tasks, "track_id").distinct()
     return (
-        known.groupBy("track_id")
-        .agg(F.min(F.struct(*columns)).alias("_row"))
+        known.repartition(tasks, "track_id").groupBy("track_id")
+        .agg(first_row(tracks).alias("_row"))
         .select("track_id", *[F.col("_row")[c].alias(c) for c in columns])
     )
 

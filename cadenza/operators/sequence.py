@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cadenza import functions as fn
+from cadenza.operators.catalogue import first_row
 
 GROUP = ["week", "track_id", "user_id"]
 
@@ -78,7 +79,7 @@ def next_event(sessions: DataFrame) -> DataFrame:
 
 def playtime_ratio(sessions: DataFrame, tracks: DataFrame) -> DataFrame:
     """Every play of a known track with the share of it that was heard."""
-    durations = tracks.select("track_id", "duration_ms")
+    durations = tracks.filter(F.col("track_id").isNotNull()).groupBy("track_id").agg(first_row(tracks)["duration_ms"].alias("duration_ms"))
     plays = next_event(sessions).filter(F.col("event_type") == "play")
     return plays.join(durations, "track_id").withColumn("playtime_ratio", fn.playtime_ratio())
 

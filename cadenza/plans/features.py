@@ -16,8 +16,8 @@ from cadenza.operators.panel import (
 )
 from cadenza.schemas import FEATURE_COLUMNS
 
-# The incomplete first and last week of the three-year log.
-DEFAULT_PARTIAL_WEEKS = [1, 158]
+# The incomplete first and last week of the published three-year log.
+PUBLISHED_PARTIAL_WEEKS = [1, 158]
 
 STATIC = ["popularity", "release_date", "duration_ms", "danceability", "acousticness", "instrumentalness"]
 
@@ -26,16 +26,17 @@ def build_features(
     sessions: DataFrame,
     tracks: DataFrame,
     anchor: date = DEFAULT_ANCHOR,
-    partial_weeks: list[int] | None = None,
+    *,
+    partial_weeks: list[int],
     calendar: bool = False,
 ) -> DataFrame:
     """17 columns per track and week, the week to forecast included.
 
     `sessions` is the raw log, `tracks` the catalogue keyed by track_id with
-    release_date as text.
+    release_date as text.  `partial_weeks` names the incomplete weeks of this log,
+    which are left out.
     """
-    partial = DEFAULT_PARTIAL_WEEKS if partial_weeks is None else partial_weeks
-    log = with_week(drop_weeks(sessions, partial, anchor), anchor)
+    log = with_week(drop_weeks(sessions, partial_weeks, anchor), anchor)
     panel = dense_panel(log, with_release_year(tracks), STATIC, {
         "play_count": ("play_count", 0),
         "lag_like_count": ("like_count", 1),

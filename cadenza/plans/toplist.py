@@ -7,14 +7,13 @@ from datetime import date
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cadenza.functions.calendar import DEFAULT_ANCHOR, week_number
 from cadenza.models.pipeline import score_batch
-from cadenza.operators.ranking import BROADCAST_ROWS
+from cadenza.operators.ranking import preceding_total
 from cadenza.schemas import PREDICTION
-from cadenza.session import checkpointed
+from cadenza.session import materialized
 
 # Accepted model names and the first week a list is made for.
 # (With week 1 dropped as incomplete, all five lags exist from week 7 on.)
@@ -44,11 +43,11 @@ def toplist_request(arguments: dict, anchor: date = DEFAULT_ANCHOR) -> dict:
 def top_n(rows: DataFrame, score: str, n: int) -> DataFrame:
     """The n best rows with their rank, ties by track_id.
 
-    Each task keeps its own n best; only those are merged and numbered.
+    Rows are numbered in ranges of the sort key, so no task holds the list, however long it is.
     """
     order = [F.col(score).desc_nulls_last(), F.col("track_id").asc()]
-    best = rows.orderBy(*order).limit(n)
-    return best.withColumn("rank", F.row_number().over(W.orderBy(*order)).cast("bigint"))
+    placed = preceding_total(rows.withColumn("_all", F.lit(0)), ["_all"], order, name="rank").drop("_all")
+    return placed.withColumn("rank", (F.col("rank") + 1).cast("bigint")).filter(F.col("rank") <= n)
 
 
 def toplist(
@@ -62,18 +61,14 @@ def toplist(
 
     `predictor` is a fitted model or a function that adds the prediction
     column.  The week is scored once and its n best rows are kept; a semi
-    join then reduces the catalogue to the listed tracks, so it is not
-    shuffled for the sake of a short list.
+    join then reduces the catalogue to the listed tracks.
     """
     score = (lambda df: score_batch(predictor, df)) if isinstance(predictor, PipelineModel) else predictor
     scored = score(features.filter(F.col("week") == week))
-    best = checkpointed(top_n(scored.select("track_id", PREDICTION), PREDICTION, n))
-    listed = best.select("track_id")
-    if n <= BROADCAST_ROWS:
-        listed = F.broadcast(listed)
+    best = materialized(top_n(scored.select("track_id", PREDICTION), PREDICTION, n), "toplist")
     names = (
         tracks.select("track_id", "name")
-        .join(listed, "track_id", "left_semi")
+        .join(best.select("track_id"), "track_id", "left_semi")
         .groupBy("track_id")
         .agg(F.min("name").alias("name"))
     )

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -32,18 +31,12 @@ def build_session(app_name: str = "cadenza", master: str | None = None, **conf:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach: spark.checkpoint.dir.
-
-    Only a local session that names none gets a temporary folder of its own.
-    """
+    """The folder every executor can reach: spark.checkpoint.dir, or else one below the warehouse."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-    folder = tempfile.mkdtemp(prefix="cadenza-")
-    spark.sparkContext.setCheckpointDir(folder)
-    return folder
+    return folder or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
+
+
+_materialized: list[tuple[str, str]] = []
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -51,6 +44,19 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/cadenza/{name}-{uuid.uuid4().hex}"
 
 
+def release_scratch(spark: SparkSession) -> int:
+    """Empty the tables that `materialized` wrote in this application; how many they were.
+
+    For the caller, once it has taken what it wants from the DataFrames that read them: a
+    lazy result cannot know when it was last used.
+    """
+    mine = [x for x in _materialized if x[0] == spark.sparkContext.applicationId]
+    for entry in mine:
+        spark.range(0).write.mode("overwrite").parquet(entry[1])
+        _materialized.remove(entry)
+    return len(mine)
+
+
 def checkpointed(df):
     """Cut lineage through the shared folder; survives the loss of executors."""
     context = df.sparkSession.sparkContext
@@ -63,5 +69,6 @@ def checkpointed(df):
 def materialized(df, name: str):
     """Write a table that several passes read, and read it back by column."""
     path = scratch_path(df.sparkSession, name)
+    _materialized.append((df.sparkSession.sparkContext.applicationId, path))
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)

@@ -14,9 +14,37 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType, mode: str =
     return spark.read.schema(schema).option("mode", mode).json(path)
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType, mode: str = "FAILFAST") -> DataFrame:
-    """Headed CSV; the header must name the schema's columns in order."""
-    return spark.read.schema(schema).option("header", True).option("mode", mode).csv(path)
+#: Standard quoting, with a cell's own spaces.
+CSV_TEXT = {
+    "header": True, "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False,
+}
+#: An empty cell is null, one in quotes the empty string: null gets a mark that no cell holds.
+CSV_READ = {**CSV_TEXT, "nullValue": "\0", "emptyValue": ""}
+
+
+def csv_header(spark: SparkSession, path: str, multiline: bool = False) -> list[str]:
+    """The column names that a CSV file, or the first file of a folder, starts with."""
+    return spark.read.options(**CSV_READ).option("multiLine", multiline).csv(path).columns
+
+
+def read_csv(spark: SparkSession, path: str, schema: T.StructType, mode: str = "FAILFAST", multiline: bool = False) -> DataFrame:
+    """Headed CSV with standard quoting; columns are found by name, further ones are left out.
+
+    A file that lacks a column of the schema raises.  Cells that hold line breaks need `multiline`;
+    such files are read by one task each, as nothing tells where a record starts, and a line break in a
+    cell comes back as \\n.
+    """
+    header = csv_header(spark, path, multiline)
+    missing = [f.name for f in schema.fields if f.name not in header]
+    if missing and header:
+        raise ValueError(f"{path} has no column {', '.join(missing)}")
+    named = {f.name: f for f in schema.fields}
+    as_written = T.StructType([named.get(c, T.StructField(c, T.StringType())) for c in header])
+    table = (
+        spark.read.schema(as_written if header else schema).options(**CSV_READ)
+        .option("enforceSchema", False).option("mode", mode).option("multiLine", multiline).csv(path)
+    )
+    return table.select(*[F.col(f"`{f.name}`") for f in schema.fields])
 
 
 def read_features(spark: SparkSession, path: str, format: str = "parquet") -> DataFrame:

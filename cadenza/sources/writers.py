@@ -8,43 +8,52 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cadenza.sources.readers import CSV_TEXT
 
 # Text formats would otherwise cut timestamps to milliseconds.
 TIMESTAMP_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).option("timestampNTZFormat", TIMESTAMP_FORMAT).csv(path)
+    """Headed CSV with doubled quotes; null is an empty cell, the empty string an empty cell in quotes."""
+    options = {**CSV_TEXT, "nullValue": "", "emptyValue": '""', "timestampNTZFormat": TIMESTAMP_FORMAT}
+    df.write.mode("overwrite").options(**options).csv(path)
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("timestampNTZFormat", TIMESTAMP_FORMAT).json(path)
 
 
-def write_features(features: DataFrame, path: str, format: str = "parquet", files_per_week: int = 1) -> None:
+def write_features(features: DataFrame, path: str, format: str = "parquet") -> None:
     """Write the feature table; Parquet is laid out by week.
 
-    Training and top lists read whole weeks, so they open only those
-    folders.  Rows are spread over `files_per_week` tasks per week: one
-    writer per folder would be too slow for a large catalogue, and one per
-    task and folder would leave tasks x weeks small files.
+    Training and top lists read whole weeks, so they open only those folders.  The rebalancing lets Spark
+    split a large week among several writers and merge small ones by measured size; inside a
+    file tracks are in order, so a reader of one track skips row groups.
     """
     if format == "csv":
         write_csv(features, path)
         return
-    slice_no = F.pmod(F.xxhash64("track_id"), F.lit(files_per_week))
-    features.repartition(F.col("week"), slice_no).write.mode("overwrite").partitionBy("week").parquet(path)
+    laid_out = features.hint("rebalance", "week").sortWithinPartitions("week", "track_id")
+    laid_out.write.mode("overwrite").partitionBy("week").parquet(path)
+
+
+def json_keys(spark: SparkSession, path: str) -> list[str]:
+    """All keys of the records, in the order they first come.  As many as the table has columns."""
+    records = spark.read.text(path).select(
+        F.monotonically_increasing_id().alias("record"), F.posexplode(F.json_object_keys("value")).alias("at", "key"))
+    first = records.groupBy("key").agg(F.min(F.struct("record", "at")).alias("first"))
+    return [r["key"] for r in first.orderBy("first", "key").collect()]
 
 
 def jsonl_to_csv(spark: SparkSession, jsonl_path: str, csv_path: str, schema: T.StructType | None = None) -> list[str]:
     """Convert JSON lines to headed CSV and return the header.
 
-    Every record is kept and values are placed by name.  Without a schema
-    the header is the keys of the first record, read as text.
+    Every record is kept and values are placed by name.  Without a schema the header is the union of all
+    records' keys, in the order they first come, read as text.
     """
     if schema is None:
-        first = spark.read.text(jsonl_path).limit(1).select(F.json_object_keys("value").alias("keys")).first()
-        schema = T.StructType([T.StructField(k, T.StringType()) for k in (first["keys"] if first else [])])
+        schema = T.StructType([T.StructField(k, T.StringType()) for k in json_keys(spark, jsonl_path)])
     write_csv(spark.read.schema(schema).option("mode", "FAILFAST").json(jsonl_path), csv_path)
     return schema.fieldNames()
 

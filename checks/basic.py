@@ -167,10 +167,11 @@ def explode_array(spark, d):
     return v.users(spark, d).select("user_id", F.explode_outer("favourite_genres").alias("genre"))
 
 
-@check("counts_to_map")
+@check("counts_to_map", v.with_views("users") + """
+    SELECT genre, count(*) AS n FROM (SELECT unnest(favourite_genres) AS genre FROM users) GROUP BY genre""")
 def counts_to_map(spark, d):
     counts = profile.explode_value_counts(v.users(spark, d), "favourite_genres")
-    return profile.counts_to_map(counts, "favourite_genres")
+    return profile.counts_to_map(counts, "favourite_genres").select(F.explode("counts").alias("genre", "n"))
 
 
 # Filters

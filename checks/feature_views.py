@@ -25,11 +25,11 @@ def log_l(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def features_e(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return build_features(v.sessions_e(spark, sf_dir), v.tracks(spark, sf_dir), v.ANCHOR_E, v.PARTIAL_E)
+    return build_features(v.sessions_e(spark, sf_dir), v.tracks(spark, sf_dir), v.ANCHOR_E, partial_weeks=v.PARTIAL_E)
 
 
 def features_l(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return build_features(v.sessions_l(spark, sf_dir), v.tracks(spark, sf_dir), v.ANCHOR_L, v.PARTIAL_L)
+    return build_features(v.sessions_l(spark, sf_dir), v.tracks(spark, sf_dir), v.ANCHOR_L, partial_weeks=v.PARTIAL_L)
 
 
 def feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cadenza import models, sources
 from cadenza.functions.calendar import week_start
 from cadenza.models.pipeline import assembler
 from cadenza.operators import evaluation as ev
+from cadenza.operators.profile import semi_join_active
 from cadenza.plans.correlation import correlation_report
 from cadenza.plans.quality import quality_report
-from cadenza.plans.toplist import popular_tracks_report, toplist, toplist_request
+from cadenza.plans.toplist import popular_tracks_report, toplist, toplist_job, toplist_request
 from cadenza.plans.training import evaluate, train_and_evaluate
 from cadenza.schemas import LABEL, MODEL_INPUTS, PREDICTION, TRACK_ATTRIBUTES
 from cadenza.session import scratch_path
@@ -20,10 +22,6 @@ from checks import views as v
 from checks.registry import check, q6, r6
 from checks.relational import corr_sql
 
-# A short boosting run keeps the checks quick; rows and weeks are all used.
-SHORT_RUN = {"maxIter": 3}
-
-
 def persistence(rows: DataFrame) -> DataFrame:
     """The predictor SQL can follow: next week is like last week."""
     return rows.withColumn(PREDICTION, F.col("lag_1"))
@@ -101,38 +99,94 @@ def sink_metrics(spark, d):
 
 # Models
 
-@check("assemble_vector")
+# A least-squares fit with intercept is the one whose predictions have, over the rows it learnt from, the label's mean
+# and with each input the label's mean product.  That is what SQL knows of it.
+
+def normal(scored: DataFrame, label: str = LABEL, inputs: list[str] | None = None) -> DataFrame:
+    """The mean of the prediction, and its mean product with each input, by the input's mean size."""
+    terms = {"intercept": F.avg(PREDICTION)}
+    for c in inputs or MODEL_INPUTS:
+        terms[c] = F.coalesce(F.try_divide(F.avg(F.col(c).cast("double") * F.col(PREDICTION)), F.avg(F.abs(F.col(c).cast("double")))), F.lit(0.0))
+    sums = scored.select(*[F.round(x, 4).alias(c) for c, x in terms.items()])
+    return sums.unpivot([], list(terms), "term", "value")
+
+
+def normal_sql(source: str, label: str = LABEL, inputs: list[str] | None = None) -> str:
+    """The same of the label."""
+    means = [f"SELECT 'intercept' AS term, round(avg({label}), 4) AS value FROM {source}"]
+    means += [
+        f"SELECT '{c}', round(coalesce(avg(CAST({c} AS DOUBLE) * {label}) / nullif(avg(abs(CAST({c} AS DOUBLE))), 0), 0), 4)"
+        f" FROM {source}" for c in inputs or MODEL_INPUTS]
+    return " UNION ALL ".join(means)
+
+
+TRAIN = f"{fv.FEATURES_L}, train AS MATERIALIZED (SELECT * FROM features WHERE week <= 94)"
+NORMAL = f"{TRAIN} {normal_sql('train')}"
+
+
+@check("assemble_vector", f"""{fv.FEATURES_L} SELECT track_id, week, {', '.join(f'CAST({c} AS DOUBLE) AS v{i}' for i, c in enumerate(MODEL_INPUTS))} FROM features""")
 def assemble_vector(spark, d):
-    rows = assembler().transform(fv.feature_table(spark, d)).select("track_id", "week", "features")
-    return sources.writers.without_vectors(rows)
+    rows = sources.writers.without_vectors(assembler().transform(fv.feature_table(spark, d)))
+    return rows.select("track_id", "week", *[F.col("features")[i].alias(f"v{i}") for i in range(len(MODEL_INPUTS))])
 
 
-@check("train_linear")
+@check("train_linear", NORMAL)
 def train_linear(spark, d):
     model = fitted_linear(spark, d).stages[-1]
-    terms = list(zip(["intercept", *MODEL_INPUTS], [model.intercept, *map(float, model.coefficients)]))
-    return spark.createDataFrame(terms, "term string, value double")
+    predicted = F.lit(float(model.intercept))
+    for c, w in zip(MODEL_INPUTS, model.coefficients):
+        predicted = predicted + F.lit(float(w)) * F.col(c)
+    return normal(split(spark, d, "train").withColumn(PREDICTION, predicted))
 
 
-@check("score_batch")
+@check("score_batch", NORMAL)
 def score_batch(spark, d):
-    return predictions(models.score_batch(fitted_linear(spark, d), split(spark, d, "test")))
+    return normal(models.score_batch(fitted_linear(spark, d), split(spark, d, "train")))
 
 
-@check("sink_predictions_json")
+@check("sink_predictions_json", NORMAL)
 def sink_predictions_json(spark, d):
     path = scratch_path(spark, "predictions")
-    sources.write_predictions_json(models.score_batch(fitted_linear(spark, d), split(spark, d, "test")), path)
-    return spark.read.schema(
-        "track_id bigint, week bigint, play_count double, predicted_play_count double, features array<double>"
-    ).json(path)
+    sources.write_predictions_json(models.score_batch(fitted_linear(spark, d), split(spark, d, "train")), path)
+    back = spark.read.schema("predicted_play_count double, features array<double>").json(path)
+    return normal(back.select(PREDICTION, *[F.col("features")[i].alias(c) for i, c in enumerate(MODEL_INPUTS)]))
 
 
-@check("model_save_load")
+@check("model_save_load", NORMAL)
 def model_save_load(spark, d):
     path = scratch_path(spark, "model")
     models.save_model(fitted_linear(spark, d), path)
-    return predictions(models.score_batch(models.load_model(path), split(spark, d, "test")))
+    return normal(models.score_batch(models.load_model(path), split(spark, d, "train")))
+
+
+EARLY = f"{fv.FEATURES_L}, train AS MATERIALIZED (SELECT * FROM features WHERE week <= 100)"
+
+
+@check("ols_14", f"{EARLY} {normal_sql('train')}")
+def ols_14(spark, d):
+    """All inputs, weeks up to 100, as in the exploratory study."""
+    early = fv.feature_table(spark, d).filter("week <= 100")
+    return normal(models.score_batch(models.train_ols(early, MODEL_INPUTS), early))
+
+
+@check("ols_14_evaluated", f"""{fv.FEATURES_L}, late AS (SELECT *, track_id IN (SELECT track_id FROM sessions_l) AS heard FROM features WHERE week > 127)
+    SELECT 'all' AS tracks, metric, true AS sound FROM (VALUES ('rmse'), ('mae'), ('mse'), ('r2'), ('ndcg@100')) m(metric) WHERE EXISTS (FROM late)
+    UNION ALL SELECT 'heard', metric, true FROM (VALUES ('rmse'), ('mae'), ('mse'), ('r2'), ('ndcg@100')) m(metric) WHERE EXISTS (FROM late WHERE heard)""")
+def ols_14_evaluated(spark, d):
+    """Scored on the weeks after 127, for all tracks and for those that occur in the log."""
+    features = fv.feature_table(spark, d)
+    model = models.train_ols(features.filter("week <= 100"), MODEL_INPUTS)
+    late = models.score_batch(model, features.filter("week > 127")).select("track_id", "week", LABEL, PREDICTION)
+    heard = semi_join_active(late, v.sessions_l(spark, d))
+    return sound(evaluate(late, 100)).withColumn("tracks", F.lit("all")).unionByName(
+        sound(evaluate(heard, 100)).withColumn("tracks", F.lit("heard")))
+
+
+def sound(metrics: DataFrame) -> DataFrame:
+    """Whether each metric has a value it can have: errors from 0 up, shares of a whole up to 1."""
+    value, name = F.col("value"), F.col("metric")
+    within = F.when(name.startswith("ndcg"), value.between(0, 1)).when(name == "r2", value <= 1).otherwise(value >= 0)
+    return metrics.select("metric", F.coalesce(within, F.lit(False)).alias("sound"))
 
 
 LAGS = ["lag_1", "lag_2", "lag_3"]
@@ -157,11 +211,12 @@ def ols_ctes() -> str:
     return f"""{fv.FEATURES_L}, train AS (SELECT * FROM features WHERE week > 4 AND week <= 42),
     moments AS (SELECT {', '.join(f'{e} AS {n}' for n, e in names.items())}, {means} FROM train),
     slopes AS (SELECT *, {slopes} FROM moments),
-    ols AS (SELECT b0, b1, b2, m_play_count - b0 * m_lag_1 - b1 * m_lag_2 - b2 * m_lag_3 AS b FROM slopes)"""
+    ols AS MATERIALIZED (SELECT b0, b1, b2, m_play_count - b0 * m_lag_1 - b1 * m_lag_2 - b2 * m_lag_3 AS b FROM slopes)"""
 
 
-OLS_SCORED = f"""{ols_ctes()}, scored AS (SELECT f.*, b + b0 * lag_1 + b1 * lag_2 + b2 * lag_3 AS predicted_play_count
-    FROM features f, ols WHERE week IN (126, 157))"""
+OLS_SCORED = f"""{ols_ctes()}, scored AS MATERIALIZED (SELECT *, (SELECT b FROM ols) + (SELECT b0 FROM ols) * lag_1
+    + (SELECT b1 FROM ols) * lag_2 + (SELECT b2 FROM ols) * lag_3 AS predicted_play_count
+    FROM features WHERE week IN (126, 157))"""
 OLS_PREDICTIONS = f"{OLS_SCORED} SELECT track_id, week, play_count, {q6('predicted_play_count')} AS predicted_play_count FROM scored"
 
 
@@ -225,26 +280,52 @@ def ols_single_lag(spark, d):
     return line.withColumns({"slope": r6("slope"), "intercept": r6("intercept")})
 
 
-@check("train_gbt")
+# Of boosted trees SQL knows the rows they must score, the parameters a search may draw, and that they are no worse than the mean.
+
+@check("train_gbt", f"""{TRAIN} SELECT week, count(*) AS n, count(*) AS n_finite, sum(play_count) AS label_sum, true AS no_worse_than_mean
+    FROM train GROUP BY week""")
 def train_gbt(spark, d):
-    model = models.train_gbt(split(spark, d, "train"), {**models.trees.BEST_PARAMS, **SHORT_RUN})
-    return predictions(models.score_batch(model, split(spark, d, "test")))
+    train = split(spark, d, "train")
+    scored = models.score_batch(models.train_gbt(train), train).select("week", LABEL, PREDICTION)
+    # trees that find nothing to split predict the mean of a sample
+    error = F.avg((F.col(LABEL) - F.col(PREDICTION)) ** 2) <= 1.01 * F.var_pop(LABEL)
+    finite = F.abs(PREDICTION) < float("inf")
+    return scored.groupBy("week").agg(
+        F.count("*").alias("n"), F.count_if(finite).alias("n_finite"), F.sum(LABEL).alias("label_sum")
+    ).withColumn("no_worse_than_mean", scored.agg(error).scalar())
 
 
-@check("tune_gbt")
-def tune_gbt(spark, d):
-    return models.tune_gbt(
-        split(spark, d, "train"), split(spark, d, "validation"), trials=2, space={"maxDepth": (3, 5)}, **SHORT_RUN
-    )
+@check("train_and_evaluate_gbt", f"""{fv.FEATURES_L} SELECT metric, true AS sound
+    FROM (VALUES ('rmse'), ('mae'), ('mse'), ('r2'), ('ndcg@20')) m(metric) WHERE EXISTS (FROM features WHERE week IN (126, 157))""")
+def train_and_evaluate_gbt(spark, d):
+    _, metrics = train_and_evaluate(fv.feature_table(spark, d), models.train_gbt, output=scratch_path(spark, "gbt"))
+    return sound(metrics)
 
 
-@check("best_params_store")
+@check("tune_gbt", "SELECT CAST(i AS INT) AS trial, true AS in_space, true AS sound FROM range(20) t(i)")
+def tune_gbt(spark, d):
+    trials = models.tune_gbt(split(spark, d, "train"), split(spark, d, "validation"), parallelism=8)
+    drawn = F.from_json("params", ", ".join(
+        f"{name} {'string' if isinstance(choice, list) else 'double'}" for name, choice in models.trees.SEARCH_SPACE.items()))
+    inside = F.lit(True)
+    for name, choice in models.trees.SEARCH_SPACE.items():
+        value = F.col("drawn")[name]
+        inside = inside & (value.isin(*choice) if isinstance(choice, list) else value.between(*choice))
+    return trials.withColumn("drawn", drawn).select(
+        "trial", inside.alias("in_space"), ((F.col("mse") >= 0) & (F.col("mse") < float("inf"))).alias("sound"))
+
+
+@check("best_params_store", f"""SELECT param, true AS in_space FROM (VALUES {', '.join(f"('{p}')" for p in models.trees.SEARCH_SPACE)}) p(param)""")
 def best_params_store(spark, d):
     path = scratch_path(spark, "best-params")
     sets = split(spark, d, "train"), split(spark, d, "validation")
-    models.best_or_tuned(*sets, path, trials=1, space={"maxDepth": (3, 5)}, **SHORT_RUN)
+    found = models.best_or_tuned(*sets, path, parallelism=8)
     params = models.best_or_tuned(*sets, path)
-    return spark.createDataFrame([(k, str(x)) for k, x in params.items()], "param string, value string")
+    assert params == found
+    inside = {
+        name: params[name] in choice if isinstance(choice, list) else choice[0] <= params[name] <= choice[1]
+        for name, choice in models.trees.SEARCH_SPACE.items()}
+    return spark.createDataFrame(list(inside.items()), "param string, in_space boolean")
 
 
 # Composite jobs
@@ -259,12 +340,13 @@ def build_features_events(spark, d):
     return fv.features_e(spark, d).withColumn("lag_playtime_ratio", r6("lag_playtime_ratio"))
 
 
-@check("train_and_evaluate")
+@check("train_and_evaluate", f"""{fv.FEATURES_L} SELECT metric, true AS sound
+    FROM (VALUES ('rmse'), ('mae'), ('mse'), ('r2'), ('ndcg@20')) m(metric) WHERE EXISTS (FROM features WHERE week IN (126, 157))""")
 def train_and_evaluate_(spark, d):
     _, metrics = train_and_evaluate(
         fv.feature_table(spark, d), models.train_linear, output=scratch_path(spark, "linear")
     )
-    return metrics
+    return sound(metrics)
 
 
 TOPLIST_DAY = week_start(126, v.ANCHOR_L).strftime("%Y-%m-%d")
@@ -281,12 +363,39 @@ def toplist_(spark, d):
     )
 
 
-@check("toplist_model")
+LISTED = f"{v.with_views('tracks')} SELECT CAST(i + 1 AS BIGINT) AS rank, true AS known, true AS in_order FROM range(50) t(i) WHERE i < (SELECT count(*) FROM tracks)"
+
+
+def listed(spark, d, arguments: dict, trained: dict) -> DataFrame:
+    """The job as it is called: models stored first, then loaded; ranks, whether names are known, and the order."""
+    path = scratch_path(spark, "models")
+    for name, model in trained.items():
+        models.save_model(model, f"{path}/{name}")
+    stored = {name: models.load_model(f"{path}/{name}") for name in trained}
+    top = toplist_job({"tracks_num": 50, "date": TOPLIST_DAY, **arguments}, fv.feature_table(spark, d), v.tracks(spark, d), stored, v.ANCHOR_L)
+    before = F.lag(PREDICTION).over(W.orderBy("rank"))  # 50 rows
+    return top.select("rank", F.col("name").isNotNull().alias("known"), F.coalesce(before >= F.col(PREDICTION), F.lit(True)).alias("in_order"))
+
+
+@check("toplist_model", LISTED)
 def toplist_model(spark, d):
     request = toplist_request({"tracks_num": 50, "date": TOPLIST_DAY, "model_type": "basic"}, v.ANCHOR_L)
-    return toplist(
+    top = toplist(
         fv.feature_table(spark, d), v.tracks(spark, d), request["week"], request["tracks_num"], fitted_linear(spark, d)
     )
+    before = F.lag(PREDICTION).over(W.orderBy("rank"))
+    return top.select("rank", F.col("name").isNotNull().alias("known"), F.coalesce(before >= F.col(PREDICTION), F.lit(True)).alias("in_order"))
+
+
+@check("toplist_job_basic", LISTED)
+def toplist_job_basic(spark, d):
+    return listed(spark, d, {"model_type": "basic"}, {"basic": fitted_linear(spark, d)})
+
+
+@check("toplist_job_advanced", LISTED)
+def toplist_job_advanced(spark, d):
+    """The default model."""
+    return listed(spark, d, {}, {"advanced": models.train_gbt(split(spark, d, "train"))})
 
 
 @check("popular_tracks_report", f"""{ALL_SCORED},
@@ -299,6 +408,36 @@ def popular_tracks_report_(spark, d):
     return popular_tracks_report(persistence(fv.feature_table(spark, d)), 44, LABEL, PREDICTION)
 
 
+LISTEN_TRAIN = f"""{fv.LISTEN_L}, train AS MATERIALIZED (SELECT listenability, {', '.join(f'coalesce({c}, 0) AS {c}' for c in LAGS)}
+    FROM listening WHERE active AND week > 4 AND week <= 42)"""
+
+
+def listenability_lags(spark, d) -> DataFrame:
+    return fv.panel_l(spark, d).fillna(0, [*LAGS, "listenability"]).select("track_id", "week", "active", "listenability", *LAGS)
+
+
+def fit_listenability(rows: DataFrame):
+    return models.train_ols(rows.filter("active AND week > 4 AND week <= 42"), LAGS, "listenability")
+
+
+@check("ols_listenability", f"{LISTEN_TRAIN} {normal_sql('train', 'listenability', LAGS)}")
+def ols_listenability(spark, d):
+    rows = listenability_lags(spark, d)
+    train = rows.filter("active AND week > 4 AND week <= 42")
+    return normal(models.score_batch(fit_listenability(rows), train), "listenability", LAGS)
+
+
+@check("ols_listenability_report", f"""{fv.LISTEN_L}, late AS (SELECT track_id, coalesce(listenability, 0) AS listenability FROM listening WHERE week = 44)
+    SELECT CAST(row_number() OVER (ORDER BY listenability DESC, track_id) AS BIGINT) AS rank, track_id AS real_track_id,
+        {q6('listenability')} AS real_value FROM late QUALIFY rank <= 20""")
+def ols_listenability_report(spark, d):
+    """Weeks after 42 scored, the best 20 of week 44, real and predicted; SQL knows the real ones."""
+    rows = listenability_lags(spark, d)
+    scored = models.score_batch(fit_listenability(rows), rows.filter("week > 42"))
+    report = popular_tracks_report(scored, 44, "listenability", PREDICTION)
+    return report.where("predicted_track_id IS NOT NULL AND predicted_value IS NOT NULL").select("rank", "real_track_id", r6("real_value").alias("real_value"))
+
+
 def line(part: str, item, n) -> str:
     return f"SELECT '{part}' AS part, CAST({item} AS VARCHAR) AS item, CAST({n} AS BIGINT) AS n"
 

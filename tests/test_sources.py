@@ -1,9 +1,11 @@
+import csv
 import re
 from datetime import datetime
 
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from cadenza import sources
 from cadenza.schemas import ARTISTS, FEATURES, SESSIONS, TRACKS, USERS
@@ -39,6 +41,47 @@ def test_conversion_keeps_the_first_record_and_places_by_name(spark, tmp_path):
     assert rows(back, "b") == [("1", "x"), ("2", "y, z"), ("3", None)]
 
 
+ODD = ['a "q" b', 'Say "Hi", now', " pad ", "", None, "two\nlines", '""', "\\", 'a\\"b', "null", ","]
+
+
+def test_csv_cells_come_back(spark, tmp_path):
+    schema = "a string, n int, b string"
+    df = spark.createDataFrame([(x, i, x) for i, x in enumerate(ODD)], schema)
+    sources.write_csv(df, str(tmp_path / "csv"))
+    back = sources.read_csv(spark, str(tmp_path / "csv"), df.schema, multiline=True)
+    assert rows(back, "n") == [(x, i, x) for i, x in enumerate(ODD)]
+
+
+def test_csv_of_another_writer_is_read_by_name(spark, tmp_path):
+    path = tmp_path / "other.csv"
+    with path.open("w", newline="") as out:
+        writer = csv.writer(out)
+        writer.writerow(["b", "extra", "n", "a"])
+        writer.writerows([x, "-", i, x] for i, x in enumerate(ODD))
+    schema = spark.createDataFrame([], "a string, n int, b string").schema
+    back = sources.read_csv(spark, str(path), schema, multiline=True)
+    # that writer has one form for null and the empty string
+    assert rows(back, "n") == [(x or None, i, x or None) for i, x in enumerate(ODD)]
+    with pytest.raises(ValueError, match="no column missing"):
+        sources.read_csv(spark, str(path), schema.add("missing", IntegerType()))
+
+
+def test_sessions_with_columns_in_another_order(spark, tmp_path):
+    path = tmp_path / "sessions.csv"
+    path.write_text("timestamp,user_id,event_type,track_id\n2021-01-04T01:02:03,5,play,t1\n")
+    row = sources.read_csv(spark, str(path), SESSIONS).first()
+    assert (row["track_id"], row["event_type"], row["user_id"]) == ("t1", "play", 5)
+
+
+def test_conversion_keeps_keys_that_come_late(spark, tmp_path):
+    source, target = tmp_path / "s.jsonl", str(tmp_path / "s.csv")
+    source.write_text('{"a": 1}\n{"a": 2, "c": "lost", "b": "x, y"}\n{"d": null, "a": 3}\n')
+    assert sources.jsonl_to_csv(spark, str(source), target) == ["a", "c", "b", "d"]
+    schema = spark.createDataFrame([], "a string, c string, b string, d string").schema
+    assert rows(sources.read_csv(spark, target, schema), "a") == [
+        ("1", None, None, None), ("2", "lost", "x, y", None), ("3", None, None, None)]
+
+
 def test_sessions_round_trip_keeps_microseconds(spark, tmp_path):
     data = [(datetime(2021, 1, 4, 1, 2, 3, 456789), 1, "a", "play"), (datetime(2021, 1, 4), 2, None, None)]
     df = spark.createDataFrame(data, SESSIONS)
@@ -53,7 +96,7 @@ def test_features_by_week_prune_folders(spark, tmp_path):
     df = spark.createDataFrame(data, FEATURES)
     for format in ("csv", "parquet"):
         path = str(tmp_path / format)
-        sources.write_features(df, path, format=format, files_per_week=2)
+        sources.write_features(df, path, format=format)
         back = sources.read_features(spark, path, format=format)
         assert back.columns == FEATURES.fieldNames()
         assert rows(back, "track_id", "week") == sorted(data, key=lambda r: (r[0], r[1]))

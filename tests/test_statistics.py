@@ -55,9 +55,7 @@ def test_strata_merge_to_the_whole(spark):
     expect(matrix(c.correlations(merged)), frame, "pearson")
 
 
-@pytest.mark.parametrize("limit", [200_000, 0])
-def test_spearman_with_either_join(spark, monkeypatch, limit):
-    monkeypatch.setattr(ranking, "BROADCAST_ROWS", limit)
+def test_spearman(spark):
     frame = sample(nulls=False)
     df = to_spark(spark, frame)
     got = matrix(c.corr_spearman(df, list(frame.columns)))
