@@ -72,14 +72,23 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, simila
         benchmark["item_id"].cast("long").alias("item_id"), words(benchmark["text"]).alias("words"))
     seeds = _positions(items, "item_id").select(
         "item_id", F.col("at").alias("item_at"), "seed", F.col("words").alias("item_words"))
-    texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), words(docs["text"]).alias("words"))
-    where = _positions(texts, "doc_id")
+    texts = docs.select(
+        docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), words(docs["text"]).alias("words"))
+    where = _positions(texts, "doc_id", "text_hash")
     if seeds.limit(broadcast_seeds + 1).count() <= broadcast_seeds:
-        seeds = F.broadcast(seeds)
+        met = where.join(F.broadcast(seeds), "seed")
+    else:
+        # Only places are shuffled; where seeds agree, the words are fetched.
+        met = (
+            where.drop("words").join(seeds.drop("item_words"), "seed")
+            .join(items.select(F.col("item_id").alias("same_item"), F.col("words").alias("item_words")),
+                  F.col("same_item").eqNullSafe(F.col("item_id")))
+            .join(texts.withColumnRenamed("doc_id", "id"), F.col("id").eqNullSafe(F.col("doc_id"))
+                  & (texts["text_hash"] == where["text_hash"])))
     # As a generator the comparison stays behind the join: as part of the join's condition it would
     # take the join, and the words of every position, out of the generated stage.
     size = F.least(F.lit(window), F.size("item_words"))
-    hits = where.join(seeds, "seed").select(
+    hits = met.select(
         "doc_id", "item_id", "at", size.alias("n_window"), F.explode_outer(F.array(_agreement(window))).alias("n_agree"))
     return (
         hits.where(F.col("n_agree") >= similarity * F.col("n_window"))

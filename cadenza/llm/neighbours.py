@@ -16,8 +16,9 @@ Recall is measured against brute force in the tests.  Vectors spread evenly over
 dimensions have no near neighbours to speak of, and then the probes cover a large part of the table.
 
 Defined results: vectors that are null, empty, zero, or hold a null or non-finite component take no part,
-nor does a null id.  Only vectors of equal length are compared.  Of rows with equal ids and different
-vectors each is a vector of its own; a query never finds its own id.  An empty table gives no rows.
+nor does a null id.  Only vectors of equal length are compared.  Repeated rows count once; of rows with equal
+ids and different vectors each is searched and found, an id with its best score, and a query never finds
+its own id.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -181,6 +182,7 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 5, probe: int = PROBES
     each = best.withColumn("nth", F.expr("row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id)"))
     each = each.where(f"nth <= {k + 1}").drop("nth")
     answers = asking.withColumnRenamed("vec_id", "query_id").join(each, F.col("id") == F.col("query"))
-    ranked = answers.where("vec_id != query_id").withColumn(
+    answers = answers.where("vec_id != query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    ranked = answers.withColumn(
         "rank", F.expr("row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)"))
     return ranked.where(f"rank <= {k}").select("query_id", "rank", "vec_id", "score")

@@ -3,7 +3,8 @@
 Three base kinds are found by pattern, leftmost and without overlap: `assign` (a key word, = or :, a value
 of 6 characters or more), `access` (key ids of 20 or more), `hex` (24 digits or more).  The method adds
 `random`: runs of `MIN_RANDOM` or more characters of `ALPHABET` which a Markov model of random strings
-explains better than one of ordinary identifiers, by a log-likelihood ratio of `THRESHOLD` or more.
+explains better than one of ordinary identifiers, by a log-likelihood ratio of `THRESHOLD` or more, and of `MEAN` or
+more a pair.
 Both models are chains over pairs of characters, smoothed by one count a pair.  The first learns from the
 values of all base spans of all documents; the second from the other words of `ORDINARY_DOCUMENTS`
 documents at most, those whose ids hash lowest (a documented bound).
@@ -35,7 +36,7 @@ KINDS = ("assign", "access", "hex", "random")
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 RUN = "[A-Za-z0-9+/_=-]"
 MIN_RANDOM = 16
-THRESHOLD = 10.0
+THRESHOLD, MEAN = 10.0, 0.5
 ORDINARY_DOCUMENTS = 2000
 SPAN = "struct<start: int, end: int, value: string>"
 
@@ -130,7 +131,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
 
     def odd(s: Column) -> Column:
         inside = F.exists(base, lambda b: (b["start"] <= s["start"]) & (b["end"] >= s["end"]))
-        return ~inside & (log_odds(s["value"], model) >= threshold)
+        return ~inside & (log_odds(s["value"], model) >= F.greatest(F.lit(threshold), MEAN * (F.length(s["value"]) - 1)))
 
     random = F.filter("random", odd) if model else F.array().cast(f"array<{SPAN}>")
     return found.withColumn("random", random)
