@@ -10,8 +10,9 @@ from cadenza import models, sources
 from cadenza.functions.calendar import week_start
 from cadenza.models.pipeline import assembler
 from cadenza.operators import evaluation as ev
-from cadenza.operators.profile import semi_join_active
-from cadenza.plans.correlation import correlation_report
+from cadenza.operators.panel import fill_zero
+from cadenza.operators.profile import histogram, semi_join_active
+from cadenza.plans.correlation import correlation_report, listenability_totals
 from cadenza.plans.quality import quality_report
 from cadenza.plans.toplist import popular_tracks_report, toplist, toplist_job, toplist_request
 from cadenza.plans.training import evaluate, train_and_evaluate
@@ -20,7 +21,7 @@ from cadenza.session import scratch_path
 from checks import feature_views as fv
 from checks import views as v
 from checks.registry import check, q6, r6
-from checks.relational import corr_sql
+from checks.relational import corr_sql, histogram_sql
 
 def persistence(rows: DataFrame) -> DataFrame:
     """The predictor SQL can follow: next week is like last week."""
@@ -465,6 +466,34 @@ QUALITY = v.with_views("sessions_e", "tracks", "artists", "users") + " UNION ALL
 ])
 
 
+#: Parts of the report that are not a name and a count.
+QUALITY_PARTS = {
+    "sessions_time_span": f"""{v.with_views("sessions_e")} SELECT min("timestamp") AS first, max("timestamp") AS last,
+        max(week) - min(week) + 1 AS n_weeks FROM sessions_e""",
+    "sessions_unknown_tracks": f"""{v.with_views("sessions_e", "tracks")} SELECT track_id, CAST(count(*) AS BIGINT) AS n FROM sessions_e
+        WHERE track_id IS NOT NULL AND track_id NOT IN (SELECT track_id FROM tracks) GROUP BY track_id""",
+    "tracks_duplicate_ids": f"""{v.with_views("tracks")} SELECT track_id, CAST(count(*) AS BIGINT) AS n FROM tracks
+        GROUP BY track_id HAVING count(*) > 1""",
+    "tracks_histogram": f"{v.with_views('tracks')}, {histogram_sql('tracks', [c for c in TRACK_ATTRIBUTES if c != 'release_date'], 50)}",
+    "sessions_info": v.with_views("sessions_e") + " UNION ALL ".join(
+        f"""SELECT '{c}' AS "column", '{t}' AS dtype, CAST(count(*) AS BIGINT) AS n_rows, CAST(count("{c}") AS BIGINT) AS n_non_null,
+        CAST(count(*) - count("{c}") AS BIGINT) AS n_null FROM sessions_e"""
+        for c, t in {"event_id": "bigint", "timestamp": "timestamp_ntz", "user_id": "bigint", "track_id": "bigint", "event_type": "string"}.items()),
+}
+
+
+def quality_part(name: str):
+    def query(spark, d):
+        part = quality_report(
+            v.sessions_e(spark, d), v.tracks(spark, d), v.artists(spark, d), v.users(spark, d), v.ANCHOR_E)[name]
+        return part.withColumn("bin_start", r6("bin_start")) if "bin_start" in part.columns else part
+    return query
+
+
+for _name, _sql in QUALITY_PARTS.items():
+    check(f"quality_{_name}", _sql)(quality_part(_name))
+
+
 @check("quality_report", QUALITY)
 def quality_report_(spark, d):
     parts = quality_report(
@@ -523,3 +552,36 @@ CORRELATIONS = f"""{fv.LISTEN_L},
 @check("correlation_report", CORRELATIONS)
 def correlation_report_(spark, d):
     return correlation_report(fv.panel_l(spark, d)).withColumn("r", r6("r"))
+
+
+@check("correlation_thresholds", f"""WITH report AS ({CORRELATIONS}) SELECT variant, attr_a, r FROM report
+    WHERE attr_b = 'listenability' AND abs(r) > 0.05""")
+def correlation_thresholds(spark, d):
+    """For every variant what goes with listenability by more than five hundredths."""
+    report = correlation_report(fv.panel_l(spark, d))
+    strong = report.filter((F.col("attr_b") == "listenability") & (F.abs("r") > 0.05))
+    return strong.select("variant", "attr_a", r6("r").alias("r"))
+
+
+HEARD = f"{fv.LISTEN_L}, active AS (SELECT * FROM listening WHERE active)"
+SUMS = f"""{HEARD}, sums AS (SELECT track_id, sum(coalesce(listenability, 0)) AS listenability FROM listening GROUP BY track_id),
+    active_sums AS (SELECT * FROM sums WHERE track_id IN (SELECT track_id FROM active))"""
+
+
+def binned(rows: DataFrame) -> DataFrame:
+    return histogram(rows, ["listenability"], 1000).withColumn("bin_start", r6("bin_start"))
+
+
+@check("histogram_listenability_active", f"{HEARD}, {histogram_sql('active', ['listenability'], 1000)}")
+def histogram_listenability_active(spark, d):
+    return binned(fv.panel_l(spark, d).filter("active"))
+
+
+@check("histogram_listenability_totals", f"{SUMS}, {histogram_sql('sums', ['listenability'], 1000)}")
+def histogram_listenability_totals(spark, d):
+    return binned(listenability_totals(fill_zero(fv.panel_l(spark, d)), []))
+
+
+@check("histogram_listenability_totals_active", f"{SUMS}, {histogram_sql('active_sums', ['listenability'], 1000)}")
+def histogram_listenability_totals_active(spark, d):
+    return binned(listenability_totals(fill_zero(fv.panel_l(spark, d)), []).filter("active"))
