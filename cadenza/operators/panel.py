@@ -135,19 +135,23 @@ def lagged(panel: DataFrame, lags: dict[str, tuple[str, int]]) -> DataFrame:
     return panel.withColumns({new: F.lag(c, k).over(by_week) for new, (c, k) in lags.items()})
 
 
-def lag_features(panel: DataFrame) -> DataFrame:
-    """Last week's likes, skips and ratio, and five weeks of play counts."""
-    return lagged(panel, {
-        "lag_like_count": ("like_count", 1),
-        "lag_skip_count": ("skip_count", 1),
-        "lag_playtime_ratio": ("playtime_ratio", 1),
-        **{f"lag_{k}": ("play_count", k) for k in range(1, 6)},
-    })
-
-
-def listenability_lags(panel: DataFrame) -> DataFrame:
-    """Three weeks of past listenability."""
-    return lagged(panel, {f"lag_{k}": ("listenability", k) for k in range(1, 4)})
+#: Last week's likes, skips and ratio, and five weeks of play counts; three weeks of past listenability.
+FEATURE_LAGS = {
+    "lag_like_count": ("like_count", 1),
+    "lag_skip_count": ("skip_count", 1),
+    "lag_playtime_ratio": ("playtime_ratio", 1),
+    **{f"lag_{k}": ("play_count", k) for k in range(1, 6)},
+}
+LISTENABILITY_LAGS = {f"lag_{k}": ("listenability", k) for k in range(1, 4)}
+
+
+def lag_features(sessions: DataFrame, tracks: DataFrame) -> DataFrame:
+    """The lags of every track and week, looked up per track: the grid is not shuffled or sorted for them."""
+    return dense_panel(sessions, tracks, [], FEATURE_LAGS)
+
+
+def listenability_lags(sessions: DataFrame, tracks: DataFrame) -> DataFrame:
+    return dense_panel(sessions, tracks, [], LISTENABILITY_LAGS)
 
 
 def with_release_year(tracks: DataFrame) -> DataFrame:

@@ -263,17 +263,14 @@ def playtime_ratio(spark, d):
     lag(skip_count) OVER t AS lag_skip_count, {', '.join(f'lag(play_count, {k}) OVER t AS lag_{k}' for k in range(1, 6))}
     FROM counted WINDOW t AS (PARTITION BY track_id ORDER BY week)""")
 def lag_features(spark, d):
-    log, tracks = fv.log_l(spark, d), v.tracks(spark, d)
-    panel = p.left_join_measures(p.track_week_grid(tracks, log), p.weekly_event_counts(log))
-    lagged = p.lag_features(panel.withColumn("playtime_ratio", F.lit(0.0)))
+    lagged = p.lag_features(fv.log_l(spark, d), v.tracks(spark, d))
     return lagged.select("track_id", "week", "lag_like_count", "lag_skip_count", *[f"lag_{k}" for k in range(1, 6)])
 
 
 @check("listenability_lags", f"{fv.LISTEN_L} SELECT track_id, week, {', '.join(q6(f'lag_{k}') + f' AS lag_{k}' for k in (1, 2, 3))} FROM listen")
 def listenability_lags(spark, d):
-    panel = fv.panel_l(spark, d).select("track_id", "week", "listenability")
     lags = [f"lag_{k}" for k in (1, 2, 3)]
-    return p.listenability_lags(panel).select("track_id", "week", *[r6(c).alias(c) for c in lags])
+    return p.listenability_lags(fv.log_l(spark, d), v.tracks(spark, d)).select("track_id", "week", *[r6(c).alias(c) for c in lags])
 
 
 @check("rank_in_week", f"""{fv.FEATURES_L} SELECT track_id, week, CAST(row_number() OVER (PARTITION BY week ORDER BY lag_1 DESC, track_id) AS BIGINT) AS rank

@@ -69,3 +69,11 @@ def test_split_takes_members_or_ranges(spark):
     assert got == {94: "train", 95: "validation", 100: None, 125: "validation", 126: "test", 130: None, 157: "test", 158: None}
     ranged = {r["week"]: r["split"] for r in ev.time_split(df, validation=(95, 125), test=(126, 157)).collect()}
     assert ranged[100] == "validation" and ranged[130] == "test" and ranged[158] is None
+
+
+@pytest.mark.parametrize("k", [1001, 5000])
+def test_ndcg_of_long_lists(spark, k):
+    rng = random.Random(k)
+    cells = [(float(rng.randint(0, 4)), rng.random()) for _ in range(6000)]
+    df = spark.createDataFrame([(1, str(i), g, s) for i, (g, s) in enumerate(cells)], SCORED)
+    assert ev.ndcg_at_k(df, k).first()["ndcg"] == pytest.approx(brute_ndcg(*zip(*cells), k))

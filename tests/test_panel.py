@@ -64,7 +64,7 @@ def test_one_plan_equals_the_steps(spark, make_log):
     log = p.with_week(p.drop_weeks(make_log(EVENTS), [1, 6], ANCHOR), ANCHOR)
     panel = p.left_join_measures(p.track_week_grid(tracks, log), p.weekly_event_counts(log))
     panel = p.left_join_measures(panel, p.mean_playtime(log, tracks))
-    panel = p.lag_features(p.append_future_week(panel, tracks))
+    panel = p.lagged(p.append_future_week(panel, tracks), p.FEATURE_LAGS)
     steps = p.fill_zero(p.enrich_tracks(panel, tracks, STATIC)).select(*FEATURE_COLUMNS)
     assert rows(steps, "track_id", "week") == rows(features(spark, make_log), "track_id", "week")
 

@@ -108,3 +108,11 @@ def test_hot_group_and_random_log_match_a_plain_loop(make_log, tracks):
     assert means.keys() == {k for k, values in cells.items() if values}
     for key, value in means.items():
         assert value == pytest.approx(sum(cells[key]) / len(cells[key]), rel=1e-12)
+
+
+def test_repeated_track_ids_do_not_multiply_plays(spark, make_log):
+    log = make_log([("2021-01-05T10:00:00", 1, "a", "play"), ("2021-01-05T10:00:01", 1, "a", "skip")])
+    log = with_week(log, ANCHOR)
+    twice = spark.createDataFrame([("a", None, "z"), ("a", 4000, "y"), ("a", 2000, "z"), (None, 1, "x")], "track_id string, duration_ms long, name string")
+    ratios = [r["playtime_ratio"] for r in playtime_ratio(log, twice).collect()]
+    assert ratios == [0.5] == [r["playtime_ratio"] for r in mean_playtime(log, twice).collect()]

@@ -8,6 +8,7 @@ from pyspark.ml.stat import Correlation
 
 from cadenza.operators import correlation as c
 from cadenza.operators import ranking
+from cadenza.plans.toplist import top_n
 
 
 def sample(n=300, nulls=True, seed=3):
@@ -90,3 +91,19 @@ def test_label_codes_in_sorted_order(spark):
     df = spark.createDataFrame([(v,) for v in values], "name string")
     got = {(r["name"], r["code"]) for r in ranking.label_encode(df, "name", "code").collect()}
     assert got == {("Zoe", 0), ("apple", 1), ("fig", 2), ("pear", 3), (None, None)}
+
+
+def test_long_top_list(spark):
+    rows = spark.range(120_000).selectExpr("concat('t', id) AS track_id", "(id * 7919) % 1000 AS score")
+    best = top_n(rows, "score", 100_000)
+    assert best.count() == 100_000
+    placed = [(r["score"], r["track_id"], r["rank"]) for r in best.orderBy("rank").collect()]
+    assert [r for *_, r in placed] == list(range(1, 100_001))
+    assert [(s, t) for s, t, _ in placed] == sorted(((s, t) for s, t, _ in placed), key=lambda x: (-x[0], x[1]))
+    assert "SinglePartition" not in best._jdf.queryExecution().executedPlan().toString()
+
+
+def test_ranking_shuffles_the_rows_once(spark):
+    rows = spark.range(1000).selectExpr("id % 5 AS week", "concat('t', id) AS track_id", "id % 50 AS score")
+    plan = ranking.rank_in_week(rows, "score")._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan and "CartesianProduct" not in plan
