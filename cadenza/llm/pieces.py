@@ -9,6 +9,7 @@ text, and any that names a special token, goes through the library's own pipelin
 from __future__ import annotations
 
 import re
+import struct
 from functools import lru_cache
 from itertools import chain
 
@@ -18,7 +19,9 @@ from tokenizers import Tokenizer
 
 BYTE_BPE = "byte_bpe_50k.json"
 WORD_BPE = "word_bpe_49k.json"
-CACHE = 400_000
+#: Entries kept in a worker: pre-tokens, and of the word tokenizer twice so many pre-tokens and as many
+#: words; some 200 bytes each.
+CACHE, PIECES, WORDS = 400_000, 500_000, 250_000
 
 #: Fixed values of the two tokenizers: letters, digits and white space up to U+024F, and the pattern
 #: over them that the byte-level tokenizer splits by.
@@ -28,8 +31,12 @@ _S = "\t-\r \x85\xa0"
 _SPLIT = re.compile(
     f"'(?:[sdmt]|ll|ve|re)| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
 _OTHER = re.compile("[^\x00-ɏ]")
-_OTHER_OR_SEPARATOR = re.compile("[^\x00-ɏ]|[\x1c-\x1fİ]")
-_WORD = re.compile("[a-z\xe0-\xf6\xf8-\xff]+")
+#: Beyond U+017F lower case leads out of these blocks, and the library's differs from Python's.
+_NOT_PLAIN = re.compile("[^\x00-ſ]|İ")
+#: What Python counts as white space and the library does not.
+_SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")
+#: The pattern of the word tokenizer, over a word.
+_IN_WORD = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^{_S}{_L}{_N}]+")
 
 
 @lru_cache(maxsize=4)
@@ -106,7 +113,8 @@ class ByteBpe:
                 known.clear()
             for p in pieces:
                 if p not in known:
-                    known[p] = np.array(self.piece_ids(p), dtype="<u2").tobytes()
+                    ids = self.piece_ids(p)
+                    known[p] = struct.pack(f"<{len(ids)}H", *ids)
             return b"".join(map(known.__getitem__, pieces))
 
     def decode(self, ids: np.ndarray) -> bytes:
@@ -122,31 +130,43 @@ class WordBpe:
         self._shown = str.maketrans({chr(b): c for b, c in enumerate(shown)})
         self._plain = name == WORD_BPE
         self._ids: dict[str, bytes] = {}
+        self._pieces: dict[str, bytes] = {}
+        self._older: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit numbers."""
         if not self._plain:
             return [_u4(e.ids) for e in self.library.encode_batch(texts, add_special_tokens=False)]
+        if len(self._ids) > WORDS:
+            self._ids = {}
+        if len(self._pieces) > PIECES:  # what is still in use moves over from the older half
+            self._pieces, self._older = {}, self._pieces
         known = self._ids
-        words = [None if "<|" in t or _OTHER_OR_SEPARATOR.search(t) else t.lower().split() for t in texts]
-        if len(known) > CACHE:
-            known.clear()
-        new = set(chain.from_iterable(w for w in words if w is not None)).difference(known)
-        tokenize, odd = self.library.model.tokenize, []
-        for w in new:
-            if _WORD.fullmatch(w):
-                known[w] = _u4([t.id for t in tokenize(w.encode().decode("latin-1").translate(self._shown))])
-            else:
-                odd.append(w)
-        for w, e in zip(odd, self.library.encode_batch_fast(odd, add_special_tokens=False)):
-            known[w] = _u4(e.ids)
+        words = [
+            None if "<|" in t or any(x in t for x in _SEPARATORS) else t.lower().split() if t.isascii() else t.split()
+            for t in texts]
+        for w in set(chain.from_iterable(w for w in words if w is not None)).difference(known):
+            known[w] = self._word(w)
         whole = iter(self.library.encode_batch_fast(
             [t for t, w in zip(texts, words) if w is None], add_special_tokens=False))
         return [_u4(next(whole).ids) if w is None else b"".join(map(known.__getitem__, w)) for w in words]
 
+    def _word(self, word: str) -> bytes:
+        if _NOT_PLAIN.search(word):
+            return _u4(self.library.encode(word, add_special_tokens=False).ids)
+        pieces, out = self._pieces, []
+        for p in _IN_WORD.findall(word.lower()):
+            ids = pieces.get(p)
+            if ids is None:
+                ids = self._older.get(p) or _u4([t.id for t in self.library.model.tokenize(
+                    p.encode().decode("latin-1").translate(self._shown))])
+                pieces[p] = ids
+            out.append(ids)
+        return b"".join(out)
+
 
 def _u4(ids: list[int]) -> bytes:
-    return np.array(ids, dtype="<u4").tobytes()
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 @lru_cache(maxsize=1)

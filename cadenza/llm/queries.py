@@ -23,7 +23,7 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "token-files")
     token_files.write_token_files(documents(spark, sf_dir), path, WORD_BPE)
-    return token_files.read_documents(spark, path).drop("ids")
+    return token_files.read_documents(spark, path, with_ids=False)
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

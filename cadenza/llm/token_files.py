@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadenza.llm.common import ids_and_texts, ship
-from cadenza.llm.pieces import WORD_BPE, word_bpe
+from cadenza.llm.pieces import WORD_BPE, WordBpe, word_bpe
 
 #: Fixed values of the formats.
 FILLER = b"P*M\x18\0\0\0\0"
@@ -50,6 +50,7 @@ FRAME_IDS = 65_536
 #: Rows of a file: its frames, the index and the seek table.
 FILE_ROWS = 258
 LEVEL = 3
+SLICE = 500_000
 
 
 def _skippable(magic: int, content: bytes) -> bytes:
@@ -88,6 +89,16 @@ class _Shard:
         return [_skippable(INDEX_MAGIC, content), _skippable(TABLE_MAGIC, b"".join(self.entries) + footer)]
 
 
+def _encoded(encoder: WordBpe, texts: list[str]) -> Iterator[bytes]:
+    """As the encoder does, a slice of the texts at a time: the words of a slice are all in memory."""
+    a = size = 0
+    for z, text in enumerate(texts, 1):
+        size += len(text)
+        if size >= SLICE or z == len(texts):
+            yield from encoder.encode(texts[a:z])
+            a, size = z, 0
+
+
 def _writer(tokenizer: str, end_id: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         partition, end = TaskContext.get().partitionId(), struct.pack("<I", end_id)
@@ -95,7 +106,7 @@ def _writer(tokenizer: str, end_id: int):
         for batch in batches:
             rows = []
             ids = [None if i is None or i != i else int(i) for i in batch["doc_id"].tolist()]
-            for doc_id, tokens in zip(ids, encoder.encode(batch["text"].tolist())):
+            for doc_id, tokens in zip(ids, _encoded(encoder, batch["text"].tolist())):
                 frame = shard.add(doc_id, tokens + end)
                 if frame is not None:
                     rows.append(frame)
@@ -173,14 +184,15 @@ def shards(spark: SparkSession, path: str) -> DataFrame:
         "path", "content")
 
 
-def read_documents(spark: SparkSession, path: str, doc_ids: list[int] | None = None) -> DataFrame:
-    """doc_id, start (ids of all documents before it), n_tokens, ids_crc32, and the ids themselves as
-    little-endian bytes; of all documents, or of those asked for.
+def read_documents(spark: SparkSession, path: str, doc_ids: list[int] | None = None, with_ids: bool = True) -> DataFrame:
+    """doc_id, start (ids of all documents before it), n_tokens, ids_crc32, and unless left out the ids
+    themselves as little-endian bytes; of all documents, or of those asked for.
 
     A first look at the files reads no frame: it takes each file's place and number of ids, one row a
     file, from which follows how many ids stand before it.
     """
     wanted = None if doc_ids is None else frozenset(doc_ids)
+    more = ["ids"] if with_ids else []
 
     def sizes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -192,9 +204,9 @@ def read_documents(spark: SparkSession, path: str, doc_ids: list[int] | None = N
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for file, content in zip(batch["path"], batch["content"]):
-                found = [(file, doc, before, len(ids) // 4, zlib.crc32(ids), ids)
+                found = [(file, doc, before, len(ids) // 4, zlib.crc32(ids), *([ids] if with_ids else []))
                          for _, before, doc, ids in ShardReader(content).documents(wanted)]
-                out = pd.DataFrame(found, columns=["path", "doc_id", "before", "n_tokens", "ids_crc32", "ids"])
+                out = pd.DataFrame(found, columns=["path", "doc_id", "before", "n_tokens", "ids_crc32", *more])
                 yield out.astype({"doc_id": "Int64"})
 
     files = shards(spark, path)
@@ -202,6 +214,6 @@ def read_documents(spark: SparkSession, path: str, doc_ids: list[int] | None = N
     bases = files.mapInPandas(sizes, "path string, shard long, number long, n long").select(
         "path", F.coalesce(before, F.lit(0)).alias("base"))
     found = files.mapInPandas(
-        rows, "path string, doc_id long, before long, n_tokens long, ids_crc32 long, ids binary")
+        rows, "path string, doc_id long, before long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
     return found.join(bases, "path").select(
-        "doc_id", (F.col("base") + F.col("before")).alias("start"), "n_tokens", "ids_crc32", "ids")
+        "doc_id", (F.col("base") + F.col("before")).alias("start"), "n_tokens", "ids_crc32", *more)
