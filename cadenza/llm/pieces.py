@@ -21,7 +21,7 @@ BYTE_BPE = "byte_bpe_50k.json"
 WORD_BPE = "word_bpe_49k.json"
 #: Entries kept in a worker: pre-tokens, and of the word tokenizer twice so many pre-tokens and as many
 #: words; some 200 bytes each.
-CACHE, PIECES, WORDS = 400_000, 500_000, 250_000
+CACHE, PIECES, WORDS = 400_000, 300_000, 200_000
 
 #: Fixed values of the two tokenizers: letters, digits and white space up to U+024F, and the pattern
 #: over them that the byte-level tokenizer splits by.

@@ -50,7 +50,7 @@ FRAME_IDS = 65_536
 #: Rows of a file: its frames, the index and the seek table.
 FILE_ROWS = 258
 LEVEL = 3
-SLICE = 500_000
+SLICE = 250_000
 
 
 def _skippable(magic: int, content: bytes) -> bytes:
