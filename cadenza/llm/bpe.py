@@ -34,6 +34,7 @@ from cadenza.llm.pieces import ByteBpe, byte_bpe
 WINDOW = 16
 MASK = 0x1FF
 SHORTEST, LONGEST = 64, 8192
+BLOCK_BYTES = 16_000_000
 _HEADER = -1
 
 
@@ -125,9 +126,7 @@ def _encoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                         ids = ids_of[key] = bpe.encode(chunk.decode())
                     found.append(ids)
                 sizes = np.array([len(f) // 2 for f in found], np.uint32)
-                pairs = np.frombuffer(b"".join(found), np.uint8)
-                # Low and high bytes apart compress better.
-                data = pack(pairs[0::2], pairs[1::2], sizes, level=6)
+                data = pack(b"".join(found), sizes, level=6)
             out.append((number, bucket, data))
         yield pd.DataFrame(out, columns=["block", "bucket", "data"])
 
@@ -183,19 +182,19 @@ def repaired(bpe: ByteBpe, parts: list[np.ndarray]) -> tuple[np.ndarray, bytes]:
 def _joined(finish: Callable[[list, list, list], pd.DataFrame]):
     """Rows arrive sorted by block, the header first, then the buckets in order."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bpe, head, lows, sizes = byte_bpe(), None, [], []
+        bpe, head, ids, sizes = byte_bpe(), None, [], []
 
         def done() -> Iterator[pd.DataFrame]:
             doc_ids, none, n_chunks, chunk_of = head
-            flat = np.concatenate(lows) if lows else np.empty(0, np.uint16)
+            flat = np.concatenate(ids) if ids else np.empty(0, np.uint16)
             size = np.concatenate(sizes).astype(np.int64) if sizes else np.empty(0, np.int64)
             begin = starts(size)
             at, rows = 0, ([], [], [])
             for i, (doc, missing, n) in enumerate(zip(doc_ids.tolist(), none.tolist(), n_chunks.tolist())):
                 mine = chunk_of[at:at + n]
-                ids, text = repaired(bpe, [flat[begin[c]:begin[c] + size[c]] for c in mine.tolist()])
+                whole_ids, text = repaired(bpe, [flat[begin[c]:begin[c] + size[c]] for c in mine.tolist()])
                 at += n
-                for column, value in zip(rows, (None if missing else doc, ids, text)):
+                for column, value in zip(rows, (None if missing else doc, whole_ids, text)):
                     column.append(value)
                 if i % 512 == 511:
                     yield finish(*rows)
@@ -208,10 +207,10 @@ def _joined(finish: Callable[[list, list, list], pd.DataFrame]):
                 if bucket == _HEADER:
                     if head is not None:
                         yield from done()
-                    head, lows, sizes = unpack(data, "i8", "?", "i8", "i8"), [], []
+                    head, ids, sizes = unpack(data, "i8", "?", "i8", "i8"), [], []
                 else:
-                    low, high, size = unpack(data, "u1", "u1", "u4")
-                    lows.append(low | high.astype(np.uint16) << np.uint16(8))
+                    flat, size = unpack(data, "<u2", "u4")
+                    ids.append(flat)
                     sizes.append(size)
         if head is not None:
             yield from done()
@@ -227,7 +226,7 @@ def whole(doc_ids: list, ids: list[np.ndarray], texts: list[bytes]) -> pd.DataFr
 def encode_and_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                       finish: Callable[[list, list, list], pd.DataFrame] = whole,
                       schema: str = "doc_id long, ids array<int>, decoded string",
-                      block_bytes: int = 8_000_000) -> DataFrame:
+                      block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, ids and the text decoded from them, a row per row of `docs`.
 
     `finish` makes other rows, of `schema`, of the same three lists where the ids are known, so that
