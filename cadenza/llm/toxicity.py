@@ -1,16 +1,19 @@
 """Toxicity from the nearest labelled examples by exact TF-IDF cosine.
 
-Terms are the words of labelled examples that go with the label, or against it, more than chance allows
-(chi-square over documents, above twice what the largest of as many tests reaches by chance; `TERMS` at most).
-Their document frequencies are counted over all documents.  An example's vector is (1 + ln tf) * idf over
-these terms, of length one.
+Terms are all words of the labelled examples.  Their document frequencies are counted over all documents.  A
+vector is (1 + ln tf) * idf over these terms, of length one.
 
 The examples are held in an inverted index: for each term its postings in order of example, cut into
 blocks of `BLOCK` examples, with the largest weight of each block.  For a document the sum of its terms'
-block maxima bounds any cosine inside a block; blocks are opened from the largest bound down, until no
-unopened block can reach the `NEAREST`-th best: so the neighbours are exact, ties (to the smaller id)
-included.  Each votes with a weight that falls with its distance, the share of votes is calibrated by a
-logistic fit on the examples themselves, each voted on by the others.  The neighbours are the evidence.
+block maxima bounds any cosine inside a block; the blocks with the largest bounds are opened first, then all
+that can still reach the `NEAREST`-th best: so the neighbours are exact, ties (to the smaller id) included.
+They are the evidence, and each votes with a weight that falls with its distance.
+
+Over all words the neighbours are mostly alike in subject, so the votes alone miss many toxic texts.  The
+score is a logistic fit of two numbers: the log odds of the votes, and the words' own odds (how much more often
+each stands in toxic examples than in others, smoothed), of which the sum of `POWER`-th powers over all words
+is taken, sign kept, so that a few telling words outweigh many common ones.  It is fitted on the examples
+themselves, each voted on by the others and left out of the words' counts.
 
 The examples are `SAMPLE` labelled rows at most, those whose ids hash lowest (a documented bound), so the
 index is small and goes to every task; documents are never compared with each other or shuffled.
@@ -29,15 +32,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import ids_and_texts, labelled_sample, materialized
+from cadenza.llm.common import ids_and_texts, labelled_sample, materialized, shuffle_tasks
 
 SAMPLE = 10_000
-TERMS = 1024
 NEAREST = 15
 BLOCK = 64
+#: Counts added to each word's in proportion of the labels, and the power of its log odds.
+PRIOR, POWER = 2.0, 4
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -58,43 +63,90 @@ class BlockMaxIndex:
         terms = np.concatenate([vectors[i][0] for i in order]) if order else np.empty(0, int)
         weights = np.concatenate([vectors[i][1] for i in order]) if order else np.empty(0)
         by_term = np.lexsort((rows, terms))
-        self.rows, self.weights = rows[by_term], weights[by_term]
-        cell = terms[by_term] * self.n_blocks + self.rows // block if len(rows) else rows
-        self.pointers = np.searchsorted(cell, np.arange(n_terms * self.n_blocks + 1))
-        self.largest = np.zeros(n_terms * self.n_blocks)
-        np.maximum.at(self.largest, cell, self.weights)
-        self.largest = self.largest.reshape(n_terms, self.n_blocks)
+        terms, self.rows, self.weights = terms[by_term], rows[by_term].astype(np.int32), weights[by_term]
+        self.pointers = np.searchsorted(terms, np.arange(n_terms + 1))
+        # A cell is what a term has in a block; only those with postings are kept.
+        cell = terms * self.n_blocks + self.rows // block
+        start = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]) if len(cell) else np.empty(0, int)
+        self.cell_blocks = self.rows[start] // block
+        self.cell_starts = np.r_[start, len(cell)].astype(np.int32)
+        self.cell_largest = np.maximum.reduceat(self.weights, start) if len(cell) else np.empty(0)
+        self.cells = np.searchsorted(start, self.pointers)
+        self.largest = LargestWeights(self)
+
+    def _open(self, terms: np.ndarray, weights: np.ndarray, blocks: np.ndarray | None) -> np.ndarray:
+        """The cosine of each example in `blocks` (all if None), zero elsewhere."""
+        if blocks is None:
+            spans = list(zip(self.pointers[terms].tolist(), self.pointers[terms + 1].tolist()))
+            rows = np.concatenate([self.rows[a:z] for a, z in spans])
+            found = np.concatenate([self.weights[a:z] for a, z in spans])
+            found *= np.repeat(weights, [z - a for a, z in spans])
+        else:
+            cells, owner = _ranges(self.cells[terms], self.cells[terms + 1])
+            chosen = blocks[self.cell_blocks[cells]]
+            cells, owner = cells[chosen], owner[chosen]
+            at, cell = _ranges(self.cell_starts[cells], self.cell_starts[cells + 1])
+            rows, found = self.rows[at], self.weights[at] * weights[owner][cell]
+        return np.bincount(rows, weights=found, minlength=len(self.ids))
 
     def search(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int | None = None
                ) -> tuple[np.ndarray, np.ndarray]:
         """Rows and cosines of the `k` best with a cosine over zero, best first, ties to the smaller id."""
-        bounds = weights @ self.largest[terms]
-        rows, scores, least = np.empty(0, int), np.empty(0), 0.0
-        for b in np.argsort(-bounds, kind="stable").tolist():
-            # A bound and a cosine sum up in different orders.
-            if bounds[b] <= 0 or (len(rows) >= k and bounds[b] < least - 1e-9):
-                break
-            found = np.zeros(min(self.block, len(self.ids) - b * self.block))
-            for t, w in zip(terms.tolist(), weights.tolist()):
-                a, z = self.pointers[t * self.n_blocks + b:t * self.n_blocks + b + 2]
-                found[self.rows[a:z] - b * self.block] += w * self.weights[a:z]
-            hit = np.flatnonzero(found > 0)
-            hit_rows = hit + b * self.block
+        if not len(self.ids) or not len(terms):
+            return np.empty(0, int), np.empty(0)
+        cells, owner = _ranges(self.cells[terms], self.cells[terms + 1])
+        bounds = np.bincount(self.cell_blocks[cells], weights=weights[owner] * self.cell_largest[cells],
+                             minlength=self.n_blocks)
+        n_first = -(-4 * k // self.block)
+        first = np.zeros(self.n_blocks, dtype=bool)
+        first[np.argsort(-bounds, kind="stable")[:n_first]] = True
+        found = self._open(terms, weights, first)
+        if without is not None:
+            found[without] = 0
+        least = np.partition(found, -k)[-k] if len(found) >= k else 0.0
+        # A bound and a cosine sum up in different orders.
+        rest = ~first & (bounds > 0) & (bounds >= least - 1e-9)
+        if rest.any():
+            if 4 * np.count_nonzero(rest) > self.n_blocks:
+                found = self._open(terms, weights, None)
+            else:
+                found += self._open(terms, weights, rest)
             if without is not None:
-                hit, hit_rows = hit[hit_rows != without], hit_rows[hit_rows != without]
-            rows, scores = np.r_[rows, hit_rows], np.r_[scores, found[hit]]
-            # Cosines equal but for the last digits tie.
-            best = np.lexsort((self.ids[rows], -np.round(scores, 12)))[:k]
-            rows, scores = rows[best], scores[best]
-            least = scores[-1] if len(scores) else 0.0
-        return rows, scores
+                found[without] = 0
+            least = np.partition(found, -k)[-k] if len(found) >= k else 0.0
+        rows = np.flatnonzero((found > 0) & (found >= least - 1e-9))
+        scores = found[rows]
+        # Cosines equal but for the last digits tie.
+        best = np.lexsort((self.ids[rows], -np.round(scores, 12)))[:k]
+        return rows[best], scores[best]
+
+
+class LargestWeights:
+    """The largest weight of each block, a row per term."""
+
+    def __init__(self, index: BlockMaxIndex) -> None:
+        self.index = index
+
+    def __getitem__(self, term: int) -> np.ndarray:
+        row, cells = np.zeros(self.index.n_blocks), slice(*self.index.cells[term:term + 2])
+        row[self.index.cell_blocks[cells]] = self.index.cell_largest[cells]
+        return row
+
+
+def _ranges(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of the ranges one after the other, and which range each is of."""
+    sizes = ends - starts
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    return np.arange(len(owner)) + (starts - (np.cumsum(sizes) - sizes))[owner], owner
 
 
 class ToxicityModel:
-    def __init__(self, terms: list[str], idf: np.ndarray, index: BlockMaxIndex, k: int, base: float) -> None:
-        self.number = {t: i for i, t in enumerate(terms)}
+    """`toxic` and `clean`: in how many examples of either label each term stands."""
+
+    def __init__(self, idf: np.ndarray, index: BlockMaxIndex | None, k: int, base: float,
+                 toxic: np.ndarray, clean: np.ndarray) -> None:
         self.idf, self.index, self.k, self.base = idf, index, k, base
-        self.slope, self.offset = 1.0, 0.0
+        self.toxic, self.clean = toxic, clean
 
     def vector(self, terms: np.ndarray, tf: np.ndarray) -> np.ndarray:
         w = (1 + np.log(tf)) * self.idf[terms]
@@ -106,44 +158,57 @@ class ToxicityModel:
         toxic = float(weights @ self.index.labels[rows])
         return float(np.log((toxic + 0.5) / (weights.sum() - toxic + 0.5)))
 
-    def calibrate(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> None:
-        """Logistic fit of the labels on the votes of the other examples."""
-        place = {int(i): r for r, i in enumerate(self.index.ids)}
-        x, y = [], []
-        for i, (terms, weights) in vectors:
-            rows, scores = self.index.search(terms, weights, self.k, without=place[i])
-            if len(rows):
-                x.append(self.vote(rows, scores))
-                y.append(float(self.index.labels[place[i]]))
-        if len(set(y)) < 2:
-            return
-        design, target, beta = np.c_[x, np.ones(len(x))], np.array(y), np.array([1.0, 0.0])
-        for _ in range(50):
-            p = 1 / (1 + np.exp(-design @ beta))
-            hessian = design.T @ (design * (p * (1 - p))[:, None]) + 1e-2 * np.eye(2)
-            step = np.linalg.solve(hessian, design.T @ (target - p) - 1e-2 * (beta - [1.0, 0.0]))
-            beta = np.clip(beta + step, -20, 20)
-            if np.abs(step).max() < 1e-9:
-                break
-        if beta[0] > 0:
-            self.slope, self.offset = beta.tolist()
-
-    def score(self, terms: np.ndarray, tf: np.ndarray) -> tuple[float, list[int], list[float]]:
-        if len(terms):
-            rows, scores = self.index.search(terms, self.vector(terms, tf), self.k)
-            if len(rows):
-                odds = self.slope * self.vote(rows, scores) + self.offset
-                return float(1 / (1 + np.exp(-odds))), self.index.ids[rows].tolist(), scores.tolist()
-        return self.base, [], []
-
-
-def telling_terms(examples: DataFrame, limit: int = TERMS) -> list[str]:
-    """Of the words of `examples` (text, label) those that a chi-square test over documents singles out."""
-    total = examples.agg(F.count("*"), F.sum("label")).first()
-    n, toxic = total[0], total[1] or 0
-    if not 0 < toxic < n:
-        return []
+    def odds(self, terms: np.ndarray, without: float | None = None) -> float:
+        """Of all words' log odds of being toxic the root of the summed powers; `without` an example of this label."""
+        toxic, clean = self.toxic[terms], self.clean[terms]
+        n_toxic, n = float(self.index.labels.sum()), len(self.index.labels)
+        if without is not None:
+            toxic, clean, n_toxic, n = toxic - without, clean - (1 - without), n_toxic - without, n - 1
+        if not 0 < n_toxic < n:
+            return 0.0
+        a, b = PRIOR * n_toxic / n, PRIOR * (1 - n_toxic / n)
+        each = np.log1p(toxic / a) - np.log1p(clean / b)
+        total = float((np.sign(each) * np.abs(each) ** POWER).sum())
+        return float(np.sign(total) * abs(total) ** (1 / POWER))
+
+    def evidence(self, terms: np.ndarray, tf: np.ndarray, known: int | None = None
+                 ) -> tuple[tuple[float, float] | None, np.ndarray, np.ndarray]:
+        """(vote, odds), neighbours' rows and cosines; `known` is the id of an example to be left out."""
+        if not len(terms):
+            return None, np.empty(0, int), np.empty(0)
+        own = None if known is None else int(np.flatnonzero(self.index.ids == known)[0])
+        rows, scores = self.index.search(terms, self.vector(terms, tf), self.k, without=own)
+        if not len(rows):
+            return None, rows, scores
+        label = None if own is None else float(self.index.labels[own])
+        return (self.vote(rows, scores), self.odds(terms, label)), rows, scores
 
+    def score(self, terms: np.ndarray, tf: np.ndarray, slopes: list[float]) -> tuple[float, list[int], list[float]]:
+        told, rows, scores = self.evidence(terms, tf)
+        if told is None:
+            return self.base, [], []
+        odds = slopes[0] * told[0] + slopes[1] * told[1] + slopes[2]
+        return float(1 / (1 + np.exp(-np.clip(odds, -500, 500)))), self.index.ids[rows].tolist(), scores.tolist()
+
+
+def calibrate(told: np.ndarray, labels: np.ndarray) -> list[float]:
+    """Logistic fit of the labels on (vote, odds) of the examples: two slopes and an offset."""
+    beta = prior = np.array([1.0, 0.0, 0.0])
+    if len(set(labels.tolist())) < 2:
+        return beta.tolist()
+    design = np.c_[told, np.ones(len(told))]
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(design @ beta, -500, 500)))
+        hessian = design.T @ (design * (p * (1 - p))[:, None]) + 1e-2 * np.eye(3)
+        step = np.linalg.solve(hessian, design.T @ (labels - p) - 1e-2 * (beta - prior))
+        beta = np.clip(beta + step, -20, 20)
+        if np.abs(step).max() < 1e-9:
+            break
+    return beta.tolist()
+
+
+def example_words(examples: DataFrame) -> pa.Table:
+    """word, toxic, clean: every word of `examples` (text, label), and in how many of each label it stands."""
     def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out: Counter = Counter()
@@ -153,14 +218,8 @@ def telling_terms(examples: DataFrame, limit: int = TERMS) -> list[str]:
             yield pd.DataFrame([(w, x, c) for (w, x), c in out.items()], columns=["word", "label", "n"])
 
     counted = examples.select("text", "label").mapInPandas(words, "word string, label double, n long")
-    by_word = counted.groupBy("word").agg(F.sum("n").alias("df"), F.sum(F.col("n") * F.col("label")).alias("pos"))
-    by_word = materialized(by_word.where("df >= 3"), "toxicity-words")
-    n_words = by_word.count()
-    expected = F.col("df") * toxic / n
-    spread = expected * (1 - toxic / n) * (n - F.col("df")) / max(n - 1, 1)
-    chi2 = F.when(spread > 0, (F.col("pos") - expected) ** 2 / spread).otherwise(0.0)
-    chosen = by_word.withColumn("chi2", chi2).where(F.col("chi2") > 4 * np.log(max(n_words, 2)))
-    return [r["word"] for r in chosen.orderBy(F.desc("chi2"), "word").limit(limit).collect()]
+    toxic = F.sum(F.col("n") * F.col("label")).alias("toxic")
+    return counted.groupBy("word").agg(toxic, (F.sum("n") - toxic).alias("clean")).toArrow().sort_by("word")
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, learn_not: Column, label: str = "toxic",
@@ -172,52 +231,65 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, learn_not: Column, label
     texts = ids_and_texts(docs)
     # `sample` rows of two numbers at most.
     examples = materialized(texts.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]), "toxicity-examples")
-    terms = telling_terms(examples)
-    number = {t: i for i, t in enumerate(terms)}
+    words = example_words(examples)
+    n_terms = len(words)
+    numbers = spark.sparkContext.broadcast({w: i for i, w in enumerate(words["word"].to_pylist())})
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        number = numbers.value
         for batch in batches:
-            out = []
+            terms, tf = [], []
             for text in batch["text"]:
-                found = Counter(w for w in terms_of(text) if w in number)
-                pairs = sorted((number[w], c) for w, c in found.items())
-                out.append(([t for t, _ in pairs], [c for _, c in pairs]))
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "terms": [t for t, _ in out], "tf": [c for _, c in out]}
-                               ).astype({"doc_id": "Int64"})
+                pairs = sorted((number[w], c) for w, c in Counter(terms_of(text)).items() if w in number)
+                both = np.array(pairs, np.int32).reshape(-1, 2)
+                terms.append(both[:, 0])
+                tf.append(both[:, 1])
+            out = pd.DataFrame({"doc_id": batch["doc_id"], "terms": terms, "tf": tf}).astype({"doc_id": "Int64"})
+            yield out.assign(label=batch["label"]) if "label" in batch else out
 
     schema = "doc_id long, terms array<int>, tf array<int>"
     vectors = materialized(texts.mapInPandas(counted, schema), "toxicity-vectors")
     n_docs = vectors.count()
-    frequency = {r["t"]: r["df"] for r in vectors.select(F.explode("terms").alias("t")).groupBy("t").agg(
-        F.count("*").alias("df")).collect()}
-    idf = np.array([np.log((1 + n_docs) / (1 + frequency.get(t, 0))) + 1 for t in range(len(terms))])
-    known = examples.select("doc_id", "text", "label").mapInPandas(
-        lambda batches: (counted_batch.assign(label=batch["label"].to_numpy())
-                         for batch in batches for counted_batch in counted(iter([batch]))),
-        schema + ", label double").toPandas()
-    known["label"] = known["label"].astype(float)
-    full = known["terms"].map(len).to_numpy() > 0
-    bare = known.loc[~full, "label"]
+    counts = vectors.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("df")).toArrow()
+    frequency = np.zeros(n_terms)
+    frequency[counts["t"].to_numpy()] = counts["df"].to_numpy()
+    idf = np.log((1 + n_docs) / (1 + frequency)) + 1
+    known = materialized(examples.select("doc_id", "text", "label").mapInPandas(counted, schema + ", label double"),
+                         "toxicity-known")
+    # `sample` rows at most.
+    rows = known.toArrow().sort_by("doc_id").to_pandas()
+    full = rows["terms"].map(len).to_numpy() > 0
+    bare = rows.loc[~full, "label"]
     base = float((bare.sum() + 0.5 * 0.01) / (len(bare) + 0.01))
-    rows = known[full].sort_values("doc_id")
-    model = ToxicityModel(terms, idf, None, k, base)
-    held = [(np.asarray(t, int), model.vector(np.asarray(t, int), np.asarray(c, float))) for t, c in zip(rows["terms"], rows["tf"])]
-    ids = rows["doc_id"].to_numpy().astype(np.int64)
-    model.index = BlockMaxIndex(len(terms), ids, rows["label"].to_numpy(float), held)
-    model.calibrate(list(zip(ids.tolist(), held)))
+    rows = rows[full]
+    model = ToxicityModel(idf, None, k, base, words["toxic"].to_numpy(), words["clean"].to_numpy())
+    held = [(t.astype(int), model.vector(t, c)) for t, c in zip(rows["terms"], rows["tf"])]
+    model.index = BlockMaxIndex(n_terms, rows["doc_id"].to_numpy(np.int64), rows["label"].to_numpy(float), held)
     sent = spark.sparkContext.broadcast(model)
 
+    def told(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for i, t, c, x in zip(batch["doc_id"], batch["terms"], batch["tf"], batch["label"]):
+                found = sent.value.evidence(t, c, known=i)[0]
+                if found is not None:
+                    out.append((*found, x))
+            yield pd.DataFrame(out, columns=["vote", "odds", "label"], dtype=float)
+
+    fitted = known.repartition(shuffle_tasks(spark)).mapInPandas(
+        told, "vote double, odds double, label double").toArrow().to_pandas()
+    slopes = calibrate(fitted[["vote", "odds"]].to_numpy(), fitted["label"].to_numpy())
+
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model, seen = sent.value, {}
         for batch in batches:
             out = []
-            for t, c in zip(batch["terms"], batch["tf"]):
-                terms, tf = np.asarray(t, int), np.asarray(c, float)
+            for terms, tf in zip(batch["terms"], batch["tf"]):
                 key = terms.tobytes(), tf.tobytes()
                 if key not in seen:
                     if len(seen) > 10_000:
                         seen.clear()
-                    seen[key] = model.score(terms, tf)
+                    seen[key] = model.score(terms, tf, slopes)
                 out.append(seen[key])
             yield pd.DataFrame({
                 "doc_id": batch["doc_id"], "score": [s for s, _, _ in out], "neighbours": [n for _, n, _ in out],

@@ -2,6 +2,7 @@ import math
 import os
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -139,6 +140,26 @@ def test_toxicity_of_awkward_tables(spark, make_docs):
     assert toxicity.toxicity_scores(make_docs([]), marks, F.lit(False)).count() == 0
 
 
+def test_toxicity_looks_at_every_word(spark, make_docs):
+    """Words of one or two examples, and no more telling than chance, lead to neighbours by plain cosine too."""
+    words = [[w + chr(97 + i % 26) for w in ("alpha", "beta", "gamma", f"rare{chr(97 + i // 2 % 26)}")] for i in range(40)]
+    docs = make_docs([(i, " ".join(w)) for i, w in enumerate(words)])
+    marks = spark.createDataFrame([(i, i // 2 % 2) for i in range(30)], "doc_id long, toxic int")
+    df = Counter(w for ws in words for w in set(ws))
+    known = {w for ws in words[:30] for w in ws}
+
+    def vector(ws):
+        v = {w: math.log(41 / (1 + df[w])) + 1 for w in set(ws) & known}
+        return {w: x / math.sqrt(sum(y * y for y in v.values())) for w, x in v.items()}
+
+    for r in toxicity.toxicity_scores(docs, marks, F.lit(False), k=3).collect():
+        mine = vector(words[r["doc_id"]])
+        cosines = [(-round(sum(x * vector(words[i]).get(w, 0) for w, x in mine.items()), 12), i) for i in range(30)]
+        best = sorted(c for c in cosines if c[0] < 0)[:3]
+        assert best and r["neighbours"] == [i for _, i in best]
+        assert r["similarities"] == pytest.approx([-c for c, _ in best])
+
+
 # --- neighbours
 
 def brute(rows, k=5):
