@@ -6,10 +6,10 @@ of 6 characters or more), `access` (key ids of 20 or more), `hex` (24 digits or
 explains better than one of ordinary identifiers, by a log-likelihood ratio of `THRESHOLD` or more, and of `MEAN` or
 more a pair.
 Both models are chains over pairs of characters, smoothed by one count a pair.  The first learns from the
-values of all base spans of all documents; the second from the other words of `ORDINARY_DOCUMENTS`
-documents at most, those whose ids hash lowest (a documented bound).
+values of all base spans of all documents; the second from the other words of all documents.
 
-Every text is read once; what is kept of it for training and scoring are its base spans and its long runs.
+Texts are read twice: for their base spans and long runs, which are kept for training and scoring, and for the
+pairs of their other words, of which only the counts leave a task.
 
 Defined results: a null text counts as empty and has no spans.  A failing base match still uses up its
 characters.  A run that lies inside a base span adds nothing.  Positions are code points, ends exclusive.
@@ -37,7 +37,6 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 RUN = "[A-Za-z0-9+/_=-]"
 MIN_RANDOM = 16
 THRESHOLD, MEAN = 10.0, 0.5
-ORDINARY_DOCUMENTS = 2000
 SPAN = "struct<start: int, end: int, value: string>"
 
 
@@ -79,12 +78,16 @@ def base_and_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     )
 
 
+def _counted(pairs: DataFrame) -> dict[str, int]:
+    """How often each value of column `pair` stands there, a row each: one for any two of `ALPHABET` at most."""
+    return {r["pair"]: r["n"] for r in pairs.groupBy("pair").agg(F.count("*").alias("n")).collect()}
+
+
 def _pairs(values: DataFrame) -> dict[str, int]:
     """How often each pair of neighbours stands in column `value`; at most one row a pair leaves."""
     pairs = values.where("length(value) > 1").select(
         F.explode(F.expr("transform(sequence(1, length(value) - 1), i -> substring(value, i, 2))")).alias("pair"))
-    return {r["pair"]: r["n"] for r in pairs.where(pairs["pair"].rlike(f"^{RUN}{{2}}$"))
-            .groupBy("pair").agg(F.count("*").alias("n")).collect()}
+    return _counted(pairs.where(pairs["pair"].rlike(f"^{RUN}{{2}}$")))
 
 
 def _chain(counts: dict[str, int]) -> list[float]:
@@ -96,18 +99,16 @@ def _chain(counts: dict[str, int]) -> list[float]:
     return out
 
 
-def train(docs: DataFrame, found: DataFrame, ordinary_documents: int = ORDINARY_DOCUMENTS) -> list[float] | None:
+def train(docs: DataFrame, found: DataFrame) -> list[float] | None:
     """For each pair of characters the log of its odds, random to ordinary."""
     base = F.concat("assign", "access", "hex")
     random = _pairs(found.select(F.explode(base).alias("s")).select("s.value"))
     if not random:
         return None
-    texts = ids_and_texts(docs).withColumn("order", F.xxhash64("doc_id"))
-    last = texts.select("order").orderBy("order").limit(ordinary_documents).agg(F.max("order")).first()[0]
-    words = texts.where(F.col("order") <= last).select(F.explode(F.regexp_extract_all(
-        F.regexp_replace(F.regexp_replace("text", ASSIGN, " "), f"{ACCESS}|{_exact_run(HEX[:-1], MIN_HEX)}", " "),
-        F.lit(f"({RUN}+)"), F.lit(1))).alias("value"))
-    ordinary = _pairs(words)
+    others = F.regexp_replace(F.regexp_replace("text", ASSIGN, " "), f"{ACCESS}|{_exact_run(HEX[:-1], MIN_HEX)}", " ")
+    # Looking ahead, a match takes no character: each pair of each word is found in one pass.
+    ordinary = _counted(ids_and_texts(docs).select(
+        F.explode(F.regexp_extract_all(others, F.lit(f"(?=({RUN}{{2}}))"), F.lit(1))).alias("pair")))
     return [a - b for a, b in zip(_chain(random), _chain(ordinary))]
 
 

@@ -1,5 +1,6 @@
 import random
 import re
+from collections import Counter
 
 import pytest
 
@@ -76,6 +77,16 @@ def test_log_odds(spark, scanned):
     assert [r[0] for r in row.where("length(value) > 1").select(secrets.log_odds(F.col("value"), model)).collect()] == [4.0, 0.0]
 
 
+def test_ordinary_pairs_are_counted_over_all_documents(make_docs):
+    rows = [(i, f"naming_{i % 7} of-things é") for i in range(2100)] + [(5000 + i, f"zq{i % 9}Zq/kk") for i in range(400)]
+    rows += [(9000, "zqqz secret=a1b2c3d4 zq"), (None, "x"), (9001, None)]
+    docs = make_docs(rows, extra=False)
+    count = lambda texts: Counter(w[i:i + 2] for t in texts for w in re.findall(secrets.RUN + "+", t) for i in range(len(w) - 1))
+    ordinary = secrets._chain(count((t or "").replace("secret=a1b2c3d4", " ") for _, t in rows))
+    random_ = secrets._chain(count(["a1b2c3d4"]))
+    assert secrets.train(docs, secrets.base_and_runs(docs)) == pytest.approx([a - b for a, b in zip(random_, ordinary)])
+
+
 def test_nothing_to_learn_from(make_docs):
     assert secrets.scan(make_docs([])).count() == 0
     got = secrets.scan(make_docs([(1, RANDOM * 3), (None, None)])).collect()
