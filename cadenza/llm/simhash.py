@@ -178,14 +178,15 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
                     bucket: int = BUCKET) -> DataFrame:
-    """doc_id, text_hash, fp and component_id (the least doc_id reachable), a row per row of `docs`."""
+    """doc_id, text_hash, fp, root (the least fingerprint reachable, which names the group whatever its ids)
+    and component_id (the least doc_id reachable), a row per row of `docs`."""
     prints = materialized(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     roots = components(links(prints, bucket))
     first = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
     rooted = first.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    classes = rooted.join(named, "root").select("fp", "component_id")
-    return prints.join(classes, "fp").select("doc_id", "text_hash", "fp", "component_id")
+    classes = rooted.join(named, "root").select("fp", "root", "component_id")
+    return prints.join(classes, "fp").select("doc_id", "text_hash", "fp", "root", "component_id")
 
 
 def fingerprint_hex(fp: str = "fp"):
@@ -197,10 +198,7 @@ def keep_one_of_each_group(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame
     ids the one with the least text hash, of equal rows any one."""
     grouped = near_duplicates(docs, shingle=shingle)
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("best")
-    # a group whose rows have no id at all is known by its fingerprint
-    winners = grouped.groupBy(
-        "component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("fp")
-    ).agg(best).select("best.doc_id", "best.text_hash")
+    winners = grouped.groupBy("root").agg(best).select("best.doc_id", "best.text_hash")
     rows = docs.select(
         F.struct("*").alias("row"), docs["doc_id"].cast("long").alias("doc_id"),
         F.xxhash64(F.coalesce(docs["text"], F.lit(""))).alias("text_hash"))

@@ -80,6 +80,28 @@ def test_one_of_each_group_stays(awkward, make_docs):
     assert simhash.keep_one_of_each_group(nameless).count() == 2
 
 
+def near(text: str) -> str:
+    """A text with another fingerprint that links to that of `text`."""
+    at = plain_fingerprint(text)
+    for i in range(1, 200):
+        other = f"{text} more{i}"
+        if 0 < (plain_fingerprint(other) ^ at).bit_count() <= simhash.DISTANCE:
+            return other
+    raise AssertionError("no near copy")
+
+
+def test_a_group_is_known_by_its_fingerprints(make_docs):
+    a, b = prose(300, 11), prose(300, 12)
+    # unrelated texts under one id: both stay
+    shared = [(5, a), (5, b), (6, near(a)), (7, near(b)), (8, b)]
+    assert sorted((r["doc_id"], r["text"]) for r in simhash.keep_one_of_each_group(make_docs(shared)).collect()) == sorted([(5, a), (5, b)])
+    # linked copies without ids: one stays
+    nameless = [(None, a), (None, near(a)), (None, b)]
+    assert len({plain_fingerprint(t) for _, t in nameless}) == 3
+    kept = [r["text"] for r in simhash.keep_one_of_each_group(make_docs(nameless)).collect()]
+    assert len(kept) == 2 and b in kept
+
+
 def test_no_documents(make_docs):
     assert simhash.near_duplicates(make_docs([])).count() == 0
     assert simhash.keep_one_of_each_group(make_docs([])).count() == 0
