@@ -1,14 +1,15 @@
 """Line dedup: lines that stand in many documents leave all of them.  DataFrame functions only.
 
 Every line of every whole text gets a key (white space stripped at both ends, A-Z lower-cased),
-the key a 128-bit hash.  A document counts once for each different hash it has, so the count over
-documents is combined before it is shuffled.  Of the lines found common only (document, position)
+the key a 128-bit hash.  A document counts once for each different hash it has.  Either each row is a
+document, or (`by_id`, as in the query and the pipeline) all rows of one id are: then (hash, id) is made
+distinct before it is counted by hash.  Of the lines found common only (document, position)
 travels on; a document's positions come back to its text, and the lines between them are put
 together again by position.
 
 Defined results: a null or empty text is one empty line.  A key shorter than `min_key` code points is
-never dropped.  Each row is a document, so rows with the same id count one by one; equal rows get equal
-results.  A null id is an id like any other.  An empty table gives an empty result.
+never dropped.  Equal rows get equal results.  With `by_id` the ids are counted as SQL's count(DISTINCT) does, which
+leaves a null id out; else rows with the same id count one by one and a null id is an id like any other.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -35,7 +36,8 @@ def _hash(key: Column) -> Column:
     return F.struct(F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(1), key).alias("h2"))
 
 
-def dedup_lines(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, min_key: int = MIN_KEY) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, min_key: int = MIN_KEY,
+                by_id: bool = False) -> DataFrame:
     """`row` (the whole input row), n_lines, n_dropped, and the text that is kept."""
     lines = docs.select(
         F.struct("*").alias("row"),
@@ -44,9 +46,12 @@ def dedup_lines(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, min_key: in
         F.split(F.coalesce(docs["text"], F.lit("")), "\n", -1).alias("lines"),
     )
     hashes = F.transform("lines", lambda line: F.when(F.length(line_key(line)) >= min_key, _hash(line_key(line))))
+    counted = lines.select("id", F.explode(F.array_distinct(hashes)).alias("h")).where("h IS NOT NULL")
+    if by_id:
+        counted = counted.where("id IS NOT NULL").select("h", "id").groupBy("h.h1", "h.h2", "id").agg(F.lit(1).alias("one"))
+        counted = counted.select(F.struct("h1", "h2").alias("h"))
     common = (
-        lines.select(F.explode(F.array_distinct(hashes)).alias("h")).where("h IS NOT NULL")
-        .groupBy("h.h1", "h.h2").agg(F.count("*").alias("n_documents")).where(F.col("n_documents") >= min_documents)
+        counted.groupBy("h.h1", "h.h2").agg(F.count("*").alias("n_documents")).where(F.col("n_documents") >= min_documents)
     )
     dropped = (
         lines.select("id", "text_hash", F.posexplode(hashes).alias("at", "h")).where("h IS NOT NULL")

@@ -1,6 +1,9 @@
 from collections import Counter
 
-from cadenza.llm import line_dedup
+import duckdb
+
+import corpus_pipeline
+from cadenza.llm import line_dedup, queries
 from tests.llm.conftest import awkward_texts
 
 SPACE = " \t\n\x0b\x0c\r"
@@ -32,6 +35,19 @@ def test_documents_keep_their_columns(awkward):
     assert all(r["n_chars"] == len(r["text"]) and r["row"] == "clash" for r in got.collect())
 
 
+def test_rows_of_one_id_count_once(spark, make_docs, tmp_path):
+    rows = [(1, "kept line\ncommon")] * 12 + [(10 + i, f"common\nown {i}") for i in range(9)]
+    docs = make_docs(rows, extra=False)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    stored = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    got = {tuple(r) for r in queries.op3_line_dedup(spark, str(tmp_path)).collect()}
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW documents AS SELECT DISTINCT doc_id, text FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+        assert got == set(db.execute(queries.ORACLES["op3_line_dedup"]).fetchall())
+    kept = corpus_pipeline.drop_common_lines(spark, stored, "").where("doc_id = 1").collect()
+    assert [r["text"] for r in kept] == ["kept line"] * 12
+
+
 def test_no_documents(make_docs):
     assert line_dedup.dedup_lines(make_docs([])).count() == 0
 
