@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadenza.llm import (
-    bpe, decontaminate, line_dedup, neighbours, quality, secrets, simhash, token_counts, token_files, toxicity,
+    bpe, conversations, decontaminate, line_dedup, minhash, neighbours, quality, secrets, simhash, token_counts,
+    token_files, toxicity,
 )
-from cadenza.llm.common import documents, held_out, labels, scratch_path
+from cadenza.llm.common import documents, held_out, labels, materialized, scratch_path
 from cadenza.llm.pieces import WORD_BPE
 
 
@@ -84,6 +85,24 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(secrets.listed(*base), 256).alias("base_sha256"), secrets.listed(*secrets.KINDS).alias("spans"))
 
 
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = conversations.conversation_rows(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    broken = conversations.damaged(rows)
+    found = materialized(conversations.report(broken), "conversation-report")
+    digests = conversations.repaired_digests(broken, found)
+    every = rows.select("conv_id").distinct()
+    full = every.join(found.withColumnRenamed("conv_id", "_id"), F.col("conv_id").eqNullSafe(F.col("_id")), "left").drop("_id")
+    full = full.join(digests.withColumnRenamed("conv_id", "_id"), F.col("conv_id").eqNullSafe(F.col("_id")), "left").drop("_id")
+    return full.fillna(0, ["gaps", *conversations.KINDS[:3], "illegal", "cost"]).fillna(
+        {"audit": "", "repaired_sha256": hashlib.sha256(b"").hexdigest()})
+
+
+def op13_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minhash.near_duplicates(documents(spark, sf_dir))
+    return found.select(
+        "doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_token_files": op2_token_files,
@@ -95,6 +114,8 @@ QUERIES = {
     "op8_neighbours": op8_neighbours,
     "op9_quality": op9_quality,
     "op10_secrets": op10_secrets,
+    "op12_conversations": op12_conversations,
+    "op13_minhash": op13_minhash,
 }
 
 ORACLES = {
