@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadenza.llm import (
-    bpe, conversations, decontaminate, line_dedup, minhash, neighbours, quality, secrets, simhash, token_counts,
+    bpe, conversations, decontaminate, line_dedup, minhash, neighbours, quality, search, secrets, simhash, token_counts,
     token_files, toxicity,
 )
 from cadenza.llm.common import documents, held_out, labels, materialized, scratch_path
@@ -85,6 +85,10 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(secrets.listed(*base), 256).alias("base_sha256"), secrets.listed(*secrets.KINDS).alias("spans"))
 
 
+def op11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = conversations.conversation_rows(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
     broken = conversations.damaged(rows)
@@ -114,6 +118,7 @@ QUERIES = {
     "op8_neighbours": op8_neighbours,
     "op9_quality": op9_quality,
     "op10_secrets": op10_secrets,
+    "op11_search": op11_search,
     "op12_conversations": op12_conversations,
     "op13_minhash": op13_minhash,
 }
@@ -133,4 +138,5 @@ ORACLES = {
             sha256(coalesce(string_agg(line, chr(10) ORDER BY nth) FILTER (NOT gone), '')) AS kept_sha256
         FROM marked GROUP BY doc_id""",
     "op5_decontamination": decontaminate.ORACLE_SQL,
+    "op11_search": search.ORACLE_SQL,
 }
