@@ -12,9 +12,11 @@ Documents with equal sets are one entry, so exact copies cost nothing more.  Buc
 1. Every member of a bucket is tried against the bucket's hub alone, the member that shares most buckets with most
    others (the original of a family of copies).  What links falls into one group.
 2. Buckets that still hold several groups are looked at again, in blocks of at most `BLOCK` members, two blocks to
-   a task: each member names its `picks` most alike members of other groups by signature, these pairs are
-   verified, and groups merge.  This repeats with eight times the picks until nobody has an untried
-   partner left, so no link is lost, and families that merge early never list their pairs.
+   a task.  Groups with members whose signatures pass form a family; a task names only as many pairs of
+   groups as hold its part of the family together.
+3. The members of a family that are in such buckets are compared by their full sets, again two blocks to a task, and
+   groups that link are one.  A link between two groups is a pair of one family, so none is lost, and
+   no list of pairs ever leaves a task.
 
 Defined results: a null text counts as empty; a text without words has no set, is linked with nothing and is a group
 of its own, even beside others like it.  A null id stays null and names a group only if the group has
@@ -41,7 +43,10 @@ MINIMA = 128
 ROWS = 4
 SCREEN = 80
 BLOCK = 1024
-PICKS = 4
+#: Members and bytes of sets in a block of a family.
+FAMILY_BLOCK = 512
+SET_BYTES = 16_000_000
+COLUMNS = 4096
 #: Pairs of one hub that are verified in one task.
 SHARE = 2000
 #: Words whose hash a task remembers.
@@ -122,7 +127,9 @@ def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, shingl
             out = pd.DataFrame({"node": names, "grams": [g.tobytes() for g in grams]})
             yield out[[n == m for n, m in zip(names, batch["node"])]]
 
-    # One row of each class is wanted, so the copies of a text are neither moved nor shingled.
+    # One row of each class is wanted, so the copies of a text are neither moved nor shingled.  Written first, the
+    # wanted rows have a known size, and where that is small Spark does not start to shuffle the texts.
+    wanted = materialized(wanted, "wanted")
     texts = ids_and_texts(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("text"))
     same = texts["doc_id"].eqNullSafe(wanted["rep_id"]) & (texts["text_hash"] == wanted["text_hash"])
     found = texts.join(wanted, same).select("node", "text")
@@ -149,135 +156,164 @@ def _similar(percent: int):
     return run
 
 
-def _alike(picks: int):
-    """The members of other groups most alike to each member, block against block; rows arrive sorted by block pair."""
-    def named(rows: pd.DataFrame) -> pd.DataFrame:
-        one, two = rows["one"].iloc[0], rows["two"].iloc[0]
-        minima = np.frombuffer(b"".join(rows["minima"]), np.uint8).reshape(-1, MINIMA)
-        node, group = rows["node"].to_numpy(), pd.factorize(rows["root"])[0]
-        block = rows["block"].to_numpy()
-        left = np.flatnonzero(block == one)
-        pairs = [(left, left)] if one == two else [(left, np.flatnonzero(block == two)), (np.flatnonzero(block == two), left)]
-        out = []
-        for mine, others in pairs:
-            for i in range(0, len(mine), 32):
-                at = mine[i:i + 32]
-                same = (minima[at][:, None, :] == minima[others][None, :, :]).sum(axis=2, dtype=np.uint8)
-                same[(group[at][:, None] == group[others][None, :]) | (same < SCREEN)] = 0
-                for row, who in zip(same, at):
-                    hits = np.flatnonzero(row)
-                    if len(hits) > picks:
-                        # the most alike; of equally alike ones those with the least node
-                        hits = np.array(sorted(hits, key=lambda h: (-int(row[h]), node[others[h]]))[:picks])
-                    out += [(node[who], node[others[h]], int(row[h])) for h in hits]
-        return pd.DataFrame(out, columns=["node", "other", "same"])
+def _holding(groups: np.ndarray, near: Iterator[tuple[int, np.ndarray]]) -> list[tuple[int, int]]:
+    """Pairs of members that hold together what `near`, (member, members near it), joins of the groups."""
+    out, now = [], groups.copy()
+    for i, others in near:
+        for label, at in zip(*np.unique(now[others], return_index=True)):
+            if label != now[i]:
+                out.append((i, int(others[at])))
+                now[now == label] = now[i]
+    return out
+
+
+def _by_signature(rows: pd.DataFrame, groups: np.ndarray, left: np.ndarray, right: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    minima = np.frombuffer(b"".join(rows["minima"]), np.uint8).reshape(-1, MINIMA)
+    for i in range(0, len(left), 32):
+        at = left[i:i + 32]
+        near = (minima[at][:, None, :] == minima[right][None, :, :]).sum(axis=2, dtype=np.uint8) >= SCREEN
+        near &= groups[at][:, None] != groups[right][None, :]
+        yield from ((int(who), right[row]) for who, row in zip(at, near) if row.any())
+
+
+def _by_set(percent: int):
+    def near(rows: pd.DataFrame, groups: np.ndarray, left: np.ndarray, right: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        sets = [np.frombuffer(g, np.uint64) for g in rows["grams"]]
+        sizes = np.array([len(g) for g in sets])
+        gram = np.unique(np.concatenate(sets), return_inverse=True)[1]
+        member = np.repeat(np.arange(len(sets)), sizes)
+        # Only what several sets hold can be common; it is counted some columns at a time.
+        several = np.bincount(gram) > 1
+        member = member[several[gram]]
+        gram = (np.cumsum(several) - 1)[gram[several[gram]]]
+        order = np.argsort(gram, kind="stable")
+        gram, member = gram[order], member[order]
+        both = np.zeros((len(left), len(right)))
+        place = np.empty((2, len(sets)), dtype=np.int64)
+        place[0, left], place[1, right] = np.arange(len(left)), np.arange(len(right))
+        is_left, is_right = np.isin(np.arange(len(sets)), left), np.isin(np.arange(len(sets)), right)
+        for start in range(0, int(several.sum()), COLUMNS):
+            a, z = np.searchsorted(gram, (start, start + COLUMNS))
+            holds = []
+            for side, among, size in ((0, is_left, len(left)), (1, is_right, len(right))):
+                mine = among[member[a:z]]
+                matrix = np.zeros((size, COLUMNS), dtype=np.float32)
+                matrix[place[side, member[a:z][mine]], gram[a:z][mine] - start] = 1
+                holds.append(matrix)
+            both += holds[0] @ holds[1].T
+        alike = 100 * both >= percent * (sizes[left][:, None] + sizes[right][None, :] - both)
+        alike &= groups[left][:, None] != groups[right][None, :]
+        yield from ((int(who), right[row]) for who, row in zip(left, alike) if row.any())
+    return near
+
+
+def _joining(key: str, near):
+    """Pairs of roots that `near` joins, block against block; rows arrive sorted by `key` and block pair."""
+    def joined(rows: pd.DataFrame) -> pd.DataFrame:
+        roots = rows["root"].to_numpy()
+        groups = pd.factorize(roots)[0]
+        block, one, two = rows["block"].to_numpy(), rows["one"].iloc[0], rows["two"].iloc[0]
+        found = []
+        if groups.any():
+            found = _holding(groups, near(rows, groups, np.flatnonzero(block == one), np.flatnonzero(block == two)))
+        return pd.DataFrame([(roots[i], roots[j]) for i, j in found], columns=["a", "b"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
         for batch in batches:
             rest = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
-            key = rest[["bucket", "one", "two"]].to_numpy()
-            starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(axis=1)]).tolist() if len(key) else []
+            keys = rest[[key, "one", "two"]]
+            new = (keys != keys.shift()).any(axis=1).to_numpy() if len(keys) else np.empty(0, bool)
+            starts = np.flatnonzero(new).tolist()
             for a, z in zip(starts[:-1], starts[1:]):
-                yield named(rest.iloc[a:z])
+                yield joined(rest.iloc[a:z])
             if len(starts) > 1:
                 rest = rest.iloc[starts[-1]:]
         if rest is not None and len(rest):
-            yield named(rest)
+            yield joined(rest)
     return run
 
 
-class _Verifier:
-    """Links among pairs (a, b); sets are built once for each node that a pair ever names."""
-
-    def __init__(self, docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, shingle: int, percent: int):
-        self.docs, self.classes, self.percent = docs, classes, percent
-        self.columns = id_col, text_col, shingle
-        self.sets: DataFrame | None = None
-
-    def screened(self, pairs: DataFrame) -> DataFrame:
-        minima = self.classes.select("node", "minima")
-        for side in ("a", "b"):
-            pairs = pairs.join(minima.withColumnsRenamed({"node": side, "minima": f"minima_{side}"}), side)
-        return pairs.mapInPandas(_agreeing, "a binary, b binary")
-
-    def links(self, pairs: DataFrame) -> DataFrame:
-        """The pairs of the table `pairs` whose full sets are alike."""
-        nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        if self.sets is not None:
-            nodes = nodes.join(self.sets, "node", "left_anti")
-        wanted = self.classes.join(nodes, "node", "left_semi").select("node", "rep_id", "text_hash")
-        more = materialized(_sets(self.docs, wanted, *self.columns), "sets")
-        self.sets = more if self.sets is None else self.sets.unionByName(more)
-        # b may be the hub of very many: its pairs go to several tasks, its set with them.
-        shares = pairs.groupBy("b").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("shares"))
-        near = self.sets.select(F.col("node").alias("b"), F.col("grams").alias("grams_b")).join(shares, "b").select(
-            "b", "grams_b", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
-        sized = pairs.join(shares, "b").select("a", "b", F.pmod(F.xxhash64("a"), "shares").cast("int").alias("share"))
-        far = sized.join(self.sets.select(F.col("node").alias("a"), F.col("grams").alias("grams_a")), "a")
-        return materialized(far.join(near, ["b", "share"]).select("a", "b", "grams_a", "grams_b").mapInPandas(
-            _similar(self.percent), "a binary, b binary"), "minhash-links")
-
-
-def _grouped(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """(node, root) of all nodes."""
-    edges = links.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct()
-    roots = components(edges)
-    return materialized(nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root")), "groups")
-
-
-def _groups(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, shingle: int, percent: int, block: int, picks: int) -> DataFrame:
+def _against(members: DataFrame, key: str, near, extra: str) -> DataFrame:
+    """(a, b) roots joined among `members` (key, blocks, node, root and the column `extra`), each block against each."""
+    n = shuffle_tasks(members.sparkSession)
+    placed = members.withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    paired = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        key, F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "root", extra)
+    return paired.repartition(n, key, "one", "two").sortWithinPartitions(key, "one", "two").mapInPandas(
+        _joining(key, near), "a binary, b binary")
+
+
+def _screened(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    minima = classes.select("node", "minima")
+    for side in ("a", "b"):
+        pairs = pairs.join(minima.withColumnsRenamed({"node": side, "minima": f"minima_{side}"}), side)
+    return pairs.mapInPandas(_agreeing, "a binary, b binary")
+
+
+def _to_hubs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are alike; b may be the hub of very many, whose pairs go to several
+    tasks, and its set with them."""
+    shares = pairs.groupBy("b").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("shares"))
+    near = sets.select(F.col("node").alias("b"), F.col("grams").alias("grams_b")).join(shares, "b").select(
+        "b", "grams_b", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
+    sized = pairs.join(shares, "b").select("a", "b", F.pmod(F.xxhash64("a"), "shares").cast("int").alias("share"))
+    far = sized.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("grams_a")), "a")
+    return far.join(near, ["b", "share"]).select("a", "b", "grams_a", "grams_b").mapInPandas(
+        _similar(percent), "a binary, b binary")
+
+
+def _rooted(edges: DataFrame) -> DataFrame:
+    """(node, root) of the nodes that pairs (a, b) connect."""
+    return components(edges.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct())
+
+
+def _groups(docs: DataFrame, classes: DataFrame, columns: tuple[str, str, int], percent: int, block: int, family_block: int) -> DataFrame:
     """(node, root) of all classes."""
-    n = shuffle_tasks(docs.sparkSession)
     members = classes.select("node", F.explode("bands").alias("bucket"))
     sizes = members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     shared = materialized(members.join(sizes, "bucket"), "shared-buckets")
-    verifier = _Verifier(docs, classes, id_col, text_col, shingle, percent)
 
     company = shared.groupBy("node").agg(F.sum("size").alias("company"))
     known = shared.join(company, "node")
-    hubs = known.groupBy("bucket").agg(F.max(F.struct("company", "node")).alias("hub")).select("bucket", "hub.node")
-    spokes = shared.select("bucket", F.col("node").alias("a")).join(hubs.withColumnRenamed("node", "b"), "bucket")
-    spokes = materialized(verifier.screened(spokes.where("a <> b").select("a", "b").distinct()), "spokes")
-    tried, links = spokes, verifier.links(spokes)
-    nodes = classes.select("node")
-    groups = _grouped(nodes, links)
-    while True:
-        placed = shared.join(groups, "node")
-        mixed = placed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("root").alias("one"), F.max("root").alias("two"))
-        mixed = mixed.where("one <> two").select("bucket", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-        live = placed.join(mixed, "bucket").join(classes.select("node", "minima"), "node").withColumn(
-            "block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-        against = live.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-            "bucket", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "node", "root", "minima")
-        found = against.repartition(n, "bucket", "one", "two").sortWithinPartitions("bucket", "one", "two").mapInPandas(
-            _alike(picks), "node binary, other binary, same int")
-        ranked = found.distinct().withColumn(
-            "nth", F.expr("row_number() OVER (PARTITION BY node ORDER BY same DESC, other)")).where(f"nth <= {picks}")
-        chosen = materialized(ranked.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"), "nth"), "picks")
-        full = not chosen.where(F.col("nth") == picks).isEmpty()
-        known = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        fresh = materialized(chosen.select("a", "b").distinct().join(known, ["a", "b"], "left_anti"), "pairs")
-        if not fresh.isEmpty():
-            tried = tried.unionByName(fresh)
-            more = verifier.links(fresh)
-            if not more.isEmpty():
-                links = links.unionByName(more)
-                groups = _grouped(nodes, links)
-        if not full:
-            return groups
-        picks *= 8
+    hubs = known.groupBy("bucket").agg(F.max(F.struct("company", "node")).alias("hub")).select("bucket", F.col("hub.node").alias("b"))
+    spokes = shared.select("bucket", F.col("node").alias("a")).join(hubs, "bucket").where("a <> b").select("a", "b").distinct()
+    spokes = materialized(_screened(spokes, classes), "spokes")
+    wanted = classes.join(spokes.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi")
+    sets = materialized(_sets(docs, wanted.select("node", "rep_id", "text_hash"), *columns), "sets")
+    roots = _rooted(_to_hubs(spokes, sets, percent))
+    groups = materialized(classes.select("node").join(roots, "node", "left").select(
+        "node", F.coalesce("root", "node").alias("root")), "groups")
+
+    placed = shared.join(groups, "node")
+    mixed = placed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("root").alias("one"), F.max("root").alias("two"))
+    mixed = mixed.where("one <> two").select("bucket", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    live = materialized(placed.join(mixed, "bucket").select("bucket", "blocks", "node", "root"), "mixed-buckets")
+    signed = live.join(classes.select("node", "minima"), "node")
+    families = _rooted(_against(signed, "bucket", _by_signature, "minima")).select(
+        F.col("node").alias("root"), F.col("root").alias("family"))
+
+    kin = live.select("node", "root").distinct().join(families, "root").join(classes.select("node", "n_shingles", "rep_id", "text_hash"), "node")
+    kin = materialized(kin, "families")
+    more = kin.join(sets, "node", "left_anti").select("node", "rep_id", "text_hash")
+    sets = sets.unionByName(materialized(_sets(docs, more, *columns), "sets"))
+    blocks = kin.groupBy("family").agg(F.greatest(
+        F.ceil(F.count("*") / family_block), F.ceil(8 * F.sum("n_shingles") / SET_BYTES)).cast("int").alias("blocks"))
+    compared = kin.select("node", "root", "family").join(blocks, "family").join(sets, "node")
+    merged = _rooted(_against(compared, "family", _by_set(percent), "grams")).select(
+        F.col("node").alias("root"), F.col("root").alias("merged"))
+    return groups.join(merged, "root", "left").select("node", F.coalesce("merged", "root").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
-                    percent: int = PERCENT, block: int = BLOCK, picks: int = PICKS) -> DataFrame:
+                    percent: int = PERCENT, block: int = BLOCK, family_block: int = FAMILY_BLOCK) -> DataFrame:
     """doc_id, text_hash, n_shingles, component_id (the least doc_id reachable, its own included), a row per row of `docs`."""
     prints = materialized(sketches(docs, id_col, text_col, shingle), "sketches")
     classes = materialized(prints.where("node IS NOT NULL").groupBy("node").agg(
         F.min("doc_id").alias("first_id"), F.min(F.struct("doc_id", "text_hash")).alias("rep"), F.first("minima").alias("minima"),
-        F.first("bands").alias("bands")).select(
-        "node", "first_id", F.col("rep.doc_id").alias("rep_id"), "rep.text_hash", "minima", "bands"), "classes")
-    groups = _groups(docs, classes, id_col, text_col, shingle, percent, block, picks)
+        F.first("bands").alias("bands"), F.first("n_shingles").alias("n_shingles")).select(
+        "node", "first_id", F.col("rep.doc_id").alias("rep_id"), "rep.text_hash", "n_shingles", "minima", "bands"), "classes")
+    groups = _groups(docs, classes, (id_col, text_col, shingle), percent, block, family_block)
     rooted = classes.select("node", "first_id").join(groups, "node")
     named = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     found = rooted.join(named, "root").select("node", "component_id")

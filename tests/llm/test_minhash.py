@@ -57,8 +57,8 @@ def family(rnd: random.Random, n: int, words: int, changes: int) -> list[str]:
     return out
 
 
-@pytest.mark.parametrize("block, picks", [(1024, 4), (5, 1)])
-def test_large_families_lose_no_link(make_docs, block, picks):
+@pytest.mark.parametrize("block, family_block", [(1024, 512), (5, 4)])
+def test_large_families_lose_no_link(make_docs, block, family_block):
     """Copies that mostly link to a few of each other only, of which many stay apart; with and without their original."""
     rnd = random.Random(3)
     texts = family(rnd, 40, 120, 9) + family(rnd, 30, 60, 5)[1:] + family(rnd, 25, 100, 14)[1:]
@@ -67,7 +67,7 @@ def test_large_families_lose_no_link(make_docs, block, picks):
     rows = list(enumerate(texts))
     expected = plain(rows)
     assert 3 < len({c for _, _, c in expected}) < len(rows) - 10
-    assert found(minhash.near_duplicates(make_docs(rows), block=block, picks=picks)) == expected
+    assert found(minhash.near_duplicates(make_docs(rows), block=block, family_block=family_block)) == expected
 
 
 def test_the_border_of_similarity(make_docs):
