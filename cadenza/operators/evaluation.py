@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cadenza.operators.ranking import preceding_total
 from cadenza.schemas import LABEL, PREDICTION
+from cadenza.session import materialized
 
 # The published split of the three-year log.  Validation and
 # test are two weeks each, not ranges.
@@ -73,7 +74,7 @@ def ndcg_at_k(
     groups = lists.groupBy("week", "list", "score").agg(
         F.count(F.lit(1)).alias("n"), F.avg("gain").alias("gain")
     )
-    placed = preceding_total(groups, ["week", "list"], [F.col("score").desc()], F.col("n"), "ahead")
+    placed = preceding_total(materialized(groups, "scores"), ["week", "list"], [("score", False)], F.col("n"), "ahead")
     last = F.least(F.col("ahead") + F.col("n"), F.lit(k))
     discount = F.aggregate(
         F.sequence(F.col("ahead") + 1, last), F.lit(0.0), lambda acc, i: acc + 1 / F.log2(i + 1)

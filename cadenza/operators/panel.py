@@ -12,9 +12,7 @@ from pyspark.sql import types as T
 from cadenza import functions as fn
 from cadenza.functions.calendar import DEFAULT_ANCHOR
 from cadenza.operators.catalogue import first_row
-from cadenza.operators.sequence import mean_ratio, play_skip_pairs
-
-COUNTED_EVENTS = ["play", "like", "skip"]
+from cadenza.operators.sequence import COUNTED_EVENTS, mean_ratio, weekly_cells
 
 
 def with_week(sessions: DataFrame, anchor: date = DEFAULT_ANCHOR) -> DataFrame:
@@ -49,14 +47,9 @@ def weekly_event_counts(sessions: DataFrame) -> DataFrame:
     )
 
 
-def weekly_playtime(sessions: DataFrame) -> DataFrame:
-    """Play counts per (track, week) together with the sums behind the mean ratio."""
-    return weekly_event_counts(sessions).join(play_skip_pairs(sessions), ["track_id", "week"], "left")
-
-
 def mean_playtime(sessions: DataFrame, tracks: DataFrame) -> DataFrame:
-    """Mean heard share per (track, week) over the plays of known tracks."""
-    plays = weekly_playtime(sessions).filter("play_count > 0")
+    """Mean heard share per (track, week) over the plays of known tracks; the log is read once."""
+    plays = weekly_cells(sessions).filter("play_count > 0")
     ratio = mean_ratio(
         F.col("play_count"), F.col("skipped_plays"), F.col("skipped_ms"), F.col("duration_ms")
     )
@@ -84,14 +77,14 @@ def unique_tracks(tracks: DataFrame, columns: list[str]) -> DataFrame:
     )
 
 
-def observed_weeks(sessions: DataFrame, calendar: bool = False, future: bool = False) -> DataFrame:
-    """One row, one column: the sorted array of weeks seen in the log.
+def observed_weeks(rows: DataFrame, calendar: bool = False, future: bool = False) -> DataFrame:
+    """One row, one column: the sorted array of weeks that rows are seen in.
 
     All rows count, also those without a track.  `calendar` fills gaps,
     `future` adds one week after the last.  The array is as long as the
     calendar span of the log in weeks, whatever the number of rows.
     """
-    span = sessions.agg(F.sort_array(F.collect_set("week")).alias("weeks"))
+    span = rows.agg(F.sort_array(F.collect_set("week")).alias("weeks"))
     seen = F.col("weeks")
     if calendar:
         seen = F.sequence(F.array_min("weeks"), F.array_max("weeks"))
@@ -169,32 +162,23 @@ def fill_zero(df: DataFrame) -> DataFrame:
     return df.fillna(0, subset=numeric)
 
 
-def dense_panel(
-    sessions: DataFrame,
-    tracks: DataFrame,
-    columns: list[str],
-    measures: dict[str, tuple[str, int]],
-    future: bool = False,
-    calendar: bool = False,
+def track_cells(
+    sessions: DataFrame, tracks: DataFrame, columns: list[str], future: bool = False, calendar: bool = False
 ) -> DataFrame:
-    """The panel with its history, built without shuffling a single grid row.
-
-    The log is reduced to non-empty (track, week) cells, gathered into one
-    map per track (at most one entry per week) and joined to the tracks; only
-    then is each track expanded to all its weeks.  A row k weeks back is a map
-    lookup, so there is no window sort over the grid either.
+    """One row per track: the given columns, `_cells`, a map from week to its measures, and `_weeks`, all weeks of the log.
 
-    Returns track_id, week, the given track columns, and the columns named in
-    `measures`: {new: (measure, rows back)}, where a measure is one of
-    play_count, like_count, skip_count, playtime_ratio, listenability.  Cells
-    without events are 0; rows before the first week are null.
+    The log is reduced to non-empty (track, week) cells and these to one map per track.  The weeks come
+    from the same maps, those of rows without a track among them, so the log is scanned and shuffled once:
+    both uses of the maps read the one exchange that makes them.  They meet the tracks under a key that is never null
+    itself, or the join would leave out the null track below and so take the exchange from the other use.
     """
     tasks = int(sessions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     needed = list(dict.fromkeys([*columns, "duration_ms"]))
     cells = (
-        weekly_playtime(sessions)
-        .repartition(tasks, "track_id")
-        .groupBy("track_id")
+        weekly_cells(sessions)
+        .withColumn("_key", F.struct("track_id"))
+        .repartition(tasks, "_key")
+        .groupBy("_key")
         .agg(F.map_from_entries(F.collect_list(F.struct(
             "week", F.struct("play_count", "like_count", "skip_count", "skipped_plays", "skipped_ms")
         ))).alias("_cells"))
@@ -211,12 +195,38 @@ def dense_panel(
             fn.listenability(cell["play_count"], heard, cell["like_count"]).alias("listenability"),
         )
 
-    catalogue = unique_tracks(tracks, needed)
+    seen = cells.select(F.explode(F.map_keys("_cells")).alias("week"))
+    return (
+        unique_tracks(tracks, needed).withColumn("_key", F.struct("track_id")).repartition(tasks, "_key")
+        .join(cells, "_key", "left")
+        .withColumn("_cells", F.transform_values("_cells", measured))
+        .withColumn("_weeks", observed_weeks(seen, calendar, future).scalar())
+        .select("track_id", *columns, "_cells", "_weeks")
+    )
+
+
+def dense_panel(
+    sessions: DataFrame,
+    tracks: DataFrame,
+    columns: list[str],
+    measures: dict[str, tuple[str, int]],
+    future: bool = False,
+    calendar: bool = False,
+) -> DataFrame:
+    """The panel with its history, built without shuffling a single grid row.
+
+    The log is reduced to one row of `track_cells` per track; only then is each track
+    expanded to all its weeks.  A row k weeks back is a map lookup, so there is no
+    window sort over the grid either.
+
+    Returns track_id, week, the given track columns, and the columns named in
+    `measures`: {new: (measure, rows back)}, where a measure is one of
+    play_count, like_count, skip_count, playtime_ratio, listenability.  Cells
+    without events are 0; rows before the first week are null.
+    """
     depths = sorted({k for _, k in measures.values()})
     rows = (
-        catalogue.join(cells, "track_id", "left")
-        .withColumn("_cells", F.transform_values("_cells", measured))
-        .withColumn("_weeks", observed_weeks(sessions, calendar, future).scalar())
+        track_cells(sessions, tracks, columns, future, calendar)
         .select("track_id", *columns, "_cells", "_weeks", F.posexplode("_weeks").alias("_pos", "week"))
         .select("track_id", "week", *columns, "_pos", *[
             F.try_element_at("_cells", F.get("_weeks", F.col("_pos") - k)).alias(f"_back_{k}") for k in depths

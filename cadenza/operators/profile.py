@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from datetime import date
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -68,22 +70,32 @@ def numeric_columns(df: DataFrame) -> list[str]:
 def histogram(df: DataFrame, columns: list[str] | None = None, bins: int = 50) -> DataFrame:
     """Equal-width bin counts per numeric column; the last bin includes the maximum.
 
-    Only non-empty bins are returned.  A constant column has one bin, 0.
+    Only non-empty bins are returned.  A constant column has one bin, 0.  The ranges come from one row
+    of aggregates; the second pass counts all columns' bins of a task in one array, so neither
+    multiplies the rows by the columns.
     """
     columns = columns or numeric_columns(df)
-    values = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
-    long = values.unpivot([], columns, "attr", "value").filter(F.col("value").isNotNull())
-    # One row per column of the table.
-    ranges = long.groupBy("attr").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
-    width = (F.col("hi") - F.col("lo")) / F.lit(float(bins))
-    place = F.floor(F.try_divide(F.col("value") - F.col("lo"), width))
-    bin_no = F.when(place.isNotNull(), F.least(place, F.lit(bins - 1))).otherwise(0)
-    return (
-        long.join(F.broadcast(ranges), "attr")
-        .groupBy("attr", bin_no.cast("int").alias("bin"), "lo", "hi")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .select("attr", "bin", (F.col("lo") + F.col("bin") * width).alias("bin_start"), "n")
-    )
+    values = df.select(*[F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
+    finite = [F.when(~F.isnan(c), F.col(c)) for c in values.columns]
+    ranges = values.agg(*[F.min(c) for c in finite], *[F.max(c) for c in finite]).first()
+    low, high = (np.array([np.nan if x is None else x for x in part], dtype=float) for part in (ranges[:len(columns)], ranges[len(columns):]))
+    width = (high - low) / bins
+
+    def count(batches):
+        counts = np.zeros((len(columns), bins), dtype=np.int64)
+        for batch in batches:
+            for i in range(len(columns)):
+                value = batch.column(i).to_numpy(zero_copy_only=False).astype(float)
+                value = value[~np.isnan(value)]
+                place = np.minimum(np.floor((value - low[i]) / width[i]), bins - 1).astype(np.int64) if width[i] > 0 else np.zeros(len(value), np.int64)
+                counts[i] += np.bincount(place, minlength=bins)
+        column, place = np.nonzero(counts)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([columns[i] for i in column], pa.string()), pa.array(place, pa.int32()), pa.array(low[column] + place * width[column], pa.float64()),
+             pa.array(counts[column, place], pa.int64())], ["attr", "bin", "bin_start", "n"])
+
+    partial = values.mapInArrow(count, "attr string, bin int, bin_start double, n long")
+    return partial.groupBy("attr", "bin", "bin_start").agg(F.sum("n").alias("n"))
 
 
 def weekly_event_histogram(sessions: DataFrame) -> DataFrame:
@@ -102,9 +114,12 @@ def explode_value_counts(df: DataFrame, column: str) -> DataFrame:
     return value_counts(df.select(F.explode(column).alias(column)), column)
 
 
-def counts_to_map(counts: DataFrame, key: str, value: str = "n") -> DataFrame:
-    """Value counts as one map; meant for columns with few distinct values."""
-    return counts.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(key, value)))).alias("counts"))
+def counts_to_map(counts: DataFrame, key: str, value: str = "n", limit: int = 100_000) -> DataFrame:
+    """Value counts as one map, which one task has to hold: more than `limit` values are refused with an error."""
+    few = counts.limit(limit + 1).agg(F.collect_list(F.struct(key, value)).alias("entries"))
+    refused = F.raise_error(F.lit(f"more than {limit} distinct values of {key} do not go into a map"))
+    return few.select(F.map_from_entries(
+        F.when(F.size("entries") > limit, refused).otherwise(F.sort_array("entries"))).alias("counts"))
 
 
 def semi_join_active(rows: DataFrame, sessions: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from cadenza.functions.calendar import DEFAULT_ANCHOR, week_number
 from cadenza.models.pipeline import score_batch
-from cadenza.operators.ranking import preceding_total
+from cadenza.operators.ranking import top_n
 from cadenza.schemas import PREDICTION
 from cadenza.session import materialized
 
@@ -40,16 +40,6 @@ def toplist_request(arguments: dict, anchor: date = DEFAULT_ANCHOR) -> dict:
     return {"tracks_num": tracks_num, "week": week, "model_type": model_type}
 
 
-def top_n(rows: DataFrame, score: str, n: int) -> DataFrame:
-    """The n best rows with their rank, ties by track_id.
-
-    Rows are numbered in ranges of the sort key, so no task holds the list, however long it is.
-    """
-    order = [F.col(score).desc_nulls_last(), F.col("track_id").asc()]
-    placed = preceding_total(rows.withColumn("_all", F.lit(0)), ["_all"], order, name="rank").drop("_all")
-    return placed.withColumn("rank", (F.col("rank") + 1).cast("bigint")).filter(F.col("rank") <= n)
-
-
 def toplist(
     features: DataFrame,
     tracks: DataFrame,

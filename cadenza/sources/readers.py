@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -54,3 +54,21 @@ def read_features(spark: SparkSession, path: str, format: str = "parquet") -> Da
     # Folder names carry no type; the cast does not hinder folder pruning.
     table = spark.read.parquet(path).withColumn("week", F.col("week").cast("bigint"))
     return table.select(*FEATURES.fieldNames())
+
+
+def track_bucket(track: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(track), F.lit(buckets)).cast("int")
+
+
+def read_history(spark: SparkSession, path: str, track) -> DataFrame:
+    """All weeks of one track from a table written by write_histories.
+
+    Only the folder of the track's bucket is listed and opened, and in its files only the row groups that may hold the
+    track: how many weeks there are does not matter.
+    """
+    table = spark.read.parquet(path)
+    column = next(c for c in table.columns if c.startswith("bucket_of_"))
+    wanted = F.lit(track).cast(table.schema["track_id"].dataType)
+    # As a value, for folders are chosen before the query runs.
+    number = spark.range(1).select(track_bucket(wanted, int(column.removeprefix("bucket_of_")))).first()[0]
+    return table.filter((F.col(column) == number) & (F.col("track_id") == wanted)).drop(column)

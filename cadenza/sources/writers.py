@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cadenza.sources.readers import CSV_TEXT
+from cadenza.sources.readers import CSV_TEXT, track_bucket
 
 # Text formats would otherwise cut timestamps to milliseconds.
 TIMESTAMP_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
@@ -38,6 +38,17 @@ def write_features(features: DataFrame, path: str, format: str = "parquet") -> N
     laid_out.write.mode("overwrite").partitionBy("week").parquet(path)
 
 
+def write_histories(features: DataFrame, path: str, buckets: int = 256) -> None:
+    """A copy of the feature table for reading single tracks: laid out by a hash of the track, not by week.
+
+    The folders are named after the number of buckets, which a reader needs; inside a file tracks are in order.
+    """
+    column = f"bucket_of_{buckets}"
+    placed = features.withColumn(column, track_bucket(F.col("track_id"), buckets))
+    laid_out = placed.hint("rebalance", column).sortWithinPartitions(column, "track_id", "week")
+    laid_out.write.mode("overwrite").partitionBy(column).parquet(path)
+
+
 def json_keys(spark: SparkSession, path: str) -> list[str]:
     """All keys of the records, in the order they first come.  As many as the table has columns."""
     records = spark.read.text(path).select(

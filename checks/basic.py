@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -62,6 +64,24 @@ def jsonl_to_csv(spark, d):
     return sources.read_csv(spark, target, LOG_SCHEMA)
 
 
+@check("jsonl_to_csv_keys", f"""{E} SELECT event_type, CAST(event_id AS VARCHAR) AS event_id, CAST(user_id AS VARCHAR) AS user_id,
+    CAST(track_id AS VARCHAR) AS track_id FROM sessions_e""")
+def jsonl_to_csv_keys(spark, d):
+    """Without a schema: the header is made of the records' keys, of which many lack track_id."""
+    source, target = scratch_path(spark, "jsonl"), scratch_path(spark, "csv")
+    sources.write_jsonl(v.sessions_e(spark, d).drop("timestamp"), source)
+    header = sources.jsonl_to_csv(spark, source, target)
+    return sources.read_csv(spark, target, T.StructType([T.StructField(c, T.StringType()) for c in header]))
+
+
+@check("cached_dimension", f"{T_} SELECT track_id, name, id_artist, popularity FROM tracks")
+def cached_dimension(spark, d):
+    def read(session, path):
+        return v.tracks(session, os.path.dirname(path)).select("track_id", "name", "id_artist", "popularity")
+
+    return sources.cached_dimension(spark, f"{d}/part.parquet", read, "tracks")
+
+
 @check("sink_csv", f"{fv.FEATURES_E} SELECT * REPLACE ({q6('lag_playtime_ratio')} AS lag_playtime_ratio) FROM features")
 def sink_csv(spark, d):
     path = scratch_path(spark, "features")
@@ -221,6 +241,13 @@ def having_count(spark, d):
 
 @check("track_history", f"{fv.FEATURES_L} SELECT track_id, week, play_count FROM features WHERE track_id = 27 ORDER BY week")
 def track_history(spark, d):
+    rows = sources.read_history(spark, fv.history_table(spark, d), 27).select("track_id", "week", "play_count")
+    return rows.orderBy("week")
+
+
+@check("track_history_by_week", f"{fv.FEATURES_L} SELECT track_id, week, play_count FROM features WHERE track_id = 27 ORDER BY week")
+def track_history_by_week(spark, d):
+    """The same from the table laid out by week, of which every folder is opened."""
     rows = fv.feature_table(spark, d).filter("track_id = 27").select("track_id", "week", "play_count")
     return rows.orderBy("week")
 

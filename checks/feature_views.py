@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from cadenza.operators.panel import drop_weeks, with_week
-from cadenza.plans.correlation import listenability_panel
+from cadenza.plans.correlation import listenability_cells, listenability_panel
 from cadenza.plans.features import build_features
 from cadenza.schemas import FEATURE_COLUMNS, TRACK_ATTRIBUTES
 from cadenza.session import scratch_path
-from cadenza.sources import read_features, write_features
+from cadenza.sources import read_features, write_features, write_histories
 from checks import views as v
 
 _written: dict[tuple[str, str], str] = {}
@@ -49,6 +49,22 @@ def panel_l(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def history_table(spark: SparkSession, sf_dir: str) -> str:
+    """Where the same features lie by track."""
+    key = (spark.sparkContext.applicationId, f"{sf_dir} by track")
+    if key not in _written:
+        path = scratch_path(spark, "histories")
+        write_histories(feature_table(spark, sf_dir), path, buckets=16)
+        _written[key] = path
+    return _written[key]
+
+
+def cells_l(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return listenability_cells(
+        v.sessions_l(spark, sf_dir), v.tracks(spark, sf_dir), TRACK_ATTRIBUTES, v.ANCHOR_L, v.PARTIAL_L
+    )
+
+
 def panel_sql(log: str, partial: list[int]) -> str:
     """A WITH clause up to `panel`: measures on the dense grid of the named log."""
     return v.with_views(log, "tracks") + f""",

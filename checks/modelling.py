@@ -551,14 +551,14 @@ CORRELATIONS = f"""{fv.LISTEN_L},
 
 @check("correlation_report", CORRELATIONS)
 def correlation_report_(spark, d):
-    return correlation_report(fv.panel_l(spark, d)).withColumn("r", r6("r"))
+    return correlation_report(fv.cells_l(spark, d)).withColumn("r", r6("r"))
 
 
 @check("correlation_thresholds", f"""WITH report AS ({CORRELATIONS}) SELECT variant, attr_a, r FROM report
     WHERE attr_b = 'listenability' AND abs(r) > 0.05""")
 def correlation_thresholds(spark, d):
     """For every variant what goes with listenability by more than five hundredths."""
-    report = correlation_report(fv.panel_l(spark, d))
+    report = correlation_report(fv.cells_l(spark, d))
     strong = report.filter((F.col("attr_b") == "listenability") & (F.abs("r") > 0.05))
     return strong.select("variant", "attr_a", r6("r").alias("r"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cadenza import models
 from cadenza.models import trees
 from cadenza.plans import toplist as tl
-from cadenza.plans.correlation import correlation_report, listenability_panel
+from cadenza.plans.correlation import correlation_report, listenability_cells, listenability_panel
 from cadenza.plans.training import train_and_evaluate
 from cadenza.schemas import FEATURES, MODEL_INPUTS, PREDICTION, TRACK_ATTRIBUTES
 from cadenza.session import scratch_path
@@ -122,6 +122,7 @@ def test_correlation_report_against_pandas(spark, make_log):
     names = [c for c in TRACK_ATTRIBUTES if c != "release_date"]
     tracks = spark.createDataFrame(rows_, "track_id string, " + ", ".join(f"{c} double" for c in names) + ", release_date string")
     panel = listenability_panel(make_log(events), tracks, TRACK_ATTRIBUTES, start, [1, 10])
+    cells = listenability_cells(make_log(events), tracks, TRACK_ATTRIBUTES, start, [1, 10])
     raw = panel.toPandas().sort_values(["track_id", "week"])
     raw["release_date"] = raw["release_date"].astype(float)
     full = raw.fillna(0)
@@ -134,7 +135,7 @@ def test_correlation_report_against_pandas(spark, make_log):
         "totals_active": totals[totals.active][["listenability", *TRACK_ATTRIBUTES]],
         "with_parts": raw[["week", "play_count", "like_count", "playtime_ratio", *measures]],
     }
-    got = {(r["variant"], r["attr_a"], r["attr_b"]): r["r"] for r in correlation_report(panel).collect()}
+    got = {(r["variant"], r["attr_a"], r["attr_b"]): r["r"] for r in correlation_report(cells).collect()}
     assert len(got) == sum(len(f.columns) ** 2 for f in frames.values())
     for name, frame in frames.items():
         wanted = frame.astype(float).corr()

@@ -1,3 +1,4 @@
+import pytest
 from datetime import date, datetime
 
 import numpy as np
@@ -53,3 +54,10 @@ def test_quality_report_parts(spark, make_log):
     assert rows(parts["tracks_silent"]) == [(2,)]
     for part in parts.values():
         part.collect()
+
+
+def test_a_map_of_too_many_values_is_refused(spark):
+    counts = profile.value_counts(spark.range(20).selectExpr("id % 6 AS id"), "id")
+    assert len(profile.counts_to_map(counts, "id", limit=6).first()[0]) == 6
+    with pytest.raises(Exception, match="more than 5 distinct values"):
+        profile.counts_to_map(counts, "id", limit=5).collect()

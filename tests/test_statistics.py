@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.stat import Correlation
+from pyspark.sql import functions as F
 
 from cadenza.operators import correlation as c
 from cadenza.operators import ranking
@@ -107,3 +108,44 @@ def test_ranking_shuffles_the_rows_once(spark):
     rows = spark.range(1000).selectExpr("id % 5 AS week", "concat('t', id) AS track_id", "id % 50 AS score")
     plan = ranking.rank_in_week(rows, "score")._jdf.queryExecution().executedPlan().toString()
     assert "rangepartitioning" not in plan and "CartesianProduct" not in plan
+
+
+@pytest.mark.parametrize("tree", [63, 0])
+def test_places_in_chunks_do_not_hang_on_the_borders(spark, monkeypatch, tree):
+    """Nulls, NaN, negative zero and long ties, in both directions; the same numbers however the rows lie."""
+    monkeypatch.setattr(ranking, "TREE", tree)
+    nan = float("nan")
+    data = [(g, [None, nan, -0.0, 0.0, 1.5, -2.5][i % 6] if i % 5 else 0.0, f"t{i:04d}") for g in ("a", None, "b") for i in range(300)]
+    table = spark.createDataFrame(data, "week string, score double, track_id string")
+    for ascending in (True, False):
+        order = [("score", ascending), ("track_id", True)]
+        placed = ranking.preceding_total(table.repartition(7), ["week"], order).collect()
+
+        def key(row):
+            value = row["score"]
+            rank = (0, 0.0) if value is None else (2, 0.0) if value != value else (1, value)
+            return (rank if ascending else (-rank[0], -rank[1])), row["track_id"]
+
+        for week in ("a", None, "b"):
+            mine = sorted((r for r in placed if r["week"] == week), key=key)
+            assert [r["preceding"] for r in mine] == list(range(300))
+    again = ranking.preceding_total(table.repartition(3, "track_id"), ["week"], order)
+    assert sorted(map(repr, again.collect())) == sorted(map(repr, placed))
+
+
+def test_top_n_sorts_few_rows(spark):
+    rows_ = spark.range(100_000).select(F.col("id").cast("string").alias("track_id"), (F.col("id") * 7919 % 100_003).cast("double").alias("score"))
+    assert [r["rank"] for r in top_n(rows_, "score", 50).orderBy("rank").collect()] == list(range(1, 51))
+    expected = rows_.orderBy(F.desc("score")).limit(50).collect()
+    assert {r["track_id"] for r in top_n(rows_, "score", 50).collect()} == {r["track_id"] for r in expected}
+    assert top_n(rows_.limit(0), "score", 5).count() == 0 and top_n(rows_.limit(3), "score", 5).count() == 3
+
+
+def test_spearman_by_dictionary_and_by_join(spark):
+    rng = np.random.default_rng(8)
+    frame = pd.DataFrame({"a": rng.integers(0, 5, 400).astype(float), "b": rng.normal(size=400), "c": rng.integers(0, 40, 400).astype(float)})
+    df = spark.createDataFrame(frame)
+    wanted = frame.corr(method="spearman")
+    for dictionary in (10**6, 50, 0):
+        for r in c.corr_spearman(df, list(frame.columns), dictionary).collect():
+            assert r["r"] == pytest.approx(wanted.loc[r["attr_a"], r["attr_b"]], abs=1e-9)
