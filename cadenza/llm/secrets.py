@@ -13,7 +13,8 @@ pairs of their other words, of which only the counts leave a task.
 
 Defined results: a null text counts as empty and has no spans.  A failing base match still uses up its
 characters.  A run that lies inside a base span adds nothing.  Positions are code points, ends exclusive.
-Rows with equal or null ids stay apart.  Without any base span in the table there is nothing to learn a
+Rows with equal or null ids stay apart.  Very long texts take time in proportion to their matches; other
+columns are never read, whatever their names.  Without any base span in the table there is nothing to learn a
 random string from, and no `random` span.
 """
 
@@ -37,11 +38,22 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 RUN = "[A-Za-z0-9+/_=-]"
 MIN_RANDOM = 16
 THRESHOLD, MEAN = 10.0, 0.5
+#: Matches that are placed together.
+GROUP = 256
 SPAN = "struct<start: int, end: int, value: string>"
 
 
+def _bound(value: Column, use) -> Column:
+    """`use` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def _spans(text: Column, pattern: str, group: int = 0) -> Column:
-    """All matches as (start, end, value of the group); positions from the lengths of matches and gaps."""
+    """All matches as (start, end, value of the group); positions from the lengths of matches and gaps.
+
+    Matches are placed in groups of `GROUP`, and groups by a running sum of their lengths: appending to one long array
+    would copy it for every match.
+    """
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
     pieces = F.zip_with(F.split(text, pattern, -1), F.arrays_zip(whole.alias("w"), values.alias("v")),
@@ -54,12 +66,33 @@ def _spans(text: Column, pattern: str, group: int = 0) -> Column:
         return F.struct(z.alias("at"), F.concat(done["found"], F.array(
             F.struct(a.alias("start"), z.alias("end"), piece["value"].alias("value")))).alias("found"))
 
+    def grouped(matched: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.floor((F.size(matched) - 1) / GROUP).cast("int"))
+        return F.transform(numbers, lambda g: F.aggregate(F.slice(matched, g * GROUP + 1, F.lit(GROUP)), start, step))
+
+    def offsets(groups: Column) -> Column:
+        none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("of"))
+        return F.aggregate(groups["at"], none, lambda done, size: F.struct(
+            (done["at"] + size).alias("at"), F.concat(done["of"], F.array(done["at"])).alias("of")))["of"]
+
+    def moved(groups: Column) -> Column:
+        return F.flatten(F.zip_with(groups, offsets(groups), lambda g, by: F.transform(g["found"], lambda s: F.struct(
+            (s["start"] + by).alias("start"), (s["end"] + by).alias("end"), s["value"].alias("value")))))
+
     # The last gap has no match behind it.
     matched = F.filter(pieces, lambda p: p["size"].isNotNull())
-    return F.when(text.rlike(pattern), F.aggregate(matched, start, step)["found"]).otherwise(
+    return F.when(text.rlike(pattern), _bound(matched, lambda m: _bound(grouped(m), moved))).otherwise(
         F.array().cast(f"array<{SPAN}>"))
 
 
+def _covered(spans: Column, s: Column) -> Column:
+    """Whether one of the spans, which are in order and apart, covers s: only the last that starts no later can."""
+    steps = F.array(*[F.lit(2**i) for i in reversed(range(31))])
+    last = F.aggregate(steps, F.lit(0).cast("long"), lambda at, step: F.when(
+        (at + step <= F.size(spans)) & (F.get(spans, (at + step - 1).cast("int"))["start"] <= s["start"]), at + step).otherwise(at))
+    return F.when(F.size(spans) > 0, F.coalesce(F.get(spans, (last - 1).cast("int"))["end"] >= s["end"], F.lit(False))).otherwise(False)
+
+
 def _exact_run(characters: str, least: int) -> str:
     """Runs of at least so many: as the runs are maximal, those of the pattern with + that are long enough."""
     return f"{characters}{{{least},}}"
@@ -128,10 +161,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
     """doc_id and, for each kind, its spans (start, end, value), by start."""
     found = materialized(base_and_runs(docs, id_col, text_col), "secret-spans")
     model = train(docs.withColumns({"doc_id": docs[id_col], "text": docs[text_col]}), found)
-    base = F.concat("assign", "access", "hex")
 
     def odd(s: Column) -> Column:
-        inside = F.exists(base, lambda b: (b["start"] <= s["start"]) & (b["end"] >= s["end"]))
+        inside = _covered(F.col("assign"), s) | _covered(F.col("access"), s) | _covered(F.col("hex"), s)
         return ~inside & (log_odds(s["value"], model) >= F.greatest(F.lit(threshold), MEAN * (F.length(s["value"]) - 1)))
 
     random = F.filter("random", odd) if model else F.array().cast(f"array<{SPAN}>")

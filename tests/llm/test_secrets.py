@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from cadenza.llm import secrets
 from tests.llm.conftest import awkward_texts, prose
@@ -98,3 +99,21 @@ def test_runs_no_python(make_docs):
     for df in (secrets.base_and_runs(docs), secrets.scan(docs)):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "Pandas" not in plan
+
+
+def test_many_matches_take_time_in_proportion(spark, make_docs):
+    """200 000 runs, half of them hexadecimal, in one text."""
+    import time
+
+    parts = [f"/usr/lib/ordinary/{i % 97:02d}/name" if i % 2 else f"{i * 2654435761 % 2**96:024x}"[:24].rjust(24, "a") for i in range(200_000)]
+    text = " ".join(parts)
+    begun = time.time()
+    row = secrets.scan(make_docs([(1, text)], extra=False)).select(
+        "doc_id", "hex", F.size("random").alias("random")).first()
+    assert time.time() - begun < 120
+    at, starts = 0, []
+    for p in parts:
+        starts.append(at)
+        at += len(p) + 1
+    wanted = [(s, s + 24) for s, p in zip(starts, parts) if re.fullmatch("[0-9a-f]{24}", p)]
+    assert [(h["start"], h["end"]) for h in row["hex"]] == wanted and len(wanted) == 100_000
