@@ -230,7 +230,9 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, learn_not: Column, label
     chosen = materialized(labelled_sample(labels, label, learn_not, sample), "toxicity-labels")
     texts = ids_and_texts(docs)
     # `sample` rows of two numbers at most.
-    examples = materialized(texts.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]), "toxicity-examples")
+    examples = materialized(texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(
+        # of several rows of an id that of the least text hash
+        F.min(F.struct(F.xxhash64("text").alias("hash"), "text", "label")).alias("one")).select("doc_id", "one.text", "one.label"), "toxicity-examples")
     words = example_words(examples)
     n_terms = len(words)
     numbers = spark.sparkContext.broadcast({w: i for i, w in enumerate(words["word"].to_pylist())})
