@@ -124,7 +124,10 @@ def fit(docs: DataFrame, labels: DataFrame, learn_not: Column, label: str = "qua
     """Labels where `learn_not` (of doc_id) holds are not used."""
     # `sample` rows of two numbers at most.
     chosen = F.broadcast(materialized(labelled_sample(labels, label, learn_not, sample), "quality-labels"))
-    examples = featured(ids_and_texts(docs).join(chosen, "doc_id"), "doc_id", "label")
+    # One row of each id, that of the least text hash: however often an id stands in the table, `sample` rows are fitted.
+    known = ids_and_texts(docs).join(chosen, "doc_id").groupBy("doc_id").agg(
+        F.min(F.struct(F.xxhash64("text").alias("hash"), "text", "label")).alias("one")).select("doc_id", "one.text", "one.label")
+    examples = featured(known, "doc_id", "label")
     # Dealt and sorted by value, so that a repeated run grows the same trees.
     rows = materialized(
         examples.repartition(4, "doc_id").sortWithinPartitions("doc_id", *FEATURES)
@@ -153,4 +156,6 @@ def quality_scores(docs: DataFrame, model: RuleModel) -> DataFrame:
 def accepted(docs: DataFrame, model: RuleModel, least: float = 0.5) -> DataFrame:
     """The rows of `docs` whose score is `least` or more."""
     rows = docs.select(F.struct("*").alias("row"), F.coalesce(docs["text"], F.lit("")).alias("text"))
-    return featured(rows, "row").where(model.score() >= least).select(*merged_columns(docs, {}))
+    # Behind a generator the filter stays where it is, and statistics are computed once.
+    scored = featured(rows, "row").select("row", F.explode(F.array(model.score())).alias("score"))
+    return scored.where(F.col("score") >= least).select(*merged_columns(docs, {}))
