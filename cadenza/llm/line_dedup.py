@@ -44,8 +44,11 @@ def dedup_lines(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, min_key: in
         docs["doc_id"].alias("id"),
         F.xxhash64(F.coalesce(docs["text"], F.lit(""))).alias("text_hash"),
         F.split(F.coalesce(docs["text"], F.lit("")), "\n", -1).alias("lines"),
+        # Letters are folded once for the whole text, and each line is trimmed once.
+        F.split(F.translate(F.coalesce(docs["text"], F.lit("")), UPPER, LOWER), "\n", -1).alias("folded"),
     )
-    hashes = F.transform("lines", lambda line: F.when(F.length(line_key(line)) >= min_key, _hash(line_key(line))))
+    keys = F.transform("folded", lambda line: F.btrim(line, F.lit(SPACE)))
+    hashes = F.transform(keys, lambda key: F.when(F.length(key) >= min_key, _hash(key)))
     counted = lines.select("id", F.explode(F.array_distinct(hashes)).alias("h")).where("h IS NOT NULL")
     if by_id:
         counted = counted.where("id IS NOT NULL").select("h", "id").groupBy("h.h1", "h.h2", "id").agg(F.lit(1).alias("one"))
