@@ -57,15 +57,6 @@ def release_scratch(spark: SparkSession) -> int:
     return len(mine)
 
 
-def checkpointed(df):
-    """Cut lineage through the shared folder; survives the loss of executors."""
-    context = df.sparkSession.sparkContext
-    folder = shared_dir(df.sparkSession)
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(folder)
-    return df.checkpoint()
-
-
 def materialized(df, name: str):
     """Write a table that several passes read, and read it back by column."""
     path = scratch_path(df.sparkSession, name)
