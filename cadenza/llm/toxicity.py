@@ -1,27 +1,25 @@
 """Toxicity from the nearest labelled examples by exact TF-IDF cosine.
 
-Terms are all words of the labelled examples.  Their document frequencies are counted over all documents.  A
-vector is (1 + ln tf) * idf over these terms, of length one.
+Terms are words cut to their first `STEM` letters (so that inflected forms meet), all those of the labelled examples.
+Their document frequencies are counted over all documents.  A vector is (1 + ln tf) * idf * c over these terms, of
+length one.  c, the class weight, is how far at least the term's log odds differ between toxic and other examples,
+`CERTAINTY` standard errors granted, plus a `FLOOR` that keeps every term: neighbours are then alike in what
+tells the labels apart, not in subject alone.  (An infinite `certainty` leaves plain TF-IDF.)
 
-The examples are held in an inverted index: for each term its postings in order of example, cut into
-blocks of `BLOCK` examples, with the largest weight of each block.  For a document the sum of its terms'
-block maxima bounds any cosine inside a block; the blocks with the largest bounds are opened first, then all
-that can still reach the `NEAREST`-th best: so the neighbours are exact, ties (to the smaller id) included.
-They are the evidence, and each votes with a weight that falls with its distance.
+The examples are held in an inverted index with block maxima (see `BlockMaxIndex`), which finds the `NEAREST`
+exactly, ties (to the smaller id) included.  They are the evidence: each votes with a weight that falls
+with its distance, and the log odds of the votes, through a logistic line, are the score.  The line is
+fitted on the examples themselves, each voted on by the others.  Nothing but the votes enters a score.
 
-Over all words the neighbours are mostly alike in subject, so the votes alone miss many toxic texts.  The
-score is a logistic fit of two numbers: the log odds of the votes, and the words' own odds (how much more often
-each stands in toxic examples than in others, smoothed), of which the sum of `POWER`-th powers over all words
-is taken, sign kept, so that a few telling words outweigh many common ones.  It is fitted on the examples
-themselves, each voted on by the others and left out of the words' counts.
-
-The examples are `SAMPLE` labelled rows at most, those whose ids hash lowest (a documented bound), so the
-index is small and goes to every task; documents are never compared with each other or shuffled.
+The constants were chosen by folds of the rows that may be learnt from.  The examples are `SAMPLE` labelled rows at
+most, those whose ids hash lowest (a documented bound), so the index is small and goes to every task;
+documents are never compared with each other or shuffled.
 
 Defined results: null and empty texts, and texts without any of the terms, have no neighbours and get the
 share of toxic examples among those without terms.  A doc_id labelled several times counts once, by its least
 label; of rows with equal ids one is the example.  A null id is never learnt from.  Without examples the
-score is one half; an empty table gives an empty result.
+score is one half; an empty table gives an empty result.  A very long text is one vector, as long as its different
+terms.  Columns besides doc_id and text are never read, whatever their names.
 """
 
 from __future__ import annotations
@@ -40,97 +38,108 @@ from cadenza.llm.common import ids_and_texts, labelled_sample, materialized, shu
 
 SAMPLE = 10_000
 NEAREST = 15
-BLOCK = 64
-#: Counts added to each word's in proportion of the labels, and the power of its log odds.
-PRIOR, POWER = 2.0, 4
-_WORD = re.compile(r"[^\W\d_]+")
+BLOCK = 16
+#: Letters of a word that make a term.
+STEM = 4
+#: What every term weighs beside its class weight, and the standard errors granted to that.
+FLOOR, CERTAINTY = 0.1, 2.0
+#: A term in more than one of so many examples is common.
+COMMON = 8
+#: What sums in single precision may be wrong by.
+SLACK = 1e-4
 
 
-def terms_of(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+def terms_of(text: str, stem: int = STEM) -> list[str]:
+    """The first `stem` letters of every word."""
+    return re.findall(rf"([^\W\d_]{{1,{stem}}})[^\W\d_]*", text.lower())
 
 
 class BlockMaxIndex:
-    """Exact cosine search over the vectors of labelled examples."""
+    """Exact cosine search over the vectors of labelled examples.
+
+    Terms in more than one of `COMMON` examples are also kept as full rows, in single precision, with the largest
+    weight of each block of examples.  A search reads the short lists of its other terms first; what the common ones
+    can add in a block bounds all cosines in it, and only blocks that can still reach the k-th best are opened.
+    Whatever is within `SLACK` of the k best then gets its cosine in double precision.
+    """
 
     def __init__(self, n_terms: int, ids: np.ndarray, labels: np.ndarray,
                  vectors: list[tuple[np.ndarray, np.ndarray]], block: int = BLOCK) -> None:
         # Examples with the same leading term side by side keep the bounds of a block low.
         order = sorted(range(len(ids)), key=lambda i: (vectors[i][0][np.argmax(vectors[i][1])], len(vectors[i][0]), ids[i]))
         self.ids, self.labels, self.block = ids[order], labels[order], block
-        self.n_blocks = -(-len(ids) // block)
-        rows = np.repeat(np.arange(len(order)), [len(vectors[i][0]) for i in order])
-        terms = np.concatenate([vectors[i][0] for i in order]) if order else np.empty(0, int)
-        weights = np.concatenate([vectors[i][1] for i in order]) if order else np.empty(0)
-        by_term = np.lexsort((rows, terms))
-        terms, self.rows, self.weights = terms[by_term], rows[by_term].astype(np.int32), weights[by_term]
-        self.pointers = np.searchsorted(terms, np.arange(n_terms + 1))
-        # A cell is what a term has in a block; only those with postings are kept.
-        cell = terms * self.n_blocks + self.rows // block
-        start = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]) if len(cell) else np.empty(0, int)
-        self.cell_blocks = self.rows[start] // block
-        self.cell_starts = np.r_[start, len(cell)].astype(np.int32)
-        self.cell_largest = np.maximum.reduceat(self.weights, start) if len(cell) else np.empty(0)
-        self.cells = np.searchsorted(start, self.pointers)
-        self.largest = LargestWeights(self)
-
-    def _open(self, terms: np.ndarray, weights: np.ndarray, blocks: np.ndarray | None) -> np.ndarray:
-        """The cosine of each example in `blocks` (all if None), zero elsewhere."""
-        if blocks is None:
-            spans = list(zip(self.pointers[terms].tolist(), self.pointers[terms + 1].tolist()))
-            rows = np.concatenate([self.rows[a:z] for a, z in spans])
-            found = np.concatenate([self.weights[a:z] for a, z in spans])
-            found *= np.repeat(weights, [z - a for a, z in spans])
-        else:
-            cells, owner = _ranges(self.cells[terms], self.cells[terms + 1])
-            chosen = blocks[self.cell_blocks[cells]]
-            cells, owner = cells[chosen], owner[chosen]
-            at, cell = _ranges(self.cell_starts[cells], self.cell_starts[cells + 1])
-            rows, found = self.rows[at], self.weights[at] * weights[owner][cell]
-        return np.bincount(rows, weights=found, minlength=len(self.ids))
+        self.n_terms, self.n_blocks = n_terms, -(-len(ids) // block)
+        sizes = np.array([len(vectors[i][0]) for i in order], dtype=np.int64)
+        self.starts = np.r_[0, np.cumsum(sizes)]
+        self.own_terms = np.concatenate([vectors[i][0] for i in order]).astype(np.int32) if order else np.empty(0, np.int32)
+        self.own_weights = np.concatenate([vectors[i][1] for i in order]) if order else np.empty(0)
+        rows = np.repeat(np.arange(len(order), dtype=np.int32), sizes)
+        by_term = np.lexsort((rows, self.own_terms))
+        self.rows, self.weights = rows[by_term], self.own_weights[by_term]
+        self.pointers = np.searchsorted(self.own_terms[by_term], np.arange(n_terms + 1))
+        #: Searches, blocks opened in them.
+        self.searches = self.opened = 0
+        self.ready = False
+
+    def __getstate__(self) -> dict:
+        # What can be derived is not sent.
+        return {**{k: v for k, v in self.__dict__.items() if k not in ("query", "place", "common", "largest")}, "ready": False}
+
+    def _prepare(self) -> None:
+        lengths = np.diff(self.pointers)
+        often = np.flatnonzero(lengths * COMMON > len(self.ids))
+        self.query, self.place = np.zeros(self.n_terms), np.full(self.n_terms, -1)
+        self.place[often] = np.arange(len(often))
+        self.common = np.zeros((len(often), self.n_blocks * self.block), dtype=np.float32)
+        for row, term in zip(self.common, often):
+            mine = slice(*self.pointers[term:term + 2])
+            row[self.rows[mine]] = self.weights[mine]
+        self.largest = self.common.reshape(len(often), self.n_blocks, self.block).max(axis=2)
+        self.ready = True
+
+    def _cosines(self, terms: np.ndarray, weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        at, owner = _ranges(self.starts[rows], self.starts[rows + 1])
+        self.query[terms] = weights
+        out = np.bincount(owner, weights=self.query[self.own_terms[at]] * self.own_weights[at], minlength=len(rows))
+        self.query[terms] = 0
+        return out
 
     def search(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int | None = None
                ) -> tuple[np.ndarray, np.ndarray]:
         """Rows and cosines of the `k` best with a cosine over zero, best first, ties to the smaller id."""
-        if not len(self.ids) or not len(terms):
+        n = len(self.ids)
+        if not n or not len(terms):
             return np.empty(0, int), np.empty(0)
-        cells, owner = _ranges(self.cells[terms], self.cells[terms + 1])
-        bounds = np.bincount(self.cell_blocks[cells], weights=weights[owner] * self.cell_largest[cells],
-                             minlength=self.n_blocks)
-        n_first = -(-4 * k // self.block)
-        first = np.zeros(self.n_blocks, dtype=bool)
-        first[np.argsort(-bounds, kind="stable")[:n_first]] = True
-        found = self._open(terms, weights, first)
-        if without is not None:
-            found[without] = 0
-        least = np.partition(found, -k)[-k] if len(found) >= k else 0.0
-        # A bound and a cosine sum up in different orders.
-        rest = ~first & (bounds > 0) & (bounds >= least - 1e-9)
-        if rest.any():
-            if 4 * np.count_nonzero(rest) > self.n_blocks:
-                found = self._open(terms, weights, None)
-            else:
-                found += self._open(terms, weights, rest)
+        if not self.ready:
+            self._prepare()
+        place = self.place[terms]
+        short, often = place < 0, place[place >= 0]
+        at, owner = _ranges(self.pointers[terms[short]], self.pointers[terms[short] + 1])
+        found = np.bincount(self.rows[at], weights=self.weights[at] * weights[short][owner], minlength=self.n_blocks * self.block)
+        found = found.astype(float, copy=False)
+
+        def reached() -> float:
             if without is not None:
-                found[without] = 0
-            least = np.partition(found, -k)[-k] if len(found) >= k else 0.0
-        rows = np.flatnonzero((found > 0) & (found >= least - 1e-9))
-        scores = found[rows]
+                found[without] = -1
+            return np.partition(found, -k)[-k] - SLACK if n >= k else -SLACK
+
+        if len(often):
+            ours = weights[~short].astype(np.float32)
+            least, blocks = reached(), found.reshape(self.n_blocks, self.block)
+            still = np.flatnonzero(blocks.max(axis=1) + ours @ self.largest[often] >= least)
+            self.opened += len(still)
+            if 4 * len(still) > self.n_blocks:
+                found += ours @ self.common[often]
+            else:
+                columns = (still[:, None] * self.block + np.arange(self.block)).ravel()
+                found[columns] += ours @ self.common[often[:, None], columns]
+        self.searches += 1
+        candidates = np.flatnonzero((found[:n] > 0) & (found[:n] >= reached()))
+        scores = self._cosines(terms, weights, candidates)
         # Cosines equal but for the last digits tie.
-        best = np.lexsort((self.ids[rows], -np.round(scores, 12)))[:k]
-        return rows[best], scores[best]
-
-
-class LargestWeights:
-    """The largest weight of each block, a row per term."""
-
-    def __init__(self, index: BlockMaxIndex) -> None:
-        self.index = index
-
-    def __getitem__(self, term: int) -> np.ndarray:
-        row, cells = np.zeros(self.index.n_blocks), slice(*self.index.cells[term:term + 2])
-        row[self.index.cell_blocks[cells]] = self.index.cell_largest[cells]
-        return row
+        best = np.lexsort((self.ids[candidates], -np.round(scores, 12)))
+        best = best[scores[best] > 0][:k]
+        return candidates[best], scores[best]
 
 
 def _ranges(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -140,16 +149,21 @@ def _ranges(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.arange(len(owner)) + (starts - (np.cumsum(sizes) - sizes))[owner], owner
 
 
+def class_weights(toxic: np.ndarray, clean: np.ndarray, n_toxic: float, n_clean: float, certainty: float = CERTAINTY) -> np.ndarray:
+    """How far at least, `certainty` standard errors granted, the log odds of a term differ between the labels, plus `FLOOR`."""
+    counts = [x + 0.5 for x in (toxic, n_toxic - toxic, clean, n_clean - clean)]
+    odds = np.log(counts[0] / counts[1]) - np.log(counts[2] / counts[3])
+    return FLOOR + np.maximum(0, np.abs(odds) - certainty * np.sqrt(sum(1 / c for c in counts)))
+
+
 class ToxicityModel:
-    """`toxic` and `clean`: in how many examples of either label each term stands."""
+    """Weights of the terms and the index of the examples; `base` is the score of texts without neighbours."""
 
-    def __init__(self, idf: np.ndarray, index: BlockMaxIndex | None, k: int, base: float,
-                 toxic: np.ndarray, clean: np.ndarray) -> None:
-        self.idf, self.index, self.k, self.base = idf, index, k, base
-        self.toxic, self.clean = toxic, clean
+    def __init__(self, weights: np.ndarray, index: BlockMaxIndex | None, k: int, base: float) -> None:
+        self.weights, self.index, self.k, self.base = weights, index, k, base
 
     def vector(self, terms: np.ndarray, tf: np.ndarray) -> np.ndarray:
-        w = (1 + np.log(tf)) * self.idf[terms]
+        w = (1 + np.log(tf)) * self.weights[terms]
         return w / np.linalg.norm(w)
 
     def vote(self, rows: np.ndarray, scores: np.ndarray) -> float:
@@ -158,48 +172,32 @@ class ToxicityModel:
         toxic = float(weights @ self.index.labels[rows])
         return float(np.log((toxic + 0.5) / (weights.sum() - toxic + 0.5)))
 
-    def odds(self, terms: np.ndarray, without: float | None = None) -> float:
-        """Of all words' log odds of being toxic the root of the summed powers; `without` an example of this label."""
-        toxic, clean = self.toxic[terms], self.clean[terms]
-        n_toxic, n = float(self.index.labels.sum()), len(self.index.labels)
-        if without is not None:
-            toxic, clean, n_toxic, n = toxic - without, clean - (1 - without), n_toxic - without, n - 1
-        if not 0 < n_toxic < n:
-            return 0.0
-        a, b = PRIOR * n_toxic / n, PRIOR * (1 - n_toxic / n)
-        each = np.log1p(toxic / a) - np.log1p(clean / b)
-        total = float((np.sign(each) * np.abs(each) ** POWER).sum())
-        return float(np.sign(total) * abs(total) ** (1 / POWER))
-
     def evidence(self, terms: np.ndarray, tf: np.ndarray, known: int | None = None
-                 ) -> tuple[tuple[float, float] | None, np.ndarray, np.ndarray]:
-        """(vote, odds), neighbours' rows and cosines; `known` is the id of an example to be left out."""
+                 ) -> tuple[float | None, np.ndarray, np.ndarray]:
+        """Vote, neighbours' rows and cosines; `known` is the id of an example to be left out."""
         if not len(terms):
             return None, np.empty(0, int), np.empty(0)
         own = None if known is None else int(np.flatnonzero(self.index.ids == known)[0])
         rows, scores = self.index.search(terms, self.vector(terms, tf), self.k, without=own)
-        if not len(rows):
-            return None, rows, scores
-        label = None if own is None else float(self.index.labels[own])
-        return (self.vote(rows, scores), self.odds(terms, label)), rows, scores
-
-    def score(self, terms: np.ndarray, tf: np.ndarray, slopes: list[float]) -> tuple[float, list[int], list[float]]:
-        told, rows, scores = self.evidence(terms, tf)
-        if told is None:
+        return (self.vote(rows, scores) if len(rows) else None), rows, scores
+
+    def score(self, terms: np.ndarray, tf: np.ndarray, line: list[float]) -> tuple[float, list[int], list[float]]:
+        vote, rows, scores = self.evidence(terms, tf)
+        if vote is None:
             return self.base, [], []
-        odds = slopes[0] * told[0] + slopes[1] * told[1] + slopes[2]
+        odds = line[0] * vote + line[1]
         return float(1 / (1 + np.exp(-np.clip(odds, -500, 500)))), self.index.ids[rows].tolist(), scores.tolist()
 
 
-def calibrate(told: np.ndarray, labels: np.ndarray) -> list[float]:
-    """Logistic fit of the labels on (vote, odds) of the examples: two slopes and an offset."""
-    beta = prior = np.array([1.0, 0.0, 0.0])
+def calibrate(votes: np.ndarray, labels: np.ndarray) -> list[float]:
+    """Logistic fit of the labels on the votes of the examples: slope and offset."""
+    beta = prior = np.array([1.0, 0.0])
     if len(set(labels.tolist())) < 2:
         return beta.tolist()
-    design = np.c_[told, np.ones(len(told))]
+    design = np.c_[votes, np.ones(len(votes))]
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(design @ beta, -500, 500)))
-        hessian = design.T @ (design * (p * (1 - p))[:, None]) + 1e-2 * np.eye(3)
+        hessian = design.T @ (design * (p * (1 - p))[:, None]) + 1e-2 * np.eye(2)
         step = np.linalg.solve(hessian, design.T @ (labels - p) - 1e-2 * (beta - prior))
         beta = np.clip(beta + step, -20, 20)
         if np.abs(step).max() < 1e-9:
@@ -207,23 +205,23 @@ def calibrate(told: np.ndarray, labels: np.ndarray) -> list[float]:
     return beta.tolist()
 
 
-def example_words(examples: DataFrame) -> pa.Table:
-    """word, toxic, clean: every word of `examples` (text, label), and in how many of each label it stands."""
-    def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def example_terms(examples: DataFrame, stem: int = STEM) -> pa.Table:
+    """term, toxic, clean: every term of `examples` (text, label), and in how many of each label it stands."""
+    def terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out: Counter = Counter()
             for text, label in zip(batch["text"], batch["label"]):
-                for w in set(terms_of(text)):
-                    out[w, label] += 1
-            yield pd.DataFrame([(w, x, c) for (w, x), c in out.items()], columns=["word", "label", "n"])
+                for t in set(terms_of(text, stem)):
+                    out[t, label] += 1
+            yield pd.DataFrame([(t, x, c) for (t, x), c in out.items()], columns=["term", "label", "n"])
 
-    counted = examples.select("text", "label").mapInPandas(words, "word string, label double, n long")
+    counted = examples.select("text", "label").mapInPandas(terms, "term string, label double, n long")
     toxic = F.sum(F.col("n") * F.col("label")).alias("toxic")
-    return counted.groupBy("word").agg(toxic, (F.sum("n") - toxic).alias("clean")).toArrow().sort_by("word")
+    return counted.groupBy("term").agg(toxic, (F.sum("n") - toxic).alias("clean")).toArrow().sort_by("term")
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, learn_not: Column, label: str = "toxic",
-                    sample: int = SAMPLE, k: int = NEAREST) -> DataFrame:
+def toxicity_scores(docs: DataFrame, labels: DataFrame, learn_not: Column, label: str = "toxic", sample: int = SAMPLE,
+                    k: int = NEAREST, stem: int = STEM, certainty: float = CERTAINTY) -> DataFrame:
     """doc_id, score, neighbours (ids) and similarities, a row per row of `docs`; labels where `learn_not`
     (of doc_id) holds are not used."""
     spark = docs.sparkSession
@@ -233,16 +231,17 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, learn_not: Column, label
     examples = materialized(texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(
         # of several rows of an id that of the least text hash
         F.min(F.struct(F.xxhash64("text").alias("hash"), "text", "label")).alias("one")).select("doc_id", "one.text", "one.label"), "toxicity-examples")
-    words = example_words(examples)
-    n_terms = len(words)
-    numbers = spark.sparkContext.broadcast({w: i for i, w in enumerate(words["word"].to_pylist())})
+    # Terms have `stem` letters at most, so neither this table nor the examples' vectors grow with their texts.
+    vocabulary = example_terms(examples, stem)
+    n_terms = len(vocabulary)
+    numbers = spark.sparkContext.broadcast({t: i for i, t in enumerate(vocabulary["term"].to_pylist())})
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         number = numbers.value
         for batch in batches:
             terms, tf = [], []
             for text in batch["text"]:
-                pairs = sorted((number[w], c) for w, c in Counter(terms_of(text)).items() if w in number)
+                pairs = sorted((number[t], c) for t, c in Counter(terms_of(text, stem)).items() if t in number)
                 both = np.array(pairs, np.int32).reshape(-1, 2)
                 terms.append(both[:, 0])
                 tf.append(both[:, 1])
@@ -260,11 +259,13 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, learn_not: Column, label
                          "toxicity-known")
     # `sample` rows at most.
     rows = known.toArrow().sort_by("doc_id").to_pandas()
+    n_toxic = float(rows["label"].sum())
+    weights = idf * class_weights(vocabulary["toxic"].to_numpy(), vocabulary["clean"].to_numpy(), n_toxic, len(rows) - n_toxic, certainty)
     full = rows["terms"].map(len).to_numpy() > 0
     bare = rows.loc[~full, "label"]
     base = float((bare.sum() + 0.5 * 0.01) / (len(bare) + 0.01))
     rows = rows[full]
-    model = ToxicityModel(idf, None, k, base, words["toxic"].to_numpy(), words["clean"].to_numpy())
+    model = ToxicityModel(weights, None, k, base)
     held = [(t.astype(int), model.vector(t, c)) for t, c in zip(rows["terms"], rows["tf"])]
     model.index = BlockMaxIndex(n_terms, rows["doc_id"].to_numpy(np.int64), rows["label"].to_numpy(float), held)
     sent = spark.sparkContext.broadcast(model)
@@ -273,14 +274,13 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, learn_not: Column, label
         for batch in batches:
             out = []
             for i, t, c, x in zip(batch["doc_id"], batch["terms"], batch["tf"], batch["label"]):
-                found = sent.value.evidence(t, c, known=i)[0]
-                if found is not None:
-                    out.append((*found, x))
-            yield pd.DataFrame(out, columns=["vote", "odds", "label"], dtype=float)
+                vote = sent.value.evidence(t, c, known=i)[0]
+                if vote is not None:
+                    out.append((vote, x))
+            yield pd.DataFrame(out, columns=["vote", "label"], dtype=float)
 
-    fitted = known.repartition(shuffle_tasks(spark)).mapInPandas(
-        told, "vote double, odds double, label double").toArrow().to_pandas()
-    slopes = calibrate(fitted[["vote", "odds"]].to_numpy(), fitted["label"].to_numpy())
+    fitted = known.repartition(shuffle_tasks(spark)).mapInPandas(told, "vote double, label double").toArrow().to_pandas()
+    line = calibrate(fitted["vote"].to_numpy(), fitted["label"].to_numpy())
 
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model, seen = sent.value, {}
@@ -291,7 +291,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, learn_not: Column, label
                 if key not in seen:
                     if len(seen) > 10_000:
                         seen.clear()
-                    seen[key] = model.score(terms, tf, slopes)
+                    seen[key] = model.score(terms, tf, line)
                 out.append(seen[key])
             yield pd.DataFrame({
                 "doc_id": batch["doc_id"], "score": [s for s, _, _ in out], "neighbours": [n for _, n, _ in out],

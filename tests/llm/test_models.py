@@ -1,5 +1,6 @@
 import math
 import os
+import pickle
 import random
 import re
 from collections import Counter
@@ -121,11 +122,27 @@ def test_index_is_exact():
 
 
 def test_blocks_that_cannot_matter_stay_closed():
-    vectors = [(np.array([i // 64]), np.array([1.0])) for i in range(640)]
-    index = toxicity.BlockMaxIndex(10, np.arange(640), np.zeros(640), vectors, block=64)
-    rows, _ = index.search(np.array([3]), np.array([1.0]), 5)
-    assert index.ids[rows].tolist() == [192, 193, 194, 195, 196]
-    assert np.count_nonzero(index.largest[3]) == 1
+    """All examples share a common term; what else they hold differs from block to block."""
+    vectors = [(np.array([i // 64, 10]), np.array([0.96, 0.28])) for i in range(640)]
+    index = toxicity.BlockMaxIndex(11, np.arange(640), np.zeros(640), vectors, block=64)
+    rows, scores = index.search(np.array([3, 10]), np.array([0.8, 0.6]), 5)
+    assert index.ids[rows].tolist() == [192, 193, 194, 195, 196] and scores == pytest.approx([0.936] * 5)
+    assert (index.searches, index.opened, index.n_blocks) == (1, 1, 10)
+    assert index.ids[index.search(np.array([3, 10]), np.array([0.8, 0.6]), 5, without=int(rows[1]))[0]].tolist() == [192, 194, 195, 196, 197]
+
+
+def test_index_sent_to_a_task_finds_the_same():
+    rng = np.random.default_rng(8)
+    vectors = [(t, w / np.linalg.norm(w)) for t, w in ((np.sort(rng.choice(200, 40, replace=False)), rng.random(40)) for _ in range(900))]
+    index = toxicity.BlockMaxIndex(200, np.arange(900), np.zeros(900), vectors)
+    dense = np.zeros((900, 200))
+    for i, (t, w) in enumerate(vectors):
+        dense[i, t] = w
+    first = [index.search(t, w, 9)[0].tolist() for t, w in vectors[:40]]
+    copy = pickle.loads(pickle.dumps(index))
+    for (t, w), rows in zip(vectors[:40], first):
+        assert copy.search(t, w, 9)[0].tolist() == rows
+        assert index.ids[rows].tolist() == np.argsort(-np.round(dense @ np.bincount(t, w, 200), 12), kind="stable")[:9].tolist()
 
 
 def test_toxicity_of_awkward_tables(spark, make_docs):
@@ -140,6 +157,58 @@ def test_toxicity_of_awkward_tables(spark, make_docs):
     assert toxicity.toxicity_scores(make_docs([]), marks, F.lit(False)).count() == 0
 
 
+def plain_scores(texts, marks, k, stem, certainty):
+    """{id: (score, neighbours)} by dictionaries alone; `texts` and `marks` are {id: ...}."""
+    terms = {i: Counter(w[:stem] for w in re.findall(r"[^\W\d_]+", t.lower())) for i, t in texts.items()}
+    df = Counter(t for c in terms.values() for t in c)
+    n_toxic, n = sum(marks.values()), len(marks)
+    weight = {}
+    for t in {t for i in marks for t in terms[i]}:
+        a = sum(t in terms[i] for i in marks if marks[i])
+        c = sum(t in terms[i] for i in marks if not marks[i])
+        cells = [a + 0.5, n_toxic - a + 0.5, c + 0.5, n - n_toxic - c + 0.5]
+        lead = abs(math.log(cells[0] / cells[1]) - math.log(cells[2] / cells[3]))
+        error = math.sqrt(sum(1 / x for x in cells))
+        told = 0 if math.isinf(certainty) else max(0, lead - certainty * error)
+        weight[t] = (math.log((1 + len(texts)) / (1 + df[t])) + 1) * (toxicity.FLOOR + told)
+
+    def vector(i):
+        v = {t: (1 + math.log(f)) * weight[t] for t, f in terms[i].items() if t in weight}
+        size = math.sqrt(sum(x * x for x in v.values()))
+        return {t: x / size for t, x in v.items()}
+
+    vectors = {i: vector(i) for i in texts}
+
+    def told(i, others):
+        near = sorted((-round(sum(x * vectors[j].get(t, 0) for t, x in vectors[i].items()), 12), j) for j in others)
+        near = [(-c, j) for c, j in near if c < 0][:k]
+        votes = [(1 / (math.sqrt(max(0, 2 - 2 * c)) + 0.1), marks[j]) for c, j in near]
+        toxic, all_votes = sum(v for v, x in votes if x), sum(v for v, _ in votes)
+        return math.log((toxic + 0.5) / (all_votes - toxic + 0.5)), near
+
+    own = [(told(i, [j for j in marks if j != i])[0], marks[i]) for i in marks]
+    slope, offset = toxicity.calibrate(*(np.array(c, float) for c in zip(*own)))
+    out = {}
+    for i in texts:
+        vote, near = told(i, marks)
+        out[i] = 1 / (1 + math.exp(-(slope * vote + offset))), near
+    return out
+
+
+@pytest.mark.parametrize("stem,certainty", [(toxicity.STEM, toxicity.CERTAINTY), (99, math.inf)])
+def test_scores_equal_a_plain_version(spark, make_docs, stem, certainty):
+    rnd = random.Random(6)
+    texts = {i: prose(25, i) + (f" nasty{rnd.choice('abc')}" if i % 5 == 0 else "") for i in range(120)}
+    marks = {i: int(i % 5 == 0) for i in range(90)}
+    marks[7] = 1
+    table = spark.createDataFrame(list(marks.items()), "doc_id long, toxic int")
+    plain = plain_scores(texts, marks, 6, stem, certainty)
+    for r in toxicity.toxicity_scores(make_docs(list(texts.items())), table, F.lit(False), k=6, stem=stem, certainty=certainty).collect():
+        score, near = plain[r["doc_id"]]
+        assert r["score"] == pytest.approx(score, abs=1e-6)
+        assert r["neighbours"] == [j for _, j in near] and r["similarities"] == pytest.approx([c for c, _ in near])
+
+
 def test_toxicity_looks_at_every_word(spark, make_docs):
     """Words of one or two examples, and no more telling than chance, lead to neighbours by plain cosine too."""
     words = [[w + chr(97 + i % 26) for w in ("alpha", "beta", "gamma", f"rare{chr(97 + i // 2 % 26)}")] for i in range(40)]
@@ -152,7 +221,7 @@ def test_toxicity_looks_at_every_word(spark, make_docs):
         v = {w: math.log(41 / (1 + df[w])) + 1 for w in set(ws) & known}
         return {w: x / math.sqrt(sum(y * y for y in v.values())) for w, x in v.items()}
 
-    for r in toxicity.toxicity_scores(docs, marks, F.lit(False), k=3).collect():
+    for r in toxicity.toxicity_scores(docs, marks, F.lit(False), k=3, stem=99, certainty=math.inf).collect():
         mine = vector(words[r["doc_id"]])
         cosines = [(-round(sum(x * vector(words[i]).get(w, 0) for w, x in mine.items()), 12), i) for i in range(30)]
         best = sorted(c for c in cosines if c[0] < 0)[:3]
@@ -219,5 +288,5 @@ def test_probes_come_in_order_of_success():
 
 
 def test_terms_are_words():
-    assert toxicity.terms_of("An IDIOT*** and_é1x") == ["an", "idiot", "and", "é", "x"]
-    assert re.fullmatch(r"\w+", "x")
+    assert toxicity.terms_of("An IDIOT*** and_é1x", 99) == ["an", "idiot", "and", "é", "x"]
+    assert toxicity.terms_of("An IDIOT*** and_é1x") == ["an", "idio", "and", "é", "x"]
