@@ -27,6 +27,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -38,7 +39,9 @@ from cadenza.llm.common import ids_and_texts, labelled_sample, materialized, shu
 
 SAMPLE = 10_000
 NEAREST = 15
-BLOCK = 16
+BLOCK = 32
+#: Texts that are searched together.
+BATCH = 128
 #: Letters of a word that make a term.
 STEM = 4
 #: What every term weighs beside its class weight, and the standard errors granted to that.
@@ -75,7 +78,7 @@ class BlockMaxIndex:
         self.own_weights = np.concatenate([vectors[i][1] for i in order]) if order else np.empty(0)
         rows = np.repeat(np.arange(len(order), dtype=np.int32), sizes)
         by_term = np.lexsort((rows, self.own_terms))
-        self.rows, self.weights = rows[by_term], self.own_weights[by_term]
+        self.rows, self.weights = rows[by_term].astype(np.intp), self.own_weights[by_term]
         self.pointers = np.searchsorted(self.own_terms[by_term], np.arange(n_terms + 1))
         #: Searches, blocks opened in them.
         self.searches = self.opened = 0
@@ -104,42 +107,57 @@ class BlockMaxIndex:
         self.query[terms] = 0
         return out
 
-    def search(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int | None = None
-               ) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and cosines of the `k` best with a cosine over zero, best first, ties to the smaller id."""
-        n = len(self.ids)
-        if not n or not len(terms):
-            return np.empty(0, int), np.empty(0)
+    def _short_lists(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        spans = list(zip(self.pointers[terms].tolist(), self.pointers[terms + 1].tolist()))
+        if not spans:
+            return np.zeros(self.n_blocks * self.block)
+        rows = np.concatenate([self.rows[a:z] for a, z in spans])
+        found = np.concatenate([self.weights[a:z] for a, z in spans])
+        found *= np.repeat(weights, [z - a for a, z in spans])
+        return np.bincount(rows, weights=found, minlength=self.n_blocks * self.block)
+
+    def search(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, without: list[int | None] | None = None
+               ) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Of each query (terms, weights) the rows and cosines of the `k` best with a cosine over zero, best first, ties to
+        the smaller id; `without` names a row for each query that is left out.  A block is opened once for all
+        queries of the batch that it can still matter to."""
+        n, nothing = len(self.ids), (np.empty(0, int), np.empty(0))
+        if not n or not queries:
+            return [nothing] * len(queries)
         if not self.ready:
             self._prepare()
-        place = self.place[terms]
-        short, often = place < 0, place[place >= 0]
-        at, owner = _ranges(self.pointers[terms[short]], self.pointers[terms[short] + 1])
-        found = np.bincount(self.rows[at], weights=self.weights[at] * weights[short][owner], minlength=self.n_blocks * self.block)
-        found = found.astype(float, copy=False)
-
-        def reached() -> float:
-            if without is not None:
-                found[without] = -1
-            return np.partition(found, -k)[-k] - SLACK if n >= k else -SLACK
-
-        if len(often):
-            ours = weights[~short].astype(np.float32)
-            least, blocks = reached(), found.reshape(self.n_blocks, self.block)
-            still = np.flatnonzero(blocks.max(axis=1) + ours @ self.largest[often] >= least)
-            self.opened += len(still)
-            if 4 * len(still) > self.n_blocks:
-                found += ours @ self.common[often]
-            else:
-                columns = (still[:, None] * self.block + np.arange(self.block)).ravel()
-                found[columns] += ours @ self.common[often[:, None], columns]
-        self.searches += 1
-        candidates = np.flatnonzero((found[:n] > 0) & (found[:n] >= reached()))
-        scores = self._cosines(terms, weights, candidates)
-        # Cosines equal but for the last digits tie.
-        best = np.lexsort((self.ids[candidates], -np.round(scores, 12)))
-        best = best[scores[best] > 0][:k]
-        return candidates[best], scores[best]
+        found = np.zeros((len(queries), self.n_blocks * self.block), dtype=np.float32)
+        common = np.zeros((len(queries), len(self.common)), dtype=np.float32)
+        for i, (terms, weights) in enumerate(queries):
+            place = self.place[terms]
+            short = place < 0
+            found[i] = self._short_lists(terms[short], weights[short])
+            common[i, place[~short]] = weights[~short]
+
+        def reached() -> np.ndarray:
+            for i, row in enumerate(without or ()):
+                if row is not None:
+                    found[i, row] = -1
+            return np.partition(found, -k, axis=1)[:, -k] - SLACK if found.shape[1] >= k else np.full(len(found), -2.0)
+
+        reach = found.reshape(len(queries), self.n_blocks, self.block).max(axis=2) + common @ self.largest
+        open_to = reach >= reached()[:, None]
+        for b in np.flatnonzero(open_to.any(axis=0)).tolist():
+            who, columns = np.flatnonzero(open_to[:, b]), slice(b * self.block, (b + 1) * self.block)
+            found[who, columns] += common[who] @ self.common[:, columns]
+        self.searches += len(queries)
+        self.opened += int(open_to.sum())
+        out, least = [], np.maximum(reached(), -SLACK)
+        for i, (terms, weights) in enumerate(queries):
+            candidates = np.flatnonzero(found[i, :n] >= least[i]) if len(terms) else nothing[0]
+            if without and without[i] is not None:
+                candidates = candidates[candidates != without[i]]
+            scores = self._cosines(terms, weights, candidates)
+            # Cosines equal but for the last digits tie.
+            best = np.lexsort((self.ids[candidates], -np.round(scores, 12)))
+            best = best[scores[best] > 0][:k]
+            out.append((candidates[best], scores[best]))
+        return out
 
 
 def _ranges(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -172,21 +190,32 @@ class ToxicityModel:
         toxic = float(weights @ self.index.labels[rows])
         return float(np.log((toxic + 0.5) / (weights.sum() - toxic + 0.5)))
 
-    def evidence(self, terms: np.ndarray, tf: np.ndarray, known: int | None = None
-                 ) -> tuple[float | None, np.ndarray, np.ndarray]:
-        """Vote, neighbours' rows and cosines; `known` is the id of an example to be left out."""
-        if not len(terms):
-            return None, np.empty(0, int), np.empty(0)
-        own = None if known is None else int(np.flatnonzero(self.index.ids == known)[0])
-        rows, scores = self.index.search(terms, self.vector(terms, tf), self.k, without=own)
-        return (self.vote(rows, scores) if len(rows) else None), rows, scores
+    def evidence(self, texts: list[tuple[np.ndarray, np.ndarray]], known: list[int] | None = None
+                 ) -> list[tuple[float | None, np.ndarray, np.ndarray]]:
+        """Of each text (terms, tf) the vote, and the neighbours' rows and cosines; `known` are ids of examples, each left
+        out of its own neighbours."""
+        out = []
+        for start in range(0, len(texts), BATCH):
+            some = texts[start:start + BATCH]
+            own = None
+            if known is not None:
+                own = [self.row_of.get(i) for i in known[start:start + BATCH]]
+            vectors = [self.vector(t, c) if len(t) else c.astype(float) for t, c in some]
+            near = self.index.search([(t, v) for (t, _), v in zip(some, vectors)], self.k, own)
+            out += [(self.vote(rows, scores) if len(rows) else None, rows, scores) for rows, scores in near]
+        return out
+
+    @cached_property
+    def row_of(self) -> dict[int, int]:
+        return {i: row for row, i in enumerate(self.index.ids.tolist())}
 
-    def score(self, terms: np.ndarray, tf: np.ndarray, line: list[float]) -> tuple[float, list[int], list[float]]:
-        vote, rows, scores = self.evidence(terms, tf)
-        if vote is None:
-            return self.base, [], []
-        odds = line[0] * vote + line[1]
-        return float(1 / (1 + np.exp(-np.clip(odds, -500, 500)))), self.index.ids[rows].tolist(), scores.tolist()
+    def score(self, texts: list[tuple[np.ndarray, np.ndarray]], line: list[float]) -> list[tuple[float, list[int], list[float]]]:
+        """Score, ids and cosines of the neighbours."""
+        out = []
+        for vote, rows, scores in self.evidence(texts):
+            odds = None if vote is None else np.clip(line[0] * vote + line[1], -500, 500)
+            out.append((self.base if odds is None else float(1 / (1 + np.exp(-odds))), self.index.ids[rows].tolist(), scores.tolist()))
+        return out
 
 
 def calibrate(votes: np.ndarray, labels: np.ndarray) -> list[float]:
@@ -272,27 +301,20 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, learn_not: Column, label
 
     def told(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for i, t, c, x in zip(batch["doc_id"], batch["terms"], batch["tf"], batch["label"]):
-                vote = sent.value.evidence(t, c, known=i)[0]
-                if vote is not None:
-                    out.append((vote, x))
+            found = sent.value.evidence(list(zip(batch["terms"], batch["tf"])), batch["doc_id"].tolist())
+            out = [(vote, x) for (vote, _, _), x in zip(found, batch["label"]) if vote is not None]
             yield pd.DataFrame(out, columns=["vote", "label"], dtype=float)
 
     fitted = known.repartition(shuffle_tasks(spark)).mapInPandas(told, "vote double, label double").toArrow().to_pandas()
     line = calibrate(fitted["vote"].to_numpy(), fitted["label"].to_numpy())
 
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model, seen = sent.value, {}
         for batch in batches:
-            out = []
-            for terms, tf in zip(batch["terms"], batch["tf"]):
-                key = terms.tobytes(), tf.tobytes()
-                if key not in seen:
-                    if len(seen) > 10_000:
-                        seen.clear()
-                    seen[key] = model.score(terms, tf, line)
-                out.append(seen[key])
+            # Copies are searched once a batch.
+            keys = [(t.tobytes(), c.tobytes()) for t, c in zip(batch["terms"], batch["tf"])]
+            different = dict(zip(keys, zip(batch["terms"], batch["tf"])))
+            found = dict(zip(different, sent.value.score(list(different.values()), line)))
+            out = [found[k] for k in keys]
             yield pd.DataFrame({
                 "doc_id": batch["doc_id"], "score": [s for s, _, _ in out], "neighbours": [n for _, n, _ in out],
                 "similarities": [s for _, _, s in out]}).astype({"doc_id": "Int64"})

@@ -116,7 +116,7 @@ def test_index_is_exact():
     for terms, w in vectors[:120]:
         cosines = dense[:, terms] @ w
         best = sorted(((-round(c, 12), i) for c, i in zip(cosines, ids) if c > 0))[:7]
-        rows, scores = index.search(terms, w, 7)
+        rows, scores = index.search([(terms, w)], 7)[0]
         assert index.ids[rows].tolist() == [i for _, i in best]
         assert scores == pytest.approx([-c for c, _ in best])
 
@@ -125,10 +125,10 @@ def test_blocks_that_cannot_matter_stay_closed():
     """All examples share a common term; what else they hold differs from block to block."""
     vectors = [(np.array([i // 64, 10]), np.array([0.96, 0.28])) for i in range(640)]
     index = toxicity.BlockMaxIndex(11, np.arange(640), np.zeros(640), vectors, block=64)
-    rows, scores = index.search(np.array([3, 10]), np.array([0.8, 0.6]), 5)
+    rows, scores = index.search([(np.array([3, 10]), np.array([0.8, 0.6]))], 5)[0]
     assert index.ids[rows].tolist() == [192, 193, 194, 195, 196] and scores == pytest.approx([0.936] * 5)
     assert (index.searches, index.opened, index.n_blocks) == (1, 1, 10)
-    assert index.ids[index.search(np.array([3, 10]), np.array([0.8, 0.6]), 5, without=int(rows[1]))[0]].tolist() == [192, 194, 195, 196, 197]
+    assert index.ids[index.search([(np.array([3, 10]), np.array([0.8, 0.6]))], 5, without=[int(rows[1])])[0][0]].tolist() == [192, 194, 195, 196, 197]
 
 
 def test_index_sent_to_a_task_finds_the_same():
@@ -138,10 +138,10 @@ def test_index_sent_to_a_task_finds_the_same():
     dense = np.zeros((900, 200))
     for i, (t, w) in enumerate(vectors):
         dense[i, t] = w
-    first = [index.search(t, w, 9)[0].tolist() for t, w in vectors[:40]]
+    first = [rows.tolist() for rows, _ in index.search(vectors[:40], 9)]
     copy = pickle.loads(pickle.dumps(index))
     for (t, w), rows in zip(vectors[:40], first):
-        assert copy.search(t, w, 9)[0].tolist() == rows
+        assert copy.search([(t, w)], 9)[0][0].tolist() == rows
         assert index.ids[rows].tolist() == np.argsort(-np.round(dense @ np.bincount(t, w, 200), 12), kind="stable")[:9].tolist()
 
 
