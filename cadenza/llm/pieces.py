@@ -10,8 +10,8 @@ from __future__ import annotations
 
 import re
 import struct
+from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -19,8 +19,8 @@ from tokenizers import Tokenizer
 
 BYTE_BPE = "byte_bpe_50k.json"
 WORD_BPE = "word_bpe_49k.json"
-#: Entries kept in a worker: pre-tokens, and of the word tokenizer twice so many pre-tokens and as many
-#: words; some 200 bytes each.
+#: Entries kept in a worker: pre-tokens, and of the word tokenizer twice so many pre-tokens and some words beyond
+#: U+017F; some 200 bytes each.
 CACHE, PIECES, WORDS = 400_000, 300_000, 200_000
 
 #: Fixed values of the two tokenizers: letters, digits and white space up to U+024F, and the pattern
@@ -36,7 +36,7 @@ _NOT_PLAIN = re.compile("[^\x00-ſ]|İ")
 #: What Python counts as white space and the library does not.
 _SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")
 #: The pattern of the word tokenizer, over a word.
-_IN_WORD = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^{_S}{_L}{_N}]+")
+_IN_WORD = re.compile(f"[{_L}]+|[{_N}]|'(?:[stmd]|re|ve|ll)|[^{_S}{_L}{_N}]+")
 
 
 @lru_cache(maxsize=4)
@@ -133,36 +133,47 @@ class WordBpe:
         self._pieces: dict[str, bytes] = {}
         self._older: dict[str, bytes] = {}
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Ids of each text as little-endian 32-bit numbers."""
         if not self._plain:
-            return [_u4(e.ids) for e in self.library.encode_batch(texts, add_special_tokens=False)]
-        if len(self._ids) > WORDS:
-            self._ids = {}
-        if len(self._pieces) > PIECES:  # what is still in use moves over from the older half
-            self._pieces, self._older = {}, self._pieces
-        known = self._ids
-        words = [
-            None if "<|" in t or any(x in t for x in _SEPARATORS) else t.lower().split() if t.isascii() else t.split()
-            for t in texts]
-        for w in set(chain.from_iterable(w for w in words if w is not None)).difference(known):
-            known[w] = self._word(w)
-        whole = iter(self.library.encode_batch_fast(
-            [t for t, w in zip(texts, words) if w is None], add_special_tokens=False))
-        return [_u4(next(whole).ids) if w is None else b"".join(map(known.__getitem__, w)) for w in words]
+            yield from (_u4(e.ids) for e in self.library.encode_batch(texts, add_special_tokens=False))
+            return
+        for t in texts:
+            if "<|" in t or any(x in t for x in _SEPARATORS):
+                yield _u4(self.library.encode(t, add_special_tokens=False).ids)
+                continue
+            if t.isascii() or not _NOT_PLAIN.search(t):
+                ids = self._joined(_IN_WORD.findall(t.lower()))
+            else:
+                ids = b"".join(map(self._word, t.split()))
+            # The vocabulary fits in 16 bits; widened once for a text.
+            yield np.frombuffer(ids, "<u2").astype("<u4").tobytes()
+
+    def _joined(self, pieces: list[str]) -> bytes:
+        """Ids of pre-tokens as little-endian 16-bit numbers."""
+        known, model, shown = self._pieces, self.library.model, self._shown
+        missing = set(pieces).difference(known)
+        if missing and len(known) > PIECES:  # what is still in use moves over from the older half
+            self._pieces, self._older = {}, known
+            known, missing = self._pieces, set(pieces)
+        for p in missing:
+            known[p] = self._older.get(p) or _u2([t.id for t in model.tokenize(p.encode().decode("latin-1").translate(shown))])
+        return b"".join(map(known.__getitem__, pieces))
 
     def _word(self, word: str) -> bytes:
-        if _NOT_PLAIN.search(word):
-            return _u4(self.library.encode(word, add_special_tokens=False).ids)
-        pieces, out = self._pieces, []
-        for p in _IN_WORD.findall(word.lower()):
-            ids = pieces.get(p)
-            if ids is None:
-                ids = self._older.get(p) or _u4([t.id for t in self.library.model.tokenize(
-                    p.encode().decode("latin-1").translate(self._shown))])
-                pieces[p] = ids
-            out.append(ids)
-        return b"".join(out)
+        """Ids of a word; one with characters beyond the plain ones goes through the library, and is kept."""
+        if not _NOT_PLAIN.search(word):
+            return self._joined(_IN_WORD.findall(word.lower()))
+        ids = self._ids.get(word)
+        if ids is None:
+            if len(self._ids) > WORDS:
+                self._ids = {}
+            ids = self._ids[word] = _u2(self.library.encode(word, add_special_tokens=False).ids)
+        return ids
+
+
+def _u2(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}H", *ids)
 
 
 def _u4(ids: list[int]) -> bytes:

@@ -101,7 +101,7 @@ def test_frames_are_independent(spark, make_docs, monkeypatch):
     monkeypatch.setattr(token_files, "FRAME_IDS", 500)
     monkeypatch.setattr(token_files, "FILE_ROWS", 6)
     shard, frames, rows = token_files._Shard(3, 2), [], [(i, prose(100, i)) for i in range(40)]
-    encoded = word_bpe().encode([t for _, t in rows])
+    encoded = list(word_bpe().encode([t for _, t in rows]))
     for (i, _), ids in zip(rows, encoded):
         frame = shard.add(i, ids)
         if frame:
