@@ -11,9 +11,11 @@ Positions and hashes are made row by row inside one generated stage and meet the
 nothing of the documents is shuffled but the few hits.  The seeds are broadcast only if they were
 counted and are at most `BROADCAST_SEEDS`; more of them are joined by a shuffle, with equal results.
 
-Defined results: null or empty texts, and texts or items shorter than every mask, give no overlap.
-Rows with the same id count as one document; a null id is an id like any other.  Equal benchmark
-items give a row each.  An empty table on either side gives an empty result.
+Defined results: null or empty texts, and texts or items shorter than every mask (five words), give no overlap;
+items of five to seven words are found with no replaced word, or with one where a mask still fits.
+Rows with the same id count as one document; a null id is an id like any other.  Benchmark items of one id
+count as one item, which overlaps by the best of its texts.  A very long text is a row of its words.  An empty
+table on either side gives an empty result; columns besides ids and texts are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -69,20 +71,21 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, simila
     """doc_id, item_id, n_agree (of the best window), n_window, first_word (where in the document the
     first such window's seed stands): a row for each document and item that overlap."""
     items = benchmark.select(
-        benchmark["item_id"].cast("long").alias("item_id"), words(benchmark["text"]).alias("words"))
-    seeds = _positions(items, "item_id").select(
-        "item_id", F.col("at").alias("item_at"), "seed", F.col("words").alias("item_words"))
+        benchmark["item_id"].cast("long").alias("item_id"), F.xxhash64("text").alias("item_hash"), words(benchmark["text"]).alias("words"))
+    # A seed names its item's text and does not carry it: what is broadcast is bounded by the number of seeds.
+    seeds = _positions(items, "item_id", "item_hash").select("item_id", "item_hash", F.col("at").alias("item_at"), "seed")
+    named = items.distinct().select(
+        F.col("item_id").alias("same_item"), F.col("item_hash").alias("same_hash"), F.col("words").alias("item_words"))
+    same_item = F.col("same_item").eqNullSafe(F.col("item_id")) & (F.col("same_hash") == F.col("item_hash"))
     texts = docs.select(
         docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), words(docs["text"]).alias("words"))
     where = _positions(texts, "doc_id", "text_hash")
     if seeds.limit(broadcast_seeds + 1).count() <= broadcast_seeds:
-        met = where.join(F.broadcast(seeds), "seed")
+        met = where.join(F.broadcast(seeds), "seed").join(named, same_item)
     else:
         # Only places are shuffled; where seeds agree, the words are fetched.
         met = (
-            where.drop("words").join(seeds.drop("item_words"), "seed")
-            .join(items.select(F.col("item_id").alias("same_item"), F.col("words").alias("item_words")),
-                  F.col("same_item").eqNullSafe(F.col("item_id")))
+            where.drop("words").join(seeds, "seed").join(named, same_item)
             .join(texts.withColumnRenamed("doc_id", "id"), F.col("id").eqNullSafe(F.col("doc_id"))
                   & (texts["text_hash"] == where["text_hash"])))
     # As a generator the comparison stays behind the join: as part of the join's condition it would
