@@ -4,7 +4,8 @@ Three base kinds are found by pattern, leftmost and without overlap: `assign` (a
 of 6 characters or more), `access` (key ids of 20 or more), `hex` (24 digits or more).  The method adds
 `random`: runs of `MIN_RANDOM` or more characters of `ALPHABET` which a Markov model of random strings
 explains better than one of ordinary identifiers, by a log-likelihood ratio of `THRESHOLD` or more, and of `MEAN` or
-more a pair.
+more a pair.  Of a run that fails as a whole its best stretch is judged alike, the one whose pairs exceed `MEAN` by the
+greatest sum (of equal ones the first): a random string behind a long path is found, and the span is the stretch.
 Both models are chains over pairs of characters, smoothed by one count a pair.  The first learns from the
 values of all base spans of all documents; the second from the other words of all documents.
 
@@ -145,16 +146,46 @@ def train(docs: DataFrame, found: DataFrame) -> list[float] | None:
     return [a - b for a, b in zip(_chain(random), _chain(ordinary))]
 
 
-def log_odds(value: Column, model: list[float]) -> Column:
-    """The sum over a string's pairs; the model is one folded constant."""
+def _odds(value: Column, model: list[float]):
+    """The log odds of the pair at a position (from 1); the model is one folded constant."""
     table = F.split(F.lit(" ".join(f"{x:.9f}" for x in model)), " ").cast("array<double>")
 
     def symbol(i: Column) -> Column:
         return F.instr(F.lit(ALPHABET), value.substr(i, F.lit(1))) - 1
 
-    return F.aggregate(
-        F.sequence(F.lit(1), F.length(value) - 1), F.lit(0.0),
-        lambda total, i: total + F.get(table, symbol(i) * len(ALPHABET) + symbol(i + 1)))
+    return lambda i: F.get(table, symbol(i) * len(ALPHABET) + symbol(i + 1))
+
+
+def _pair_numbers(value: Column) -> Column:
+    return F.sequence(F.lit(1), F.length(value) - 1)
+
+
+def log_odds(value: Column, model: list[float]) -> Column:
+    """The sum over a string's pairs."""
+    odds = _odds(value, model)
+    return F.aggregate(_pair_numbers(value), F.lit(0.0), lambda total, i: total + odds(i))
+
+
+def best_stretch(value: Column, model: list[float], mean: float = MEAN) -> Column:
+    """first (the character it begins with, from 1), pairs and sum of the contiguous pairs whose odds exceed `mean`
+    by the greatest sum, in one pass: a stretch goes on while its excess is positive, else a new one begins."""
+    odds = _odds(value, model)
+    nothing = F.struct(*[x.alias(n) for n, x in (
+        ("begun", F.lit(1)), ("excess", F.lit(0.0)), ("first", F.lit(1)), ("pairs", F.lit(0)), ("most", F.lit(0.0)))])
+
+    def step(done: Column, i: Column) -> Column:
+        def extended(x: Column) -> Column:
+            goes_on = done["excess"] > 0
+            begun = F.when(goes_on, done["begun"]).otherwise(i)
+            return _bound(F.struct(begun.alias("begun"), (F.when(goes_on, done["excess"]).otherwise(0.0) + x).alias("excess")), lambda now: F.struct(
+                now["begun"].alias("begun"), now["excess"].alias("excess"),
+                F.when(now["excess"] > done["most"], now["begun"]).otherwise(done["first"]).alias("first"),
+                F.when(now["excess"] > done["most"], i - now["begun"] + 1).otherwise(done["pairs"]).alias("pairs"),
+                F.greatest(now["excess"], done["most"]).alias("most")))
+        return _bound(odds(i) - mean, extended)
+
+    return F.aggregate(_pair_numbers(value), nothing, step, lambda done: F.struct(
+        done["first"].alias("first"), done["pairs"].alias("pairs"), (done["most"] + mean * done["pairs"]).alias("sum")))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -162,12 +193,23 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
     found = materialized(base_and_runs(docs, id_col, text_col), "secret-spans")
     model = train(docs.withColumns({"doc_id": docs[id_col], "text": docs[text_col]}), found)
 
-    def odd(s: Column) -> Column:
-        inside = _covered(F.col("assign"), s) | _covered(F.col("access"), s) | _covered(F.col("hex"), s)
-        return ~inside & (log_odds(s["value"], model) >= F.greatest(F.lit(threshold), MEAN * (F.length(s["value"]) - 1)))
-
-    random = F.filter("random", odd) if model else F.array().cast(f"array<{SPAN}>")
-    return found.withColumn("random", random)
+    def outside(s: Column) -> Column:
+        return ~(_covered(F.col("assign"), s) | _covered(F.col("access"), s) | _covered(F.col("hex"), s))
+
+    def judged(s: Column) -> Column:
+        """The run, its best stretch, or null."""
+        whole = log_odds(s["value"], model) >= F.greatest(F.lit(threshold), MEAN * (F.length(s["value"]) - 1))
+        part = _bound(best_stretch(s["value"], model), lambda b: F.when(
+            (b["sum"] >= threshold) & (b["pairs"] >= MIN_RANDOM - 1), F.struct(
+                (s["start"] + b["first"] - 1).alias("start"), (s["start"] + b["first"] + b["pairs"]).alias("end"),
+                s["value"].substr(b["first"], b["pairs"] + 1).alias("value"))))
+        return F.when(whole, s).otherwise(part)
+
+    none = F.array().cast(f"array<{SPAN}>")
+    # A stretch may still lie inside a base span where its run did not.
+    random = F.filter(F.transform(F.filter("random", outside), judged), lambda s: s.isNotNull()) if model else none
+    found = found.withColumn("random", random)
+    return found.withColumn("random", F.filter("random", outside)) if model else found
 
 
 def listed(*kinds: str) -> Column:

@@ -78,6 +78,76 @@ def test_log_odds(spark, scanned):
     assert [r[0] for r in row.where("length(value) > 1").select(secrets.log_odds(F.col("value"), model)).collect()] == [4.0, 0.0]
 
 
+def plain_random(texts):
+    """{row: random spans} by loops alone: chains from counts, each run judged as a whole, then by all its stretches."""
+    def counted(strings):
+        return Counter(w[i:i + 2] for s in strings for w in re.findall(secrets.RUN + "+", s) for i in range(len(w) - 1))
+
+    def values(text):
+        lower = "".join(c.lower() if c.isascii() else c for c in text)
+        at = 0
+        while m := ASSIGN.search(lower, at):
+            at = m.end()
+            if len(m[2]) >= 6:
+                yield m.start(), m.end(), text[m.start(2):m.end(2)]
+        for pattern in ("AKIA[A-Z0-9]{16,}", "[0-9a-f]{24,}"):
+            yield from ((m.start(), m.end(), m[0]) for m in re.finditer(pattern, text))
+
+    def others(text):
+        text = re.sub(ASSIGN.pattern.replace("(password|passwd|secret|token|api_?key)", "(?i:password|passwd|secret|token|api_?key)"), " ", text)
+        return re.sub("AKIA[A-Z0-9]+|[0-9a-f]{24,}", " ", text)
+
+    texts = [t or "" for t in texts]
+    first = secrets._chain(counted(v for t in texts for *_, v in values(t)))
+    second = secrets._chain(counted(map(others, texts)))
+    n = len(secrets.ALPHABET)
+    place = {c: i for i, c in enumerate(secrets.ALPHABET)}
+    out = []
+    for text in texts:
+        base, spans = [(a, z) for a, z, _ in values(text)], []
+        for m in re.finditer(secrets.RUN + "{16,}", text):
+            if any(a <= m.start() and m.end() <= z for a, z in base):
+                continue
+            at = [place[x] * n + place[y] for x, y in zip(m[0], m[0][1:])]
+            odds = [round(first[k] - second[k], 9) for k in at]
+            a, z = m.span()
+            if sum(odds) < max(secrets.THRESHOLD, secrets.MEAN * len(odds)):
+                begun, excess, best = 0, 0.0, (0.0, 0, 0)
+                for i, x in enumerate(odds):
+                    if excess <= 0:
+                        begun, excess = i, 0.0
+                    excess += x - secrets.MEAN
+                    if excess > best[0]:
+                        best = (excess, begun, i + 1)
+                _, i, j = best
+                if sum(odds[i:j]) < secrets.THRESHOLD or j - i < secrets.MIN_RANDOM - 1:
+                    continue
+                a, z = a + i, a + j + 1
+                if any(b <= a and z <= e for b, e in base):
+                    continue
+            spans.append((a, z, text[a:z]))
+        out.append(spans)
+    return out
+
+
+def test_random_spans_equal_a_plain_version(make_docs):
+    rnd = random.Random(12)
+    path = "/".join(["usr", "share", "documentation", "internationalization", "station", "translation", "nation"])
+    some = lambda n: "".join(rnd.choice(secrets.ALPHABET) for _ in range(n))
+    rows = [(i, t) for i, t in secret_texts()]
+    rows += [(400 + i, f"{prose(30, i)} {path}/{path}/{some(24)}/{path} token={some(20)} x") for i in range(30)]
+    letters = lambda n: "".join(rnd.choice(secrets.ALPHABET[:62]) for _ in range(n))
+    rows += [(600 + i, f"token={letters(120)} {path} {prose(200, i)} {prose(300, i).upper()} {prose(90, i).title()} 2024-0{i % 9}-17 {path}") for i in range(80)]
+    rows += [(500, path * 9), (501, f"{path}{some(40)}{path * 20}{some(40)}"), (502, f"{some(18)} secret={some(30)}{path}")]
+    docs = make_docs(rows, extra=False).repartition(3)
+    got = {r["doc_id"]: [tuple(s) for s in r["random"]] for r in secrets.scan(docs).collect()}
+    wanted = dict(zip([i for i, _ in rows], plain_random([t for _, t in rows])))
+    assert got == wanted
+    # The random string is found behind its path, and no path is.
+    found = sum(any(16 <= len(v) < 60 for *_, v in wanted[400 + i]) for i in range(30))
+    assert found >= 10 and wanted[500] == []
+
+
 def test_ordinary_pairs_are_counted_over_all_documents(make_docs):
     rows = [(i, f"naming_{i % 7} of-things é") for i in range(2100)] + [(5000 + i, f"zq{i % 9}Zq/kk") for i in range(400)]
     rows += [(9000, "zqqz secret=a1b2c3d4 zq"), (None, "x"), (9001, None)]
