@@ -11,8 +11,12 @@ Positions and hashes are made row by row inside one generated stage and meet the
 nothing of the documents is shuffled but the few hits.  The seeds are broadcast only if they were
 counted and are at most `BROADCAST_SEEDS`; more of them are joined by a shuffle, with equal results.
 
-Defined results: null or empty texts, and texts or items shorter than every mask (five words), give no overlap;
-items of five to seven words are found with no replaced word, or with one where a mask still fits.
+Items of 8 words or more are laid under `MASKS`, shorter ones under masks of their own (`SHORT`): four words of five
+to seven, so that one replaced word is found wherever it stands, or all words of four or fewer, of which `similarity`
+lets none differ.  Documents are hashed under the masks that some item uses: the lengths of items, up to 8, are looked
+up first.
+
+Defined results: null or empty texts and items without a word give no overlap, nor do texts that a mask does not fit in.
 Rows with the same id count as one document; a null id is an id like any other.  Benchmark items of one id
 count as one item, which overlaps by the best of its texts.  A very long text is a row of its words.  An empty
 table on either side gives an empty result; columns besides ids and texts are not read, whatever their names.
@@ -27,6 +31,10 @@ from cadenza.llm.common import merged_columns
 
 #: Each keeps five words; the positions marked 0 may differ.
 MASKS = ("11111", "1101011", "11001101")
+#: The masks of items of so many words.
+SHORT = {n: ("1111", "11011", "10111", "11101") if n > 4 else ("1" * n,) for n in range(1, 8)}
+#: A mask's place in this list is its number in the hash.
+ALL_MASKS = (*MASKS, *sorted({m for ms in SHORT.values() for m in ms}))
 WINDOW = 13
 SIMILARITY = 0.8
 BROADCAST_SEEDS = 1_000_000
@@ -36,21 +44,28 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
 
 
-def _seeds(at: str = "at", array: str = "words") -> Column:
-    """The hash of each mask laid at word `at` (from 0); null where it does not fit."""
-    def one(number: int, mask: str) -> str:
+def masks_of(n_words: int) -> tuple[str, ...]:
+    return SHORT.get(n_words, MASKS) if n_words else ()
+
+
+def _seeds(masks: list[str], by_length: bool, at: str = "at", array: str = "words") -> Column:
+    """The hash of each mask laid at word `at` (from 0); null where it does not fit, or by length is not used."""
+    def one(mask: str) -> str:
+        number = ALL_MASKS.index(mask)
         kept = ", ".join(f"get({array}, {at} + {i})" for i, c in enumerate(mask) if c == "1")
-        return f"CASE WHEN {at} + {len(mask)} <= size({array}) THEN xxhash64({number}, {kept}) END"
-    return F.expr(f"array({', '.join(one(i, m) for i, m in enumerate(MASKS))})")
+        lengths = [n for n in range(1, 9) if mask in masks_of(n)]
+        used = f" AND least(size({array}), 8) IN ({', '.join(map(str, lengths))})" if by_length else ""
+        return f"CASE WHEN {at} + {len(mask)} <= size({array}){used} THEN xxhash64({number}, {kept}) END"
+    return F.expr(f"array({', '.join(map(one, masks))})")
 
 
-def _positions(table: DataFrame, *keep: str) -> DataFrame:
+def _positions(table: DataFrame, masks: list[str], *keep: str, by_length: bool = False) -> DataFrame:
     """A row per word position and mask."""
-    shortest = min(map(len, MASKS))
+    shortest = min(map(len, masks))
     # Outer, as for the inner form a filter is inferred that splits every text a second time.
     at = table.select(*keep, "words", F.explode_outer(F.when(
         F.size("words") >= shortest, F.sequence(F.lit(0), F.size("words") - shortest))).alias("at"))
-    return at.select(*keep, "words", "at", F.explode(_seeds()).alias("seed")).where("seed IS NOT NULL")
+    return at.select(*keep, "words", "at", F.explode(_seeds(masks, by_length)).alias("seed")).where("seed IS NOT NULL")
 
 
 def _agreement(window: int) -> Column:
@@ -72,14 +87,17 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, simila
     first such window's seed stands): a row for each document and item that overlap."""
     items = benchmark.select(
         benchmark["item_id"].cast("long").alias("item_id"), F.xxhash64("text").alias("item_hash"), words(benchmark["text"]).alias("words"))
+    # Eight numbers at most.
+    lengths = [r[0] for r in items.select(F.least(F.size("words"), F.lit(8))).distinct().collect()]
+    masks = [m for m in ALL_MASKS if any(m in masks_of(n) for n in lengths)] or [*MASKS]
     # A seed names its item's text and does not carry it: what is broadcast is bounded by the number of seeds.
-    seeds = _positions(items, "item_id", "item_hash").select("item_id", "item_hash", F.col("at").alias("item_at"), "seed")
+    seeds = _positions(items, masks, "item_id", "item_hash", by_length=True).select("item_id", "item_hash", F.col("at").alias("item_at"), "seed")
     named = items.distinct().select(
         F.col("item_id").alias("same_item"), F.col("item_hash").alias("same_hash"), F.col("words").alias("item_words"))
     same_item = F.col("same_item").eqNullSafe(F.col("item_id")) & (F.col("same_hash") == F.col("item_hash"))
     texts = docs.select(
         docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), words(docs["text"]).alias("words"))
-    where = _positions(texts, "doc_id", "text_hash")
+    where = _positions(texts, masks, "doc_id", "text_hash")
     if seeds.limit(broadcast_seeds + 1).count() <= broadcast_seeds:
         met = where.join(F.broadcast(seeds), "seed").join(named, same_item)
     else:
@@ -110,15 +128,18 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, **parameters) -> DataF
 
 def _oracle() -> str:
     """The same in SQL, with the words a mask keeps in place of their hash."""
-    shortest = min(map(len, MASKS))
-
     def positions(name: str, key: str) -> str:
+        def used(mask: str) -> str:
+            lengths = ", ".join(str(n) for n in range(1, 9) if mask in masks_of(n))
+            those = f"least(len(words), 8) IN ({lengths})"
+            return those if name == "item" else f"EXISTS (SELECT 1 FROM item_words WHERE {those})"
+
         picks = " UNION ALL ".join(
             f"SELECT {key}, words, p, {i} AS mask, "
             + " || ' ' || ".join(f"words[p + {j + 1}]" for j, c in enumerate(m) if c == "1")
-            + f" AS seed FROM {name}_spot WHERE p + {len(m)} <= len(words)" for i, m in enumerate(MASKS))
-        return (f"{name}_spot AS (SELECT {key}, words, unnest(range(0, len(words) - {shortest} + 1)) AS p"
-                f" FROM {name}_words WHERE len(words) >= {shortest}), {name}_seed AS ({picks})")
+            + f" AS seed FROM {name}_spot WHERE p + {len(m)} <= len(words) AND {used(m)}" for i, m in enumerate(ALL_MASKS))
+        return (f"{name}_spot AS (SELECT {key}, words, unnest(range(0, len(words))) AS p"
+                f" FROM {name}_words WHERE len(words) >= 1), {name}_seed AS ({picks})")
 
     split = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS words"
     span = f"least({WINDOW}, len(i.words))"

@@ -43,6 +43,54 @@ def test_overlaps(items, planted):
     assert all(r["n_window"] == 13 and 11 <= r["n_agree"] <= 13 for r in found)
 
 
+def brute(docs, items):
+    """{(doc_id, item_id): (n_agree, n_window)} by all alignments and all windows."""
+    out = {}
+    for i, text in docs:
+        words = (text or "").lower().split()
+        for k, item in items:
+            passage = item.lower().split()
+            n = min(decontaminate.WINDOW, len(passage))
+            for shift in range(1 - len(passage), len(words)):
+                agree = [0 <= shift + j < len(words) and words[shift + j] == w for j, w in enumerate(passage)]
+                for s in range(len(passage) - n + 1):
+                    got = sum(agree[s:s + n])
+                    if n and got >= decontaminate.SIMILARITY * n:
+                        out[i, k] = max(out.get((i, k), (0, n)), (got, n))
+    return out
+
+
+@pytest.mark.parametrize("longest", [3, 7, 20])
+def test_all_lengths_equal_brute_force(spark, make_docs, longest):
+    rnd = random.Random(longest)
+    some = lambda n: [f"v{rnd.randrange(40)}" for _ in range(n)]
+    passages = {100 + i: some(1 + i % longest) for i in range(3 * longest)}
+    rows = [(i, " ".join(some(rnd.randrange(0, 30)))) for i in range(40)] + [(90, None), (91, "")]
+    for k, p in passages.items():
+        for copy in range(4):
+            changed = [f"x{copy}" if rnd.random() < 0.15 else w for w in p]
+            rows.append((10 * k + copy, " ".join(some(5 * (copy % 2)) + changed + some(copy))))
+    items = [(k, " ".join(p)) for k, p in passages.items()] + [(99, "")]
+    table = spark.createDataFrame(items, "item_id long, text string")
+    wanted = brute(rows, items)
+    for seeds in (1, decontaminate.BROADCAST_SEEDS):
+        found = decontaminate.overlaps(make_docs(rows), table, broadcast_seeds=seeds).collect()
+        assert {(r["doc_id"], r["item_id"]): (r["n_agree"], r["n_window"]) for r in found} == wanted
+
+
+def test_sql_equals_spark_on_short_items(spark, make_docs):
+    import duckdb
+
+    rnd = random.Random(3)
+    some = lambda n: " ".join(f"v{rnd.randrange(25)}" for _ in range(n))
+    docs, items = [(i, some(i % 23)) for i in range(60)], [(i, some(i % 12)) for i in range(30)]
+    found = decontaminate.overlaps(make_docs(docs), spark.createDataFrame(items, "item_id long, text string")).collect()
+    base = duckdb.connect()
+    base.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)").executemany("INSERT INTO documents VALUES (?, ?)", docs)
+    base.execute("CREATE TABLE benchmark (item_id BIGINT, text VARCHAR)").executemany("INSERT INTO benchmark VALUES (?, ?)", items)
+    assert sorted(map(tuple, found)) == sorted(base.execute(decontaminate.ORACLE_SQL).fetchall())
+
+
 def test_seeds_by_shuffle_give_the_same(items, planted):
     order = lambda rows: sorted(map(repr, rows))
     assert order(decontaminate.overlaps(planted, items[1], broadcast_seeds=1).collect()) == order(
