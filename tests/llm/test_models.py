@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from cadenza.llm import neighbours, quality, queries, toxicity
@@ -74,6 +75,41 @@ def test_statistics_of_awkward_texts(spark, awkward):
     assert (one["n_lines"], one["n_words"], one["capitals"], one["words_a_line"]) == (3, 3, 3 / 7, 1)
 
 
+def plain_statistics(text):
+    """The 14 statistics by plain Python."""
+    text = text or ""
+    split = regex.findall(r"[^ \t\n\x0b\f\r]+", text)
+    lines = text.split("\n") if text else []
+    count = lambda pattern: len(regex.findall(pattern, text))
+    share = lambda a, b: a / b if b else 0.0
+    return {
+        "n_chars": len(text), "n_words": len(split), "n_lines": len(lines), "letters": share(count(r"\p{L}"), len(text)),
+        "capitals": share(count(r"\p{Lu}"), len(text)), "digits": share(count(r"\p{N}"), len(text)),
+        "symbols": share(count(r"[^\p{L}\p{N} \t\n\x0b\f\r.,;:'\"!?()-]"), len(text)), "marks": share(count("[!?]"), len(text)),
+        "word_length": share(sum(map(len, split)), len(split)), "different_words": share(len(set(split)), len(split)),
+        "different_lines": share(len(set(lines)), len(lines)), "words_a_line": share(len(split), len(lines)),
+        "longest_word": max(map(len, split), default=0), "short_words": share(sum(len(w) <= 3 for w in split), len(split)),
+    }
+
+
+def test_statistics_and_scores_equal_a_plain_version(spark, make_docs):
+    if os.path.isdir(SF_DIR):
+        rows = [(r["doc_id"], r["text"]) for r in documents(spark, SF_DIR).collect()]
+    else:
+        rows = [(100 + i, prose(i, i)) for i in range(50)]
+    rows = [(n, t) for n, (_, t) in enumerate(rows + awkward_texts())]
+    docs = make_docs(rows)
+    for r in quality.featured(quality.ids_and_texts(docs), "doc_id").collect():
+        assert r.asDict() == pytest.approx({"doc_id": r["doc_id"], **plain_statistics(rows[r["doc_id"]][1])})
+    marks = spark.createDataFrame([(i, int(len(t or "") % 3 > 0)) for i, t in rows], "doc_id long, quality int")
+    model = quality.fit(docs, marks, held_out(3, 1))
+    assert model.rules
+    for r in quality.quality_scores(docs, model).collect():
+        s = plain_statistics(rows[r["doc_id"]][1])
+        total = model.intercept + sum(w for rule, w in model.rules if all(low < s[n] <= high for n, low, high in rule))
+        assert r["score"] == pytest.approx(1 / (1 + math.exp(-total)))
+
+
 def test_quality_learns_from_what_it_may(spark, make_docs):
     rows = [(i, prose(40, i) if i % 2 else "$$$ ### " * 20) for i in range(400)]
     docs = make_docs(rows + awkward_texts()[:8])
@@ -258,6 +294,37 @@ def test_recall(spark, sf_dir):
     assert recall >= 0.9
 
 
+def scored_share(vectors, design):
+    """How much of the table is scored for a query, a vector met in two tables counted twice."""
+    asked = vectors[::50]
+    return float(neighbours.trial(asked, asked, vectors, design)[1][:, -1].mean()) / len(vectors)
+
+
+def test_evenly_spread_vectors(spark):
+    """They have no near neighbours, so the tables together score about as much as a scan; no more is taken than needed."""
+    sf_dir = SF_DIR.replace("0.01", "0.1")
+    if not os.path.isdir(sf_dir):
+        pytest.skip("no test tables")
+    table = spark.read.parquet(f"{sf_dir}/embeddings.parquet").selectExpr("vec_id AS id", "embedding AS vector")
+    even = np.array([r["vector"] for r in table.collect()], float)
+    assert scored_share(even, neighbours.fitted(table)) < 1.4
+
+
+def test_clustered_vectors(spark):
+    """Where near neighbours are near, most of the table is left alone and they are found."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(120, 32))
+    vectors = (centres[np.arange(3000) % 120] + rng.normal(scale=0.12, size=(3000, 32))).astype(np.float32)
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    design = neighbours.fitted(table.selectExpr("vec_id AS id", "embedding AS vector"))
+    best, found = brute(rows), {}
+    for r in neighbours.nearest(table, F.col("vec_id") % 50 == 0).collect():
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    recall = sum(len(found[i] & set(best[i])) for i in best) / sum(map(len, best.values()))
+    assert recall >= 0.9 and scored_share(vectors.astype(float), design) < 0.2
+
+
 def test_awkward_vectors(spark):
     rnd = random.Random(2)
     near = [1.0] * 8
