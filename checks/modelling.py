@@ -17,7 +17,7 @@ from cadenza.plans.quality import quality_report
 from cadenza.plans.toplist import popular_tracks_report, toplist, toplist_job, toplist_request
 from cadenza.plans.training import evaluate, train_and_evaluate
 from cadenza.schemas import LABEL, MODEL_INPUTS, PREDICTION, TRACK_ATTRIBUTES
-from cadenza.session import scratch_path
+from cadenza.session import materialized, scratch_path
 from checks import feature_views as fv
 from checks import views as v
 from checks.registry import check, q6, r6
@@ -177,8 +177,9 @@ def ols_14_evaluated(spark, d):
     """Scored on the weeks after 127, for all tracks and for those that occur in the log."""
     features = fv.feature_table(spark, d)
     model = models.train_ols(features.filter("week <= 100"), MODEL_INPUTS)
-    late = models.score_batch(model, features.filter("week > 127")).select("track_id", "week", LABEL, PREDICTION)
-    heard = semi_join_active(late, v.sessions_l(spark, d))
+    # Written once: four passes read them, and a row is dear to score.
+    late = materialized(models.score_batch(model, features.filter("week > 127")).select("track_id", "week", LABEL, PREDICTION), "late")
+    heard = semi_join_active(late, materialized(v.sessions_l(spark, d).select("track_id").distinct(), "played"))
     return sound(evaluate(late, 100)).withColumn("tracks", F.lit("all")).unionByName(
         sound(evaluate(heard, 100)).withColumn("tracks", F.lit("heard")))
 

@@ -77,3 +77,32 @@ def test_ndcg_of_long_lists(spark, k):
     cells = [(float(rng.randint(0, 4)), rng.random()) for _ in range(6000)]
     df = spark.createDataFrame([(1, str(i), g, s) for i, (g, s) in enumerate(cells)], SCORED)
     assert ev.ndcg_at_k(df, k).first()["ndcg"] == pytest.approx(brute_ndcg(*zip(*cells), k))
+
+
+def test_only_the_best_scores_of_a_week_are_handed_on(spark):
+    rng = random.Random(5)
+    cells = [(w, float(rng.randint(0, 3)), rng.random()) for w in (1, 2) for _ in range(3000)]
+    df = spark.createDataFrame([(w, str(i), g, s) for i, (w, g, s) in enumerate(cells)], SCORED).repartition(3)
+    result = ev.ndcg_at_k(df, 4)
+    got = {r["week"]: r["ndcg"] for r in result.collect()}
+    for week in (1, 2):
+        assert got[week] == pytest.approx(brute_ndcg(*zip(*[(g, s) for w, g, s in cells if w == week]), 4))
+    plan = result._jdf.queryExecution().executedPlan().toString()
+    before_shuffles = ev._best_scores(4)
+    batch = df.filter("week = 1").selectExpr(
+        "false AS no_week", "week", "predicted_play_count AS dcg", "1 AS dcg_kind", "play_count AS ideal", "1 AS ideal_kind",
+        "play_count AS gain", "1L AS gains", "0L AS unclear").toPandas()
+    handed_on = list(before_shuffles([batch, batch]))
+    assert sum(len(part) for part in handed_on) <= 2 * 4 and "MapInPandas" in plan
+
+
+def test_ndcg_of_nulls_and_nan(spark):
+    nan = float("nan")
+    df = spark.createDataFrame([
+        (1, "a", 2.0, nan), (1, "b", 1.0, 5.0), (1, "c", 4.0, None), (None, "d", 3.0, 1.0), (None, "e", None, 2.0),
+        (2, "f", nan, 1.0), (2, "g", 1.0, 0.0), (3, "h", 1.0, -0.0), (3, "i", 3.0, 0.0)], SCORED)
+    got = {r["week"]: r["ndcg"] for r in ev.ndcg_at_k(df, 2).collect()}
+    assert got[1] == pytest.approx((2 + 1 / math.log2(3)) / (4 + 2 / math.log2(3)))  # NaN first, null last
+    assert got[None] == pytest.approx((3 / math.log2(3)) / 3)
+    assert math.isnan(got[2])
+    assert got[3] == pytest.approx(2 * (1 + 1 / math.log2(3)) / (3 + 1 / math.log2(3)))  # the zeros are one score
