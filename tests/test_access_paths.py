@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from cadenza import sources
 from cadenza.operators.panel import mean_playtime, with_week
+from cadenza.operators.ranking import top_n
 from cadenza.operators.sequence import next_event
-from cadenza.plans.features import build_features
+from cadenza.plans.features import build_features, feature_tracks
 from cadenza.plans.toplist import toplist_job
 from cadenza.schemas import PREDICTION
 
@@ -65,6 +66,37 @@ def test_features_scan_the_log_once(spark, make_log, tmp_path):
     assert scans(mean_playtime(weekly, tracks), tmp_path / "log") == 1
 
 
+def catalogue(spark):
+    return spark.createDataFrame([(f"t{i}", i, 1000 * i, 0.1, 0.2, 0.3, "1999") for i in range(6)], (
+        "track_id string, popularity int, duration_ms long, danceability double, acousticness double, instrumentalness double, release_date string"))
+
+
+def test_stored_tracks_are_expanded_where_they_are_read(spark, make_log, tmp_path):
+    log, path = spark.read.parquet(write_log(make_log, tmp_path)), str(tmp_path / "by-track")
+    wanted = build_features(log, catalogue(spark), ANCHOR, partial_weeks=[1])
+    sources.write_features(feature_tracks(log, catalogue(spark), ANCHOR, partial_weeks=[1]), path, format="tracks")
+    assert spark.read.parquet(path).count() == 6  # a row for a track, not one for each of its weeks
+    back = sources.read_features(spark, path, format="tracks")
+    assert back.columns == wanted.columns and back.dtypes == wanted.dtypes
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, wanted.collect()))
+    # Nothing is shuffled after the expansion, and a week is picked before its measures are looked up.
+    names = [name for name, _ in executed(back.filter("week = 3"))]
+    assert names.count("ShuffleExchangeExec") == 1 and names.index("GenerateExec") < names.index("ShuffleExchangeExec")
+    sources.write_histories(spark.read.parquet(path), str(tmp_path / "histories"), buckets=4)
+    history = sources.read_history(spark, str(tmp_path / "histories"), "t2")
+    assert sorted(map(tuple, history.collect())) == sorted(map(tuple, wanted.filter("track_id = 't2'").collect()))
+
+
+def test_a_top_list_reads_its_rows_once(spark, tmp_path):
+    path = str(tmp_path / "scored")
+    spark.range(500).selectExpr("id AS track_id", "CAST(id % 7 AS DOUBLE) AS score").write.parquet(path)
+    best = top_n(spark.read.parquet(path), "score", 5)
+    assert scans(best, path) == 1
+    assert [tuple(r) for r in best.orderBy("rank").collect()] == [(6 + 7 * i, 6.0, i + 1) for i in range(5)]
+    read = "ShuffleExchangeExec"
+    assert all(node.outputPartitioning().numPartitions() == 1 for name, node in executed(best) if name == read)
+
+
 def table(spark, weeks):
     return spark.range(300).select(
         F.concat(F.lit("t"), "id").alias("track_id"), F.explode(F.sequence(F.lit(1), F.lit(weeks))).alias("week"),

@@ -109,3 +109,13 @@ def test_features_by_week_prune_folders(spark, tmp_path):
 def test_rows_as_json(spark):
     df = spark.createDataFrame([("a", 1)], "id string, n int")
     assert sources.rows_as_json(df).first()["value"] == '{"id":"a","n":1}'
+
+
+def test_predictions_are_packed(spark, tmp_path):
+    path = str(tmp_path / "predictions")
+    df = spark.range(2000).selectExpr("id AS track_id", "CAST(id % 3 AS DOUBLE) AS predicted_play_count").coalesce(1)
+    sources.write_predictions_json(df, path)
+    size = sum(f.stat().st_size for f in (tmp_path / "predictions").glob("part-*"))
+    assert size < 2000 * 20
+    back = spark.read.schema(df.schema).json(path)
+    assert rows(back, "track_id") == rows(df, "track_id")
