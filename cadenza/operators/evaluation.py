@@ -76,20 +76,33 @@ def _best_scores(k: int):
         ahead = groups.groupby(keys[:3])["n"].cumsum() - groups["n"]
         return groups[ahead < k]
 
+    def floors(groups):
+        # Of the weeks that already have k rows, the least score still wanted; the groups are in order.
+        least = groups[~groups["no_week"]].groupby(["list", "week"]).agg(n=("n", "sum"), kind=("kind", "last"), score=("score", "last"))
+        least = least[least["n"] >= k].reset_index()
+        return {name: [part[c].to_numpy() for c in ("week", "kind", "score")] for name, part in least.groupby("list")}
+
+    def wanted(rows, floor):
+        weeks, kinds, scores = floor
+        at = np.minimum(np.searchsorted(weeks, rows["week"]), len(weeks) - 1)
+        unknown = (weeks[at] != rows["week"]) | rows["no_week"]
+        return rows[unknown | (rows["kind"] > kinds[at]) | ((rows["kind"] == kinds[at]) & (rows["score"] >= scores[at]))]
+
     def best(batches):
-        held, size = [], 0
+        held, size, floor = [], 0, {}
         for batch in batches:
             known = {c: batch[c].to_numpy() for c in ("no_week", "week", "gain", "gains", "unclear")}
             for name in ("dcg", "ideal"):
-                held.append(pd.DataFrame({
+                rows = pd.DataFrame({
                     "list": name, "no_week": known["no_week"], "week": known["week"],
                     "kind": batch[f"{name}_kind"].to_numpy(), "score": batch[name].to_numpy(),
-                    "n": np.ones(len(batch), dtype="int64"), **{c: known[c] for c in ("gain", "gains", "unclear")}}))
-            size += 2 * len(batch)
+                    "n": np.ones(len(batch), dtype="int64"), **{c: known[c] for c in ("gain", "gains", "unclear")}})
+                held.append(wanted(rows, floor[name]) if name in floor else rows)
+                size += len(held[-1])
             if size > HELD:
                 held = [reduced(pd.concat(held, ignore_index=True))]
                 # What is kept does not bring the next reduction nearer, or long lists would be reduced at every batch.
-                size = 0
+                size, floor = 0, floors(held[0])
         if held:
             yield reduced(pd.concat(held, ignore_index=True))
 

@@ -106,3 +106,19 @@ def test_ndcg_of_nulls_and_nan(spark):
     assert got[None] == pytest.approx((3 / math.log2(3)) / 3)
     assert math.isnan(got[2])
     assert got[3] == pytest.approx(2 * (1 + 1 / math.log2(3)) / (3 + 1 / math.log2(3)))  # the zeros are one score
+
+
+@pytest.mark.parametrize("k", [1, 4, 200])
+def test_rows_below_what_a_task_holds_change_nothing(spark, k, monkeypatch):
+    monkeypatch.setattr(ev, "HELD", 100)
+    rng = random.Random(k)
+    cells = [(rng.choice([1, 2, 7]), float(rng.randint(0, 5)), round(rng.random(), 2)) for _ in range(3000)]
+    df = spark.createDataFrame([(w, str(i), g, s) for i, (w, g, s) in enumerate(cells)], SCORED).repartition(2)
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 70)
+    try:
+        got = {r["week"]: r["ndcg"] for r in ev.ndcg_at_k(df, k).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    for week in (1, 2, 7):
+        assert got[week] == pytest.approx(brute_ndcg(*zip(*[(g, s) for w, g, s in cells if w == week]), k))
