@@ -67,6 +67,11 @@ def moment_state():
     return of_batch, merged, lines
 
 
+def unpacked_batches(unpack, run):
+    """`run` over the rows that `unpack` makes of a task's batches; without it over the batches as they are."""
+    return run if unpack is None else lambda batches: run(unpack(batches))
+
+
 def _moment_sums(columns: list[str], by: list[str]):
     """The function each task runs over its Arrow batches."""
     of_batch, merged, lines = moment_state()
@@ -86,14 +91,21 @@ def _moment_sums(columns: list[str], by: list[str]):
     return sums
 
 
-def pair_moments(df: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:
+def pair_moments(df: DataFrame, columns: list[str], by: list[str] | None = None, unpack=None) -> DataFrame:
     """Count, means, variances and covariance of every column pair, in one pass.
 
     A pair counts only where both values are present.  Each task sums its
     Arrow batches with matrix products and hands on one line per pair, so
     what is shuffled depends on the number of columns, not of rows.
+
+    A row of `df` may stand for many: `unpack` is then a function that makes batches of the columns, as doubles, of a task's
+    batches of `df`, such as `plans.features.unpacked`.  They are expanded in the task that sums them and never leave it.
     """
     by = by or []
+    if unpack is not None:
+        if by:
+            raise ValueError("packed rows have no groups")
+        return merge_moments(df.mapInPandas(unpacked_batches(unpack, _moment_sums(columns, [])), MOMENTS), [])
     values = df.select(*by, *[F.col(c).cast("double").alias(c) for c in columns])
     keys = [f"{f.name} {f.dataType.simpleString()}" for f in values.schema.fields[: len(by)]]
     return merge_moments(values.mapInPandas(_moment_sums(columns, by), ", ".join([*keys, MOMENTS])), by)
@@ -147,13 +159,14 @@ def correlations(moments: DataFrame, by: list[str] | None = None) -> DataFrame:
     return upper.select(*by, "r", F.inline(mirrored)).select(*by, "attr_a", "attr_b", "r")
 
 
-def corr_pearson(df: DataFrame, columns: list[str]) -> DataFrame:
-    return correlations(pair_moments(df, columns))
+def corr_pearson(df: DataFrame, columns: list[str], unpack=None) -> DataFrame:
+    """Pearson correlation of every column pair; `unpack` as in pair_moments."""
+    return correlations(pair_moments(df, columns, unpack=unpack))
 
 
-def value_counts_by_column(df: DataFrame, columns: list[str]) -> DataFrame:
+def value_counts_by_column(df: DataFrame, columns: list[str], unpack=None) -> DataFrame:
     """(attr, value, n): how often each value stands in each column; counted in the tasks first, so rows are not
-    multiplied by columns.  Nulls and NaN are left out."""
+    multiplied by columns.  Nulls and NaN are left out.  `unpack` as in pair_moments."""
     def counted(batches):
         held = {c: [] for c in columns}
 
@@ -166,7 +179,11 @@ def value_counts_by_column(df: DataFrame, columns: list[str]) -> DataFrame:
         for batch in batches:
             for c in columns:
                 values = batch[c].to_numpy(dtype=float)
-                held[c].append(np.unique(values[~np.isnan(values)], return_counts=True))
+                # Zeros, most of a sparse column, are counted and not sorted.
+                held[c].append(np.unique(values[~np.isnan(values) & (values != 0)], return_counts=True))
+                zeros = int((values == 0).sum())
+                if zeros:
+                    held[c].append((np.zeros(1), np.array([zeros])))
                 if sum(len(v) for v, _ in held[c]) > HELD:
                     out = compact(c)
                     if len(out) > HELD // 2:
@@ -176,8 +193,8 @@ def value_counts_by_column(df: DataFrame, columns: list[str]) -> DataFrame:
             if held[c]:
                 yield compact(c)
 
-    values = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
-    partial = values.mapInPandas(counted, "attr string, value double, n long")
+    values = df if unpack is not None else df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    partial = values.mapInPandas(unpacked_batches(unpack, counted), "attr string, value double, n long")
     return partial.groupBy("attr", "value").agg(F.sum("n").alias("n"))
 
 
@@ -187,7 +204,7 @@ def average_ranks(counts: DataFrame) -> DataFrame:
     return placed.select("attr", "value", (F.col("preceding") + (F.col("n") + 1) / F.lit(2.0)).alias("rank"))
 
 
-def corr_spearman(df: DataFrame, columns: list[str], dictionary: int = DICTIONARY) -> DataFrame:
+def corr_spearman(df: DataFrame, columns: list[str], dictionary: int = DICTIONARY, unpack=None) -> DataFrame:
     """Pearson correlation of average ranks.
 
     Ranks are taken over all non-null values of a column; fill nulls first
@@ -195,16 +212,19 @@ def corr_spearman(df: DataFrame, columns: list[str], dictionary: int = DICTIONAR
 
     Ranks are found on the distinct values.  Columns with few of them, `dictionary` values together, are looked up in a
     dictionary that every task gets, in the same step that sums the moments.  A column with more
-    is replaced by its ranks in a join before.
+    is replaced by its ranks in a join before.  `unpack` as in pair_moments; only for such a join do unpacked rows leave their task.
     """
-    ranks = materialized(average_ranks(materialized(value_counts_by_column(df, columns), "value-counts")), "ranks")
+    ranks = materialized(average_ranks(materialized(value_counts_by_column(df, columns, unpack), "value-counts")), "ranks")
     sizes = {r["attr"]: r["count"] for r in ranks.groupBy("attr").count().collect()}
     small, room = [], dictionary
     for c in sorted(columns, key=lambda c: sizes.get(c, 0)):
         if sizes.get(c, 0) <= room:
             small.append(c)
             room -= sizes.get(c, 0)
-    df = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    if unpack is not None and len(small) < len(columns):
+        df, unpack = df.mapInPandas(unpack, ", ".join(f"`{c}` double" for c in columns)), None
+    if unpack is None:
+        df = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
     for c in columns:
         if c not in small:
             of_column = ranks.filter(F.col("attr") == c).select(F.col("value").alias("_value"), F.col("rank").alias("_rank"))
@@ -222,7 +242,8 @@ def corr_spearman(df: DataFrame, columns: list[str], dictionary: int = DICTIONAR
                 batch[c] = np.where(np.isnan(mine), np.nan, of[at])
             yield batch
 
-    return correlations(merge_moments(df.mapInPandas(lambda batches: sums(ranked(batches)), MOMENTS), []))
+    summed = df.mapInPandas(unpacked_batches(unpack, lambda batches: sums(ranked(batches))), MOMENTS)
+    return correlations(merge_moments(summed, []))
 
 
 def abs_threshold(corr: DataFrame, target: str, threshold: float = 0.05) -> DataFrame:

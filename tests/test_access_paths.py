@@ -5,12 +5,13 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from cadenza import sources
+from cadenza.operators.correlation import corr_pearson, corr_spearman
 from cadenza.operators.panel import mean_playtime, with_week
 from cadenza.operators.ranking import top_n
 from cadenza.operators.sequence import next_event
-from cadenza.plans.features import build_features, feature_tracks
+from cadenza.plans.features import build_features, feature_rows, feature_tracks, packed, unpacked
 from cadenza.plans.toplist import toplist_job
-from cadenza.schemas import PREDICTION
+from cadenza.schemas import FEATURE_COLUMNS, PREDICTION
 
 ANCHOR = date(2021, 1, 4)
 
@@ -142,3 +143,37 @@ def test_the_catalogue_is_scanned_once(spark, tmp_path):
     spark.createDataFrame([("t299", "renamed")], "track_id string, name string").write.mode("overwrite").parquet(path)
     assert [r["name"] for r in job().orderBy("rank").collect()] == ["renamed", None, None]
     assert sources.release_dimensions(spark, path) == 1 and sources.release_dimensions(spark, path) == 0
+
+
+def test_the_maps_of_weeks_are_made_once(spark, make_log, tmp_path):
+    log = spark.read.parquet(write_log(make_log, tmp_path))
+    by_track = feature_tracks(log, catalogue(spark), ANCHOR, partial_weeks=[1])
+    collecting = [node for name, node in executed(by_track) if "Aggregate" in name and "collect_list" in node.verboseStringWithOperatorId()]
+    # The partial and the final step of the one aggregate; the weeks come from the cells before it.
+    assert len(collecting) == 2
+    assert scans(by_track, tmp_path / "log") == 1
+    assert {tuple(r["_weeks"]) for r in by_track.collect()} == {(2, 3, 4)}
+
+
+def test_correlations_expand_tracks_in_the_task_that_sums_them(spark, make_log, tmp_path):
+    log = spark.read.parquet(write_log(make_log, tmp_path))
+    odd = [("t8", None, None, float("nan"), 0.5, None, None), ("t9", 3, 7, 0.2, float("nan"), 0.1, "2001"), (None, 1, 1, 0.1, 0.1, 0.1, "1999")]
+    tracks = catalogue(spark).unionByName(spark.createDataFrame(odd, catalogue(spark).schema))
+    by_track = feature_tracks(log, tracks, ANCHOR, partial_weeks=[1])
+    columns = FEATURE_COLUMNS[2:]
+    rows = feature_rows(by_track).select(*[F.col(c).cast("double") for c in columns])
+    unpack = unpacked(columns)
+    made = packed(by_track).mapInPandas(unpack, ", ".join(f"{c} double" for c in columns))
+    assert sorted(map(tuple, made.collect())) == sorted(map(tuple, rows.collect()))
+
+    def matrix(df):
+        return {(r["attr_a"], r["attr_b"]): None if r["r"] is None else round(r["r"], 9) for r in df.collect()}
+
+    pearson = corr_pearson(packed(by_track), columns, unpack)
+    assert not any(name == "GenerateExec" and "posexplode" in node.toString() for name, node in executed(pearson))
+    assert matrix(pearson) == matrix(corr_pearson(rows, columns))
+    wanted = matrix(corr_spearman(rows, columns))
+    for dictionary in (2_000_000, 5):  # looked up, and most columns joined to their ranks
+        assert matrix(corr_spearman(packed(by_track), columns, dictionary, unpack)) == wanted
+    empty = feature_tracks(log.limit(0), tracks, ANCHOR, partial_weeks=[1])
+    assert corr_pearson(packed(empty), columns, unpack).count() == 0
