@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from cadenza.functions.calendar import DEFAULT_ANCHOR
 from cadenza.operators.correlation import MOMENTS, correlations, merge_moments, moment_state
-from cadenza.operators.panel import dense_panel, drop_weeks, track_cells, with_release_year, with_week
+from cadenza.operators.panel import drop_weeks, expanded, track_cells, with_release_year, with_week
 from cadenza.schemas import TRACK_ATTRIBUTES
 
 # Fixed value: weeks up to this one have incomplete lags and are the warm-up.
@@ -44,8 +44,25 @@ def listenability_panel(
     `active` marks tracks that occur anywhere in the log, the incomplete
     weeks included.  Lags before the first week are null.
     """
+    return listenability_rows(listenability_tracks(sessions, tracks, attributes, anchor, partial_weeks), attributes)
+
+
+def listenability_tracks(
+    sessions: DataFrame,
+    tracks: DataFrame,
+    attributes: list[str],
+    anchor: date = DEFAULT_ANCHOR,
+    partial_weeks: list[int] | None = None,
+) -> DataFrame:
+    """What listenability_panel holds, one row per track: to be stored (`write_features(…, format="tracks")`) where the
+    panel is read more than once, or every pass would start from the log."""
     log, marked = _marked(sessions, tracks, anchor, partial_weeks)
-    return dense_panel(log, marked, [*attributes, "active"], {
+    return track_cells(log, marked, [*attributes, "active"])
+
+
+def listenability_rows(by_track: DataFrame, attributes: list[str]) -> DataFrame:
+    """The panel rows of the tracks in a table of listenability_tracks."""
+    return expanded(by_track, [*attributes, "active"], {
         **{m: (m, 0) for m in ("play_count", "like_count", "playtime_ratio", "listenability")},
         **{f"lag_{k}": ("listenability", k) for k in (1, 2, 3)},
     })

@@ -9,9 +9,11 @@ from cadenza.operators.correlation import corr_pearson, corr_spearman
 from cadenza.operators.panel import mean_playtime, with_week
 from cadenza.operators.ranking import top_n
 from cadenza.operators.sequence import next_event
+from cadenza.plans.correlation import listenability_panel
 from cadenza.plans.features import build_features, feature_rows, feature_tracks, packed, unpacked
 from cadenza.plans.toplist import toplist_job
-from cadenza.schemas import FEATURE_COLUMNS, PREDICTION
+from cadenza.schemas import FEATURE_COLUMNS, PREDICTION, TRACK_ATTRIBUTES
+from checks import feature_views, views
 
 ANCHOR = date(2021, 1, 4)
 
@@ -177,3 +179,22 @@ def test_correlations_expand_tracks_in_the_task_that_sums_them(spark, make_log,
         assert matrix(corr_spearman(packed(by_track), columns, dictionary, unpack)) == wanted
     empty = feature_tracks(log.limit(0), tracks, ANCHOR, partial_weeks=[1])
     assert corr_pearson(packed(empty), columns, unpack).count() == 0
+
+
+def test_the_listenability_panel_is_read_from_its_tracks(spark, tmp_path):
+    """Those who fit, score and report read the panel several times; no pass starts from the log."""
+    from pyspark.sql.types import TimestampNTZType
+
+    day = F.timestamp_add("DAY", F.col("id").cast("int"), F.lit("1995-01-02").cast(TimestampNTZType()))
+    spark.range(40).select(
+        F.col("id").alias("l_orderkey"), F.lit(1).alias("l_linenumber"), day.alias("l_shipdate"), (F.col("id") % 3).alias("l_partkey"),
+        F.lit("N").alias("l_returnflag")).write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.range(40).selectExpr("id AS o_orderkey", "id % 2 AS o_custkey").write.parquet(str(tmp_path / "orders.parquet"))
+    spark.range(4).selectExpr(
+        "id AS p_partkey", "'n' AS p_name", "'b' AS p_brand", "CAST(id AS INT) AS p_size").write.parquet(str(tmp_path / "part.parquet"))
+    panel = feature_views.panel_l(spark, str(tmp_path))
+    direct = listenability_panel(
+        views.sessions_l(spark, str(tmp_path)), views.tracks(spark, str(tmp_path)), TRACK_ATTRIBUTES, views.ANCHOR_L, views.PARTIAL_L)
+    assert panel.dtypes == direct.dtypes and sorted(map(repr, panel.collect())) == sorted(map(repr, direct.collect()))
+    assert panel.count() == 4 * 5
+    assert scans(panel, tmp_path / "lineitem.parquet") == 0
