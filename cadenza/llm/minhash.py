@@ -51,6 +51,8 @@ COLUMNS = 4096
 SHARE = 2000
 #: Words whose hash a task remembers.
 WORDS = 400_000
+#: Bits that mark what is wanted of a table before it is joined: 4 MB, whatever the number of rows.
+MARKS = 1 << 25
 
 _random = np.random.default_rng(20)
 _A = _random.integers(1, 2**32, MINIMA, dtype=np.uint32) | np.uint32(1)
@@ -117,6 +119,16 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     return texts.mapInPandas(run, "doc_id long, text_hash long, n_shingles long, node binary, minima binary, bands array<long>")
 
 
+def _likely(rows: DataFrame, key: list[str], wanted: DataFrame, wanted_key: list[str]) -> DataFrame:
+    """The rows whose key is wanted, and the few whose key shares the bit of a wanted one: for the exact join that follows,
+    so that it does not shuffle a whole table for the part it wants.  The bits come in words of 64, only the marked ones."""
+    bit = F.pmod(F.xxhash64(*key), F.lit(MARKS))
+    marks = wanted.select(F.pmod(F.xxhash64(*wanted_key), F.lit(MARKS)).alias("bit")).groupBy(
+        F.floor(F.col("bit") / 64).alias("_word")).agg(F.expr("bit_or(shiftleft(1L, CAST(bit % 64 AS INT)))").alias("_marks"))
+    marked = rows.withColumn("_bit", bit).withColumn("_word", F.floor(F.col("_bit") / 64)).join(F.broadcast(marks), "_word")
+    return marked.where(F.getbit("_marks", (F.col("_bit") % 64).cast("int")) == 1).select(*rows.columns)
+
+
 def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
     """(node, grams) of the wanted (node, rep_id, text_hash): their texts are read again and shingled."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -128,9 +140,11 @@ def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, shingl
             yield out[[n == m for n, m in zip(names, batch["node"])]]
 
     # One row of each class is wanted, so the copies of a text are neither moved nor shingled.  Written first, the
-    # wanted rows have a known size, and where that is small Spark does not start to shuffle the texts.
+    # wanted rows have a known size, and where that is small Spark does not start to shuffle the texts; where it does,
+    # only those that are likely to be wanted move.
     wanted = materialized(wanted, "wanted")
     texts = ids_and_texts(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("text"))
+    texts = _likely(texts, ["doc_id", "text_hash"], wanted, ["rep_id", "text_hash"])
     same = texts["doc_id"].eqNullSafe(wanted["rep_id"]) & (texts["text_hash"] == wanted["text_hash"])
     found = texts.join(wanted, same).select("node", "text")
     return found.mapInPandas(run, "node binary, grams binary").dropDuplicates(["node"])
@@ -289,7 +303,7 @@ def _groups(docs: DataFrame, classes: DataFrame, columns: tuple[str, str, int],
     mixed = placed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("root").alias("one"), F.max("root").alias("two"))
     mixed = mixed.where("one <> two").select("bucket", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
     live = materialized(placed.join(mixed, "bucket").select("bucket", "blocks", "node", "root"), "mixed-buckets")
-    signed = live.join(classes.select("node", "minima"), "node")
+    signed = live.join(_likely(classes.select("node", "minima"), ["node"], live, ["node"]), "node")
     families = _rooted(_against(signed, "bucket", _by_signature, "minima")).select(
         F.col("node").alias("root"), F.col("root").alias("family"))
 
@@ -299,7 +313,7 @@ def _groups(docs: DataFrame, classes: DataFrame, columns: tuple[str, str, int],
     sets = sets.unionByName(materialized(_sets(docs, more, *columns), "sets"))
     blocks = kin.groupBy("family").agg(F.greatest(
         F.ceil(F.count("*") / family_block), F.ceil(8 * F.sum("n_shingles") / SET_BYTES)).cast("int").alias("blocks"))
-    compared = kin.select("node", "root", "family").join(blocks, "family").join(sets, "node")
+    compared = kin.select("node", "root", "family").join(blocks, "family").join(_likely(sets, ["node"], kin, ["node"]), "node")
     merged = _rooted(_against(compared, "family", _by_set(percent), "grams")).select(
         F.col("node").alias("root"), F.col("root").alias("merged"))
     return groups.join(merged, "root", "left").select("node", F.coalesce("merged", "root").alias("root"))

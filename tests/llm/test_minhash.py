@@ -2,9 +2,11 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cadenza.llm import minhash
 from tests.llm.conftest import awkward_texts, prose
+from tests.test_access_paths import executed
 
 SPACE = " \t\n\x0b\x0c\r"
 
@@ -96,6 +98,31 @@ def test_a_long_text_is_hashed_in_blocks():
     assert (minhash.signature(grams) == (low[:, None] * minhash._A + minhash._B).min(axis=0)).all()
 
 
+def test_only_wanted_texts_are_shuffled_for_their_sets(spark, make_docs):
+    """Where the wanted rows are too many to be broadcast; a copy of a wanted text is not wanted, a row without id may be."""
+    rows = [(i, prose(20, i // 2)) for i in range(400)] + [(None, prose(20, 999))]
+    named = minhash.sketches(make_docs(rows)).withColumnRenamed("doc_id", "rep_id").select("node", "rep_id", "text_hash")
+    wanted = named.where("rep_id IS NULL OR rep_id % 40 = 0")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        sets = minhash._sets(make_docs(rows), wanted, "doc_id", "text", minhash.SHINGLE)
+        shuffles = [node for name, node in executed(sets) if name == "ShuffleExchangeExec"]
+        assert sets.count() == 11
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    moved = [node.metrics().apply("shuffleRecordsWritten").value() for node in shuffles]
+    assert moved and max(moved) < 20
+
+
+def test_marks_lose_no_key(spark):
+    rows = spark.range(-3000, 3000).withColumn("key", F.when(F.col("id") % 7 != 0, F.col("id")))
+    wanted = rows.where("id % 5 = 0").selectExpr("key AS wanted_key").union(rows.selectExpr("key").limit(10))
+    keys = {r["wanted_key"] for r in wanted.collect()}
+    kept = [r["key"] for r in minhash._likely(rows, ["key"], wanted, ["wanted_key"]).collect()]
+    expected = [r["key"] for r in rows.collect() if r["key"] in keys]
+    assert not [k for k in keys if k not in kept] and len(expected) <= len(kept) < len(expected) + 20
+
+
 def test_no_documents(make_docs):
     assert minhash.near_duplicates(make_docs([])).count() == 0
     assert found(minhash.near_duplicates(make_docs([(3, " "), (4, None)]))) == [("3", 0, "3"), ("4", 0, "4")]
