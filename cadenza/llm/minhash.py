@@ -51,7 +51,7 @@ COLUMNS = 4096
 SHARE = 2000
 #: Words whose hash a task remembers.
 WORDS = 400_000
-#: Bits that mark what is wanted of a table before it is joined: 4 MB, whatever the number of rows.
+#: Bits that mark what is wanted of a table before it is joined: at most 2**19 words of 64, whatever the number of rows.
 MARKS = 1 << 25
 
 _random = np.random.default_rng(20)
