@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -289,12 +289,19 @@ def ols_single_lag(spark, d):
 def train_gbt(spark, d):
     train = split(spark, d, "train")
     scored = models.score_batch(models.train_gbt(train), train).select("week", LABEL, PREDICTION)
-    # trees that find nothing to split predict the mean of a sample
-    error = F.avg((F.col(LABEL) - F.col(PREDICTION)) ** 2) <= 1.01 * F.var_pop(LABEL)
     finite = F.abs(PREDICTION) < float("inf")
-    return scored.groupBy("week").agg(
-        F.count("*").alias("n"), F.count_if(finite).alias("n_finite"), F.sum(LABEL).alias("label_sum")
-    ).withColumn("no_worse_than_mean", scored.agg(error).scalar())
+    # The rows are scored once: error and variance of all weeks are put together from sums by week.
+    by_week = scored.groupBy("week").agg(
+        F.count("*").alias("n"), F.count_if(finite).alias("n_finite"), F.sum(LABEL).alias("label_sum"),
+        F.sum((F.col(LABEL) - F.col(PREDICTION)) ** 2).alias("errors"), F.sum(F.col(LABEL) ** 2).alias("squares"))
+
+    def mean(sums: str) -> Column:
+        weeks = W.partitionBy()  # one row per week
+        return F.sum(sums).over(weeks) / F.sum("n").over(weeks)
+
+    # trees that find nothing to split predict the mean of a sample
+    no_worse = mean("errors") <= 1.01 * (mean("squares") - mean("label_sum") ** 2)
+    return by_week.withColumn("no_worse_than_mean", no_worse).drop("errors", "squares")
 
 
 @check("train_and_evaluate_gbt", f"""{fv.FEATURES_L} SELECT metric, true AS sound

@@ -13,7 +13,7 @@ from cadenza.plans.correlation import listenability_panel
 from cadenza.plans.features import build_features, feature_rows, feature_tracks, packed, unpacked
 from cadenza.plans.toplist import toplist_job
 from cadenza.schemas import FEATURE_COLUMNS, PREDICTION, TRACK_ATTRIBUTES
-from checks import feature_views, views
+from checks import feature_views, modelling, views
 
 ANCHOR = date(2021, 1, 4)
 
@@ -198,3 +198,30 @@ def test_the_listenability_panel_is_read_from_its_tracks(spark, tmp_path):
     assert panel.dtypes == direct.dtypes and sorted(map(repr, panel.collect())) == sorted(map(repr, direct.collect()))
     assert panel.count() == 4 * 5
     assert scans(panel, tmp_path / "lineitem.parquet") == 0
+
+
+def test_rows_that_trees_learnt_from_are_scored_once(spark, tmp_path, monkeypatch):
+    """Counts by week and the comparison with the mean come from one pass over the scored rows."""
+    from pyspark.sql.types import TimestampNTZType
+
+    day = F.timestamp_add("DAY", (F.col("id") * 3).cast("int"), F.lit("1995-01-02").cast(TimestampNTZType()))
+    spark.range(40).select(
+        F.col("id").alias("l_orderkey"), F.lit(1).alias("l_linenumber"), day.alias("l_shipdate"), (F.col("id") % 3).alias("l_partkey"),
+        F.lit("N").alias("l_returnflag")).write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.range(40).selectExpr("id AS o_orderkey", "id % 2 AS o_custkey").write.parquet(str(tmp_path / "orders.parquet"))
+    spark.range(4).selectExpr(
+        "id AS p_partkey", "'n' AS p_name", "'b' AS p_brand", "CAST(id AS INT) AS p_size").write.parquet(str(tmp_path / "part.parquet"))
+    train = modelling.split(spark, str(tmp_path), "train")
+    labels = train.agg(F.avg("play_count"), F.stddev_pop("play_count")).first()
+    monkeypatch.setattr(modelling.models, "train_gbt", lambda rows: None)
+    # All rows are predicted as the mean and a shift: the squared error is the variance and the given part of it.
+    for part, sound in ((0.0, True), (0.005, True), (0.02, False)):
+        shift = part ** 0.5 * labels[1]
+        monkeypatch.setattr(
+            modelling.models, "score_batch", lambda model, rows: rows.withColumn(PREDICTION, F.lit(labels[0] + shift)))
+        checked = modelling.train_gbt(spark, str(tmp_path))
+        assert sum(name == "GenerateExec" for name, _ in executed(checked)) == 1
+        assert checked.columns == ["week", "n", "n_finite", "label_sum", "no_worse_than_mean"]
+        found = {r["week"]: (r["n"], r["n_finite"], r["label_sum"], r["no_worse_than_mean"]) for r in checked.collect()}
+        wanted = {r["week"]: (4, 4, r["plays"], sound) for r in train.groupBy("week").agg(F.sum("play_count").alias("plays")).collect()}
+        assert found == wanted and len(found) > 10
