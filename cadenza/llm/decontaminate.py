@@ -4,7 +4,7 @@ Words are the runs of letters and digits of the lower-cased text.  A mask such a
 span of words and ignores the positions marked 0; the words it keeps are hashed.  Hashes of the
 benchmark and of every position of every document are joined by equality, so a passage is found
 although words of it were replaced, as long as one mask fits between the replacements.  Around a hit
-the passages are compared word by word: of some `window` words in a row that hold the seed, on the
+the passages are compared word by word, and only the words within reach of a hit go along with it: of some `window` words in a row that hold the seed, on the
 same alignment, `similarity` must agree (an item shorter than the window counts as a whole).
 
 Positions and hashes are made row by row inside one generated stage and meet the benchmark there;
@@ -68,15 +68,22 @@ def _positions(table: DataFrame, masks: list[str], *keep: str, by_length: bool =
     return at.select(*keep, "words", "at", F.explode(_seeds(masks, by_length)).alias("seed")).where("seed IS NOT NULL")
 
 
+def _around(words: str, at: str, window: int) -> Column:
+    """The words that a window over word `at` can reach."""
+    return F.expr(f"slice({words}, greatest({at} - {window - 1}, 0) + 1, {2 * window - 1})")
+
+
 def _agreement(window: int) -> Column:
     """The most words that agree in any `span` words in a row around the hit, on its alignment.
 
-    `from` is the first aligned item position, `to` the one behind the last; a span as long as the
-    window, or the item if that is shorter, slides over the hit.
+    A span as long as the window, or the item if that is shorter, slides over the hit.  `near` and `item_near` hold the
+    words `_around` the hit's places in text and item.
     """
-    span = f"least({window}, size(item_words))"
-    agree = "CASE WHEN get(words, at - item_at + j) = get(item_words, j) THEN 1 ELSE 0 END"
-    starts = f"sequence(greatest(0, item_at - {span} + 1), least(item_at, size(item_words) - {span}))"
+    span = f"least({window}, item_size)"
+    text_word = f"get(near, at - item_at + j - greatest(at - {window - 1}, 0))"
+    item_word = f"get(item_near, j - greatest(item_at - {window - 1}, 0))"
+    agree = f"CASE WHEN {text_word} = {item_word} THEN 1 ELSE 0 END"
+    starts = f"sequence(greatest(0, item_at - {span} + 1), least(item_at, item_size - {span}))"
     return F.expr(
         f"array_max(transform({starts}, s -> aggregate(sequence(s, s + {span} - 1), 0, (n, j) -> n + {agree})))")
 
@@ -98,8 +105,10 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, simila
     texts = docs.select(
         docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), words(docs["text"]).alias("words"))
     where = _positions(texts, masks, "doc_id", "text_hash")
+    # All hits of a text leave the generated stage together, so a hit takes along the words it is judged by, not the whole text.
+    near = _around("words", "at", window).alias("near")
     if seeds.limit(broadcast_seeds + 1).count() <= broadcast_seeds:
-        met = where.join(F.broadcast(seeds), "seed").join(named, same_item)
+        met = where.join(F.broadcast(seeds), "seed").select("doc_id", "at", near, *seeds.drop("seed").columns).join(named, same_item)
     else:
         # Only places are shuffled; where seeds agree, the words are fetched.
         met = (
@@ -108,7 +117,10 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, simila
                   & (texts["text_hash"] == where["text_hash"])))
     # As a generator the comparison stays behind the join: as part of the join's condition it would
     # take the join, and the words of every position, out of the generated stage.
-    size = F.least(F.lit(window), F.size("item_words"))
+    met = met.select(
+        "doc_id", "item_id", "at", "item_at", "near" if "near" in met.columns else near,
+        _around("item_words", "item_at", window).alias("item_near"), F.size("item_words").alias("item_size"))
+    size = F.least(F.lit(window), F.col("item_size"))
     hits = met.select(
         "doc_id", "item_id", "at", size.alias("n_window"), F.explode_outer(F.array(_agreement(window))).alias("n_agree"))
     return (

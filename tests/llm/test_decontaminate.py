@@ -97,6 +97,27 @@ def test_seeds_by_shuffle_give_the_same(items, planted):
         decontaminate.overlaps(planted, items[1]).collect())
 
 
+@pytest.mark.parametrize("seeds", [1, decontaminate.BROADCAST_SEEDS])
+def test_a_hit_takes_only_the_words_around_it(spark, items, make_docs, seeds):
+    """A long text full of passages has very many hits: none may hold the text, nor a long item."""
+    passages, table = items
+    long_item = [f"i{k}" for k in range(300)]
+    table = table.drop("words").union(spark.createDataFrame([(50, " ".join(long_item))], "item_id long, text string"))
+    text = [w for k in range(40) for w in passages[k % 5] + filler(5, k)] + long_item[140:200]
+    found = decontaminate.overlaps(make_docs([(1, " ".join(text)), (2, " ".join(long_item[290:] + text[:3]))]), table, broadcast_seeds=seeds)
+    pairs = {(r["doc_id"], r["item_id"]): (r["n_agree"], r["n_window"], r["first_word"]) for r in found.collect()}
+    assert pairs == {(1, None): (13, 13, 0), (1, 50): (13, 13, 40 * 45), **{(1, i): (13, 13, 45 * i) for i in range(5)}}
+    plan = found._jdf.queryExecution().optimizedPlan()
+    nodes, inputs = [plan], []
+    while nodes:
+        node = nodes.pop()
+        nodes += [node.children().apply(i) for i in range(node.children().size())]
+        if node.nodeName() == "Generate" and "array_max" in node.toString().split("\n")[0]:
+            columns = node.child().output()
+            inputs.append({columns.apply(i).name() for i in range(columns.size())})
+    assert inputs and all({"near", "item_near"} <= names and not {"words", "item_words"} & names for names in inputs)
+
+
 def test_what_overlaps_goes(items, planted):
     kept = decontaminate.decontaminated(planted, items[1])
     assert kept.columns == planted.columns
