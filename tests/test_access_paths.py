@@ -1,6 +1,6 @@
 """How much is read: one scan of the log, one bucket per history, one scan of a kept catalogue."""
 
-from datetime import date
+from datetime import date, timedelta
 
 from pyspark.sql import functions as F
 
@@ -10,6 +10,7 @@ from cadenza.operators.panel import mean_playtime, with_week
 from cadenza.operators.ranking import top_n
 from cadenza.operators.sequence import next_event
 from cadenza.plans.correlation import listenability_panel
+from cadenza.plans import features as features_plan
 from cadenza.plans.features import build_features, feature_rows, feature_tracks, packed, unpacked
 from cadenza.plans.toplist import toplist_job
 from cadenza.schemas import FEATURE_COLUMNS, PREDICTION, TRACK_ATTRIBUTES
@@ -90,6 +91,31 @@ def test_stored_tracks_are_expanded_where_they_are_read(spark, make_log, tmp_pat
     assert sorted(map(tuple, history.collect())) == sorted(map(tuple, wanted.filter("track_id = 't2'").collect()))
 
 
+def test_tracks_laid_out_by_week_are_shuffled_before_they_are_expanded(spark, make_log, tmp_path, monkeypatch):
+    start = date(2021, 1, 4)
+    events = [((start + timedelta(days=(i * i) % 240)).isoformat() + "T08:00:00", i % 3, f"t{i % 5}", ["play", "like", "skip"][i % 7 % 3]) for i in range(300)]
+    tracks = spark.createDataFrame([(f"t{i}", i, 1000 * i, 0.1, 0.2, 0.3, "1999") for i in range(7)], catalogue(spark).schema)
+    by_track = str(tmp_path / "by-track")
+    sources.write_features(feature_tracks(make_log(events), tracks, ANCHOR, partial_weeks=[2]), by_track, format="tracks")
+    wanted = sorted(map(tuple, sources.read_features(spark, by_track, format="tracks").collect()))
+    stored = spark.read.parquet(by_track)
+    for together, at_a_time in ((16, 2_000_000), (3, 20), (1, 7), (500, 1)):
+        monkeypatch.setattr(features_plan, "WEEKS_TOGETHER", together)
+        monkeypatch.setattr(features_plan, "LAID_OUT_ROWS", at_a_time)
+        path = str(tmp_path / f"by-week-{together}")
+        sources.write_features(stored, path)
+        back = sources.read_features(spark, path)
+        assert back.columns == FEATURE_COLUMNS and sorted(map(tuple, back.collect())) == wanted
+        # Expansions come after the one exchange of the tracks.
+        names = [name for name, _ in executed(features_plan.rows_by_week(stored)) if name in ("GenerateExec", "ShuffleExchangeExec", "SortExec")]
+        assert names[:3] == ["SortExec", "GenerateExec", "ShuffleExchangeExec"]
+    weeks = spark.read.parquet(path).select("week").distinct().count()
+    assert len(wanted) == 7 * weeks and weeks == 20
+    none = str(tmp_path / "none")
+    sources.write_features(stored.limit(0), none)
+    assert features_plan.rows_by_week(stored.limit(0)).count() == 0
+
+
 def test_a_top_list_reads_its_rows_once(spark, tmp_path):
     path = str(tmp_path / "scored")
     spark.range(500).selectExpr("id AS track_id", "CAST(id % 7 AS DOUBLE) AS score").write.parquet(path)
